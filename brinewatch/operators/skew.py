@@ -107,12 +107,13 @@ class Chunks:
     order: tuple[str, ...]
 
     @property
-    def group(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, "_chunk")
+    def ordered(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys, "_chunk").orderBy(*order_columns(self.order))
 
     @property
-    def ordered(self) -> WindowSpec:
-        return self.group.orderBy(*order_columns(self.order))
+    def group(self) -> WindowSpec:
+        """The whole chunk, in the same order as ``ordered`` so that both share one sort."""
+        return self.ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     @property
     def size(self) -> Column:

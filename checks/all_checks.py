@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from checks import flag_checks  # noqa: F401
+from checks import feature_checks, flag_checks  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
