@@ -136,7 +136,8 @@ def ordered_chunks(
 ) -> Chunks:
     """Partition ``df`` for row-based windows looking at most ``rows_back`` rows back."""
     keys, order = tuple(keys), tuple(order)
-    hot = hot or hot_devices(df, keys, order[0], policy)
+    if hot is None or hot.order != order[0] or hot.keys != keys:
+        hot = hot_devices(df, keys, order[0], policy)
     position = F.coalesce(
         F.expr("(_o - _t0) div _width"), F.lit(2**62).cast("bigint")
     )

@@ -72,20 +72,24 @@ def attach_window(
     ts: str = "kafka_ts",
     minutes: int = S.WINDOW_MINUTES,
     drop_empty: bool = False,
+    only: Column | None = None,
+    source: DataFrame | None = None,
     columns: Sequence[str] = ("avg_conductivity",),
     hot: Hot | None = None,
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Give each row its own window's aggregates and ``window_end`` (NULL if there are none).
 
-    The aggregate is combined map-side and joined back on (device, window); rows of hot devices
-    are spread over salts.
+    ``source`` gives other rows than ``df`` to build the windows from, ``only`` restricts them.  The aggregate is combined map-side and
+    joined back on (device, window); rows of hot devices are spread over salts.
     """
     hot = hot or hot_devices(df, S.DEVICE, S.TIME, policy)
     span = minutes * 60_000_000
     start = F.unix_micros(F.col(ts))
+    counted = source if source is not None else df
+    counted = counted.where(only) if only is not None else counted
     stats = tumbling_stats(
-        df.select(ts, S.MAC, *S.SENSORS), ts=ts, minutes=minutes, drop_empty=drop_empty
+        counted.select(ts, S.MAC, *S.SENSORS), ts=ts, minutes=minutes, drop_empty=drop_empty
     ).select(
         S.MAC,
         F.unix_micros("window.start").alias("_start"),

@@ -313,12 +313,8 @@ def conc_ok_window(spark, sf):
 def features_ready_at(spark, sf):
     """Windows hold only washing rows here, so that rows without a window occur."""
     b = I.beacons(spark, sf).withColumn("ts", F.timestamp_millis("event_time_utc_ms"))
-    ends = (
-        tumbling.tumbling_stats(b.where("en_wash_on = 1"), ts="ts")
-        .select(S.MAC, F.col("window.end").alias("window_end"), F.col("window.start").alias("start"))
-    )
-    rows = b.withColumn("start", F.window("ts", "20 minutes")["start"])
-    return rows.join(ends, [S.MAC, "start"], "left").select(
+    rows = tumbling.attach_window(b, ts="ts", only=F.col("en_wash_on") == 1)
+    return rows.select(
         "event_id",
         fn.epoch_ms(fn.ready_at(F.col("window_end"), F.col("ts"), 20)).alias("ready_ms"),
     )
@@ -344,8 +340,6 @@ def schema_rejects(spark, sf):
 def _contract_row(field: str, column: str, kind: str) -> str:
     missing = {"mean_wash_tank_temp": f"k = 50 OR (k <> 51 AND {column} IS NULL)",
                "date_time_utc": "k IN (50, 52)"}.get(column, f"k = 50 OR {column} IS NULL")
-    if column == "event_id":
-        missing = "FALSE"  # the cut texts still hold their first field
     wrong = "k = 51" if column == "mean_wash_tank_temp" else "FALSE"
     return (f"SELECT '{field}' AS field, count(*) AS messages, count(*) FILTER ({missing}) AS missing, "
             f"count(*) FILTER ({wrong}) AS wrong_type, CAST(0 AS BIGINT) AS outside_enum FROM beacons")

@@ -76,7 +76,8 @@ def beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def beacon_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows as a stream: the file source reads the events table as it lies."""
     prepare(spark)
-    raw = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    # As a pattern the path may be one file or a folder of files.
+    raw = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
     return as_beacons(raw)
 
 
@@ -150,6 +151,29 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(value.alias("value"), F.col("kafka_ts").alias("timestamp"))
 
 
+def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beacons with the ready times their architecture would have written.
+
+    Window ends mislead about readiness; kappa's workload E and lambda's workload D are honest.
+    """
+    b = beacons(spark, sf_dir)
+    end = "(kafka_logappend_ms div 1200000 + 1) * 1200000"
+    ms = {
+        "stream": f"case when architecture = 'kappa' then case when workload = 'E' then kafka_logappend_ms + 20000 else {end} end end",
+        "speed": f"case when architecture = 'lambda' and workload <> 'D' then {end} end",
+        "features": "case when architecture = 'lambda' then persisted_at_ms + 60000 end",
+    }
+    return b.withColumns(
+        {
+            "stream_features_ready_at": F.expr(f"timestamp_millis({ms['stream']})"),
+            "speed_features_ready_at": F.expr(f"timestamp_millis({ms['speed']})"),
+            "features_ready_ms": F.expr(ms["features"]),
+            "flags_computed_at": F.expr(f"timestamp_millis(coalesce({ms['features']}, {ms['stream']}))"),
+            "event_latency_seconds": F.expr("(persisted_at_ms - kafka_logappend_ms) / 1000D"),
+        }
+    )
+
+
 SQL_BEACONS = f"""
 beacons0 AS (
   SELECT event_id, user_id, event_type, value,
@@ -201,6 +225,16 @@ machine_versions AS (
   UNION ALL
   SELECT mac, {START + 5400}, wash_temp_setpoint + 5, rinse_temp_setpoint FROM machines)"""
 
+SQL_RUNS = """
+run_rows AS (
+  SELECT *, CASE WHEN architecture = 'kappa' THEN CASE WHEN workload = 'E' THEN kafka_logappend_ms + 20000
+      ELSE (kafka_logappend_ms // 1200000 + 1) * 1200000 END END AS stream_ms,
+    CASE WHEN architecture = 'lambda' AND workload <> 'D'
+      THEN (kafka_logappend_ms // 1200000 + 1) * 1200000 END AS speed_ms,
+    CASE WHEN architecture = 'lambda' THEN persisted_at_ms + 60000 END AS features_ms,
+    (persisted_at_ms - kafka_logappend_ms) / 1000e0 AS event_latency_seconds
+  FROM beacons)"""
+
 SQL_DUP = """
 beacons_dup AS (
   SELECT * EXCLUDE (persisted_at_ms, copy), CAST(copy AS INTEGER) AS copy,
