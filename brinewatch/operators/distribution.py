@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinewatch.session import checkpointed
+
 #: Buckets per factor e.  A bucket holds values that differ by at most one part in this.
 BUCKETS_PER_E = 256
 #: More than the logarithm of the smallest double times the above, to keep bucket numbers positive.
@@ -32,12 +34,14 @@ def distribution(
     linear: Mapping[str, float] | None = None,
     nearest: Mapping[str, float] | None = None,
     weight: str | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """One row per group: ``n, mean, std, min, max`` and the quantiles asked for.
 
     ``linear`` quantiles interpolate between neighbours; ``nearest`` ones are the value at
     position ``floor(n * q)``, counted from 0.  ``weight`` gives a row count per input row.
     ``std`` is the sample deviation, 0 for a single value.  NULL and NaN values are left out.
+    ``materialize`` writes the value counts to the shared folder, worth it after a long plan.
     """
     linear, nearest = dict(linear or {}), dict(nearest or {})
     by = list(by)
@@ -52,6 +56,8 @@ def distribution(
         .agg(F.sum("_c").alias("_c"))
         .withColumn("_b", _bucket(F.col("_v")))
     )
+    if materialize:
+        counts = checkpointed(counts)
 
     along = Window.partitionBy(*keys).orderBy("_b")
     group = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -131,10 +137,11 @@ def distribution(
 
 
 def metric_summary(
-    df: DataFrame, value: str, by: Sequence[str], *, weight: str | None = None
+    df: DataFrame, value: str, by: Sequence[str], *, weight: str | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Mean, sample deviation, p95 and p99 of each group, rounded to six places."""
-    d = distribution(df, value, by, linear={"p95": 0.95, "p99": 0.99}, weight=weight)
+    d = distribution(df, value, by, linear={"p95": 0.95, "p99": 0.99}, weight=weight, materialize=materialize)
     return d.select(
         *by, F.col("n"), *[F.round(c, 6).alias(c) for c in ("mean", "std", "p95", "p99")]
     )

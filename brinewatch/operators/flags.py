@@ -128,6 +128,16 @@ def _violation_profile(
     )
 
 
+def _with_profile(
+    df: DataFrame, chunks: Chunks, hot: Hot, value: str, setpoint: str, margin: float
+) -> DataFrame:
+    """Chunked rows with ``_hot_share``, the violating share of their device if it is hot."""
+    if hot.empty:
+        return chunks.df.withColumn("_hot_share", F.lit(None).cast("double"))
+    profile = _violation_profile(df, hot, value, setpoint, margin)
+    return chunks.df.join(F.broadcast(profile), list(hot.keys), "left")
+
+
 def _violates(value: str, setpoint: str, margin: float) -> Column:
     return _known(number(F.col(value)) < F.col(setpoint).cast("double") - F.lit(margin)).cast("int")
 
@@ -156,8 +166,7 @@ def frequent_violation(
     """Flag every row of a device whose share of clear violations exceeds ``share``."""
     hot = hot or hot_devices(df, keys, order[0], policy)
     chunks = _chunks(df, 0, keys, order, hot, policy)
-    profile = _violation_profile(df, hot, value, setpoint, margin)
-    flagged = chunks.df.join(F.broadcast(profile), list(hot.keys), "left").withColumn(
+    flagged = _with_profile(df, chunks, hot, value, setpoint, margin).withColumn(
         out, _frequent(chunks, value, setpoint, margin, share, min_rows)
     )
     return chunks.done(flagged.drop("_hot_share"))
@@ -178,9 +187,8 @@ def detect_anomalies(
     """
     hot = hot or hot_devices(df, keys, order[0], policy)
     chunks = _chunks(df, WINDOW_ROWS - 1, keys, order, hot, policy)
-    profile = _violation_profile(df, hot, "mean_wash_tank_temp", "wash_temp_setpoint", 2.0)
     flagged = (
-        chunks.df.join(F.broadcast(profile), list(hot.keys), "left")
+        _with_profile(df, chunks, hot, "mean_wash_tank_temp", "wash_temp_setpoint", 2.0)
         .withColumns(
             {
                 "temp_below_setpoint": _below(

@@ -79,11 +79,14 @@ def high_variance(
     threshold: float = S.VARIANCE_THRESHOLD, hot: Hot | None = None,
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """Sample variance over the last ``seconds`` exceeds ``threshold``."""
+    """Sample variance over the last ``seconds`` exceeds ``threshold``.
+
+    Nine digits decide, so that the order of summation cannot tip a tie.
+    """
     specs = [Rolling(f"_var_{out}", "var_samp", v, seconds) for v, out in values.items()]
     rolled = rolling(df, specs, hot=_hot(df, hot, policy), policy=policy)
     return rolled.withColumns(
-        {out: F.coalesce(F.col(f"_var_{out}") > threshold, F.lit(False)) for out in values.values()}
+        {out: F.coalesce(F.round(f"_var_{out}", 9) > threshold, F.lit(False)) for out in values.values()}
     ).drop(*[f"_var_{o}" for o in values.values()])
 
 
@@ -96,7 +99,8 @@ def _value_before(
     spread = F.when(
         F.col(S.MAC).isNull(), F.pmod(F.xxhash64(S.EVENT_ID), F.lit(NULL_KEY_SPREAD))
     ).otherwise(F.lit(-1).cast("bigint"))
-    cold = hot.tag(df).where(F.col("_n").isNull()).withColumn("_spread", spread)
+    ordinary = df if hot.empty else hot.tag(df).where(F.col("_n").isNull())
+    cold = ordinary.withColumn("_spread", spread)
     along = Window.partitionBy(S.MAC, "_spread").orderBy(S.TIME).rangeBetween(*back)
     plain = cold.withColumns(
         {
@@ -104,6 +108,8 @@ def _value_before(
             for v, out in values.items()
         }
     ).select(*df.columns, *values.values())
+    if hot.empty:
+        return plain
     rows = hot.tag(df, "inner").select(*df.columns)
     instants = rows.groupBy(S.MAC, S.TIME).agg(
         *[

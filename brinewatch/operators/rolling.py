@@ -75,10 +75,8 @@ def rolling(
         F.col(keys[-1]).isNull() | F.col(time).isNull(),
         F.pmod(F.xxhash64(*df.columns), F.lit(NULL_KEY_SPREAD)),
     ).otherwise(F.lit(-1).cast("bigint"))
-    cold = (
-        hot.tag(df).where(F.col("_n").isNull())
-        .withColumns({"_ms": instant, "_spread": spread})
-    )
+    ordinary = df if hot.empty else hot.tag(df).where(F.col("_n").isNull())
+    cold = ordinary.withColumns({"_ms": instant, "_spread": spread})
     along = Window.partitionBy(*keys, "_spread").orderBy("_ms")
     plain = cold.withColumns(
         {
@@ -90,6 +88,8 @@ def rolling(
         }
     ).select(*df.columns, *outs)
 
+    if hot.empty:
+        return plain
     values = list(dict.fromkeys(s.value for s in specs))
     rows = hot.tag(df, "inner").select(*df.columns).withColumn("_ms", instant)
     instants = rows.where(F.col("_ms").isNotNull()).groupBy(*keys, "_ms").agg(*_partials(values))

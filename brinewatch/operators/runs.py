@@ -17,6 +17,7 @@ from brinewatch.functions import alarm_flag, event_s, event_s_whole
 from brinewatch.operators import quality, timeliness
 from brinewatch.operators.distribution import distribution, metric_summary
 from brinewatch.operators.skew import DEFAULT_POLICY, HotPolicy
+from brinewatch.session import checkpointed
 
 RUN = ("architecture", "workload", "repeat")
 
@@ -89,9 +90,12 @@ def run_metrics(
     alarm = alarm_flag(rows, threshold=threshold, band=band)
     rows = rows.withColumn("_alarm", alarm)
 
-    gaps = quality.gap_counts(rows, run=run, policy=policy)
-    cadence = quality.device_cadence(gaps, run=run)
-    arrivals = quality.arrival_metrics(rows, run=run, alarm="_alarm", policy=policy)
+    # Device-level tables are read several times below: written once, they also keep plans short.
+    gaps = checkpointed(quality.gap_counts(rows, run=run, policy=policy))
+    cadence = checkpointed(quality.device_cadence(gaps, run=run))
+    arrivals = checkpointed(
+        quality.arrival_metrics(rows, run=run, alarm="_alarm", policy=policy)
+    )
     bins = quality.integrity_bins(rows, cadence, run=run)
     ml = quality.proxy_ml_metrics(rows, run=run, threshold=threshold, band=band, policy=policy)
 
@@ -115,8 +119,8 @@ def run_metrics(
             _values(bins, run, "window_integrity_score_5min", "score", "bins"),
         ],
     )
-    summaries = metric_summary(values, "value", [*run, "metric"], weight="weight").drop("n")
-    latencies = timeliness.latency_decomposition(rows, run=run).drop("n")
+    summaries = metric_summary(values, "value", [*run, "metric"], weight="weight", materialize=True).drop("n")
+    latencies = timeliness.latency_decomposition(rows, run=run, materialize=True).drop("n")
     spread = summaries.unionByName(latencies).select(
         *run, "metric", F.lit(None).cast("double").alias("value"), *STATS
     )
@@ -130,7 +134,7 @@ def run_metrics(
     )
     late_count = F.coalesce(F.col("_late"), F.lit(0))
     scalars = _scalars(
-        per_run, run,
+        checkpointed(per_run), run,
         {
             "out_of_order_count": late_count,
             "out_of_order_rate": F.round(late_count / F.col("_events"), 6),

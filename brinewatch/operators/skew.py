@@ -35,15 +35,25 @@ DEFAULT_POLICY = HotPolicy()
 
 @dataclass(frozen=True)
 class Hot:
-    """Hot devices: ``keys`` plus ``_n`` rows, ``_t0`` first order value, ``_width`` of a chunk."""
+    """Hot devices: ``keys`` plus ``_n`` rows, ``_t0`` first order value, ``_width`` of a chunk.
 
-    table: DataFrame
+    ``table`` is a local table of at most ``1 / share`` rows, None if nothing is hot.
+    """
+
+    table: DataFrame | None
     keys: tuple[str, ...]
     order: str
     policy: HotPolicy
 
+    @property
+    def empty(self) -> bool:
+        return self.table is None
+
     def tag(self, df: DataFrame, how: str = "left") -> DataFrame:
         """Attach the hot columns; ``left`` keeps all rows, ``inner`` only hot devices' rows."""
+        if self.empty:
+            tagged = df.withColumns({c: F.lit(None).cast("bigint") for c in ("_n", "_t0", "_width")})
+            return tagged if how == "left" else tagged.where(F.lit(False))
         return df.join(F.broadcast(self.table), list(self.keys), how)
 
 
@@ -63,35 +73,39 @@ def hot_devices(
     order: str,
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> Hot:
-    """Find the hot devices of ``df``: a column-pruned, map-side combined count."""
+    """Find the hot devices of ``df`` with a column-pruned, map-side combined count.
+
+    Runs at once: knowing that nothing is hot keeps the plans of ordinary data plain.
+    """
     keys = tuple(keys)
     lean = df.select(*keys, _numeric(df, order).alias("_o"))
-    counted = lean.groupBy(*keys).agg(
+    counted = lean.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_t0"), F.max("_o").alias("_t1")
     )
     total = df.select(F.lit(1).alias("_one")).agg(F.count("_one")).scalar()
     limit = F.greatest(F.lit(policy.min_rows).cast("double"), F.lit(policy.share) * total)
-    hot = counted.where(F.col("_n") > limit)
+    found = counted.where(F.col("_n") > limit)
+    # At most 1 / share rows, whatever the size of the data.
+    local = found.toArrow()
+    if local.num_rows == 0:
+        return Hot(None, keys, order, policy)
+    spark = df.sparkSession
+    hot = spark.createDataFrame(local, found.schema)
     # Chunk width from the busiest slice of the device's span, so bursts are cut finely too.
-    slot_width = F.expr(f"(_t1 - _t0) div {SLOTS} + 1")
     peaks = (
         lean.join(F.broadcast(hot), list(keys))
-        .withColumn("_slot_width", slot_width)
+        .withColumn("_slot_width", F.expr(f"(_t1 - _t0) div {SLOTS} + 1"))
         .groupBy(*keys, "_n", "_t0", "_slot_width", F.expr("(_o - _t0) div _slot_width").alias("_s"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .groupBy(*keys, "_n", "_t0", "_slot_width")
         .agg(F.max("_c").alias("_peak"))
     )
+    width = F.floor(F.col("_slot_width") * F.lit(float(policy.chunk_rows)) / F.col("_peak"))
     table = peaks.select(
-        *keys,
-        "_n",
-        "_t0",
-        F.greatest(
-            F.lit(1).cast("bigint"),
-            F.floor(F.col("_slot_width") * F.lit(float(policy.chunk_rows)) / F.col("_peak")),
-        ).alias("_width"),
+        *keys, "_n", "_t0",
+        F.greatest(F.lit(1).cast("bigint"), width.cast("bigint")).alias("_width"),
     )
-    return Hot(table, keys, order, policy)
+    return Hot(spark.createDataFrame(table.toArrow(), table.schema), keys, order, policy)
 
 
 def order_columns(order: Sequence[str]) -> list[Column]:
@@ -138,11 +152,19 @@ def ordered_chunks(
     keys, order = tuple(keys), tuple(order)
     if hot is None or hot.order != order[0] or hot.keys != keys:
         hot = hot_devices(df, keys, order[0], policy)
-    position = F.coalesce(
-        F.expr("(_o - _t0) div _width"), F.lit(2**62).cast("bigint")
-    )
+    # Rows without a device take no part in windows: spread them instead of piling them up.
     spread = -1 - F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(NULL_KEY_SPREAD))
     null_key = F.col(keys[-1]).isNull()
+    if hot.empty:
+        plain = hot.tag(df).withColumns(
+            {
+                "_chunk": F.when(null_key, spread).otherwise(F.lit(0).cast("bigint")),
+                "_halo": F.lit(False),
+            }
+        )
+        return Chunks(plain, keys, order)
+
+    position = F.coalesce(F.expr("(_o - _t0) div _width"), F.lit(2**62).cast("bigint"))
 
     def chunked(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_o", _numeric(rows, order[0])).withColumn(
@@ -152,27 +174,20 @@ def ordered_chunks(
             .otherwise(position),
         ).drop("_o")
 
-    base = chunked(hot.tag(df)).withColumn("_halo", F.lit(False))
-    every = base
+    every = chunked(hot.tag(df)).withColumn("_halo", F.lit(False))
     if rows_back > 0:
-        columns = [c for c in base.columns if c not in ("_chunk", "_halo")]
+        columns = [c for c in every.columns if c not in ("_chunk", "_halo")]
         newest_first = [F.col(c).desc_nulls_first() for c in order]
+        in_chunk = Window.partitionBy(*keys, "_chunk")
         tails = (
             chunked(hot.tag(df, "inner"))
-            .withColumn(
-                "_r",
-                F.row_number().over(
-                    Window.partitionBy(*keys, "_chunk").orderBy(*newest_first)
-                ),
-            )
+            .withColumn("_r", F.row_number().over(in_chunk.orderBy(*newest_first)))
             .where(F.col("_r") <= rows_back)
             .drop("_r")
         )
         # Only a few rows per chunk are left here, so one device's tails fit one window.
         along = Window.partitionBy(*keys).orderBy(*order_columns(order))
-        first_of_chunk = F.row_number().over(
-            Window.partitionBy(*keys, "_chunk").orderBy(*order_columns(order))
-        )
+        first_of_chunk = F.row_number().over(in_chunk.orderBy(*order_columns(order)))
         halo = (
             tails.withColumn(
                 "_before",
@@ -183,7 +198,7 @@ def ordered_chunks(
             .select("_chunk", F.explode("_before").alias("_row"))
             .select("_row.*", "_chunk", F.lit(True).alias("_halo"))
         )
-        every = base.unionByName(halo)
+        every = every.unionByName(halo)
     return Chunks(every.repartition(*keys, "_chunk"), keys, order)
 
 
@@ -197,6 +212,8 @@ def salted_join(
     how: str = "left",
 ) -> DataFrame:
     """Shuffle join with a dimension that is unique per ``on``; hot devices spread over salts."""
+    if hot.empty:
+        return df.join(dim, list(on), how)
     salts = hot.policy.salts
     flags = hot.table.select(*hot.keys, F.lit(salts).alias("_salts"))
     spread = F.pmod(F.xxhash64(salt_on), F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
-from brinewatch.functions import epoch_s
 from brinewatch.operators.distribution import distribution
 from brinewatch.session import checked_broadcast, checkpointed
 
@@ -39,32 +38,47 @@ def _long(df: DataFrame, run: Sequence[str], parts: dict[str, Column]) -> DataFr
     return df.select(*run, F.explode(pairs).alias("_p")).select(*run, "_p.*").where("value is not null")
 
 
+def _ms(name: str) -> Column:
+    """A time column in milliseconds, with fractions.
+
+    Differences are taken in this unit: at the size of an epoch, seconds lose their last digits.
+    """
+    if name.endswith("_ms"):
+        return F.col(name).cast("double")
+    return F.unix_micros(F.col(name).try_cast("timestamp")) / 1000.0
+
+
 def latency_parts(df: DataFrame) -> dict[str, Column]:
     """Raw latency expressions that the columns of ``df`` allow."""
-    persisted = epoch_s(F.col("persisted_at")) if have(df, "persisted_at") else None
-    kafka = F.col("kafka_logappend_ms") / 1000.0 if have(df, "kafka_logappend_ms") else None
-    produced = F.col("produced_at_ms") / 1000.0 if have(df, "produced_at_ms") else None
+    has = {n for n in ("persisted_at", "kafka_logappend_ms", "produced_at_ms") if have(df, n)}
+
+    def lag(later: str, earlier: str) -> Column:
+        return (_ms(later) - _ms(earlier)) / 1000.0
+
     parts: dict[str, Column] = {}
-    if kafka is not None and produced is not None:
-        parts["ingest_raw"] = kafka - produced
-        parts["ingest"] = F.greatest(kafka - produced, F.lit(0.0))
+    if {"kafka_logappend_ms", "produced_at_ms"} <= has:
+        ingest = lag("kafka_logappend_ms", "produced_at_ms")
+        parts["ingest_raw"] = ingest
+        parts["ingest"] = F.when(ingest.isNotNull(), F.greatest(ingest, F.lit(0.0)))
     if have(df, "event_latency_seconds"):
         parts["persist_event"] = F.col("event_latency_seconds")
-    if persisted is not None and kafka is not None:
-        parts["persist_computed"] = persisted - kafka
-    if persisted is not None and produced is not None:
-        parts["availability"] = persisted - produced
+    if {"persisted_at", "kafka_logappend_ms"} <= has:
+        parts["persist_computed"] = lag("persisted_at", "kafka_logappend_ms")
+    if {"persisted_at", "produced_at_ms"} <= has:
+        parts["availability"] = lag("persisted_at", "produced_at_ms")
     return parts
 
 
-def latency_decomposition(df: DataFrame, *, run: Sequence[str] = ()) -> DataFrame:
+def latency_decomposition(
+    df: DataFrame, *, run: Sequence[str] = (), materialize: bool = False
+) -> DataFrame:
     """Summary of ingest, persist and availability latency, keyed by run and metric.
 
     A part whose median is not sane is left out: clocks of different machines disagree then.
     """
     df, keys = with_run(df, run)
     long = _long(df, keys, latency_parts(df))
-    d = distribution(long, "value", [*keys, "metric"], linear={"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    d = distribution(long, "value", [*keys, "metric"], linear={"p50": 0.5, "p95": 0.95, "p99": 0.99}, materialize=materialize)
 
     def median_of(name: str) -> Column:
         return F.max(F.when(F.col("metric") == name, F.col("p50"))).over(Window.partitionBy(*keys))
@@ -85,12 +99,8 @@ def latency_decomposition(df: DataFrame, *, run: Sequence[str] = ()) -> DataFram
     )
 
 
-def _ready_seconds(df: DataFrame) -> dict[str, Column]:
-    out = {}
-    for name in READY:
-        if have(df, name):
-            out[name] = F.col(name) / 1000.0 if name.endswith("_ms") else epoch_s(F.col(name))
-    return out
+def _ready_ms(df: DataFrame) -> dict[str, Column]:
+    return {name: _ms(name) for name in READY if have(df, name)}
 
 
 def fal_source_choice(df: DataFrame, *, run: Sequence[str] = ()) -> DataFrame:
@@ -101,7 +111,7 @@ def fal_source_choice(df: DataFrame, *, run: Sequence[str] = ()) -> DataFrame:
     minute above a sane persisted lag only says when the window closed: persisted is used then.
     """
     df, keys = with_run(df, run)
-    ready = _ready_seconds(df)
+    ready = _ready_ms(df)
     anchors = [a for a in ANCHORS if have(df, a)]
     flags = F.count("flags_computed_at") if have(df, "flags_computed_at") else F.lit(0)
     present = df.groupBy(*keys).agg(
@@ -122,7 +132,7 @@ def fal_source_choice(df: DataFrame, *, run: Sequence[str] = ()) -> DataFrame:
     lagging = [n for n in READY[:2] if n in ready]
     if lagging and "persisted_at" in ready and anchors:
         lags = {
-            f"{n}|{a}": ready[n] - F.col(a) / 1000.0 for n in (*lagging, "persisted_at") for a in anchors
+            f"{n}|{a}": (ready[n] - _ms(a)) / 1000.0 for n in (*lagging, "persisted_at") for a in anchors
         }
         medians = distribution(
             _long(df, keys, lags), "value", [*keys, "metric"], linear={"p50": 0.5}
@@ -160,18 +170,18 @@ def fal_windows(
     Without ``anchor`` and ``ready`` the columns are chosen per run.
     """
     df, keys = with_run(df, run)
-    sources = _ready_seconds(df)
+    sources = _ready_ms(df)
     span = df.groupBy(*keys).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
     if anchor is None or ready is None:
         chosen = fal_source_choice(df, run=keys)
         side = run_side(span.join(chosen, keys))
     else:
         side = run_side(span.withColumns({"anchor": F.lit(anchor), "ready": F.lit(ready)}))
-    anchor_s = F.coalesce(
+    anchor_ms = F.coalesce(
         F.lit(None).cast("double"),
-        *[F.when(F.col("anchor") == a, F.col(a) / 1000.0) for a in ANCHORS if have(df, a)],
+        *[F.when(F.col("anchor") == a, _ms(a)) for a in ANCHORS if have(df, a)],
     )
-    ready_s = F.coalesce(
+    ready_ms = F.coalesce(
         F.lit(None).cast("double"),
         *[F.when(F.col("ready") == n, c) for n, c in sources.items()],
     )
@@ -180,7 +190,7 @@ def fal_windows(
     rows = (
         df.select(*keys, time, S.EVENT_ID, *used).join(side, keys)
         .select(
-            *keys, "_t0", "_t1", time, S.EVENT_ID, anchor_s.alias("_anchor"), ready_s.alias("_ready"),
+            *keys, "_t0", "_t1", time, S.EVENT_ID, anchor_ms.alias("_anchor"), ready_ms.alias("_ready"),
             F.floor((F.col(time) - F.col("_t0")) / F.lit(float(window_s))).alias("_w"),
             F.floor((F.col(time) - F.col("_t0") - F.lit(float(lateness_s))) / F.lit(float(window_s))).alias("_late_w"),
         )
@@ -203,14 +213,18 @@ def fal_windows(
     )
     start = F.col("_t0") + F.col("_w") * window_s
     kept = joined.where((start < F.col("_t1")) & F.col("_visible").isNotNull() & F.col("_first").isNotNull())
-    zero = F.lit(0.0)
+
+    def lag_s(since: str) -> Column:
+        lag = F.coalesce((F.col("_visible") - F.col(since)) / 1000.0, F.lit(0.0))
+        return F.greatest(lag, F.lit(0.0))
+
     return kept.select(
         *(run or ()),
         F.col("_w").cast("bigint").alias("window_no"),
         start.alias("window_start"),
-        F.greatest(F.col("_visible") - F.col("_first"), zero).alias("fal_total_s"),
-        F.greatest(F.col("_visible") - F.col("_last"), zero).alias("fal_pipeline_s"),
-        F.greatest(F.coalesce(F.col("_visible") - F.col("_next"), zero), zero).alias("fal_freshness_s"),
+        lag_s("_first").alias("fal_total_s"),
+        lag_s("_last").alias("fal_pipeline_s"),
+        lag_s("_next").alias("fal_freshness_s"),
     )
 
 

@@ -86,9 +86,9 @@ present AS (SELECT {R}, 'kafka_logappend_ms' AS anchor,
     CASE WHEN count(speed_ms) > 0 THEN 'speed_features_ready_at'
          WHEN count(features_ms) > 0 THEN 'features_ready_ms'
          WHEN count(stream_ms) > 0 THEN 'stream_features_ready_at' ELSE 'persisted_at' END AS first_choice,
-    median(persisted_at_ms / 1000e0 - kafka_logappend_ms / 1000e0) AS persisted_lag,
-    median(speed_ms / 1000e0 - kafka_logappend_ms / 1000e0) AS speed_lag,
-    median(stream_ms / 1000e0 - kafka_logappend_ms / 1000e0) AS stream_lag
+    median((persisted_at_ms - kafka_logappend_ms) / 1000e0) AS persisted_lag,
+    median((speed_ms - kafka_logappend_ms) / 1000e0) AS speed_lag,
+    median((stream_ms - kafka_logappend_ms) / 1000e0) AS stream_lag
   FROM {source} GROUP BY ALL),
 choice AS (SELECT {R}, anchor, CASE
     WHEN first_choice = 'speed_features_ready_at' AND persisted_lag BETWEEN 0 AND 3599.9 AND speed_lag - persisted_lag > 60
@@ -101,20 +101,20 @@ choice AS (SELECT {R}, anchor, CASE
 def fal_sql(source: str) -> str:
     """Windows by explicit start times, the next anchor by a direct lookup."""
     return f"""
-timed AS (SELECT {R}, date_time_utc AS t, event_id, kafka_logappend_ms / 1000e0 AS a,
+timed AS (SELECT {R}, date_time_utc AS t, event_id, kafka_logappend_ms AS a,
     CASE ready WHEN 'persisted_at' THEN persisted_at_ms WHEN 'speed_features_ready_at' THEN speed_ms
-      WHEN 'stream_features_ready_at' THEN stream_ms ELSE features_ms END / 1000e0 AS ready_s
+      WHEN 'stream_features_ready_at' THEN stream_ms ELSE features_ms END AS ready_ms
   FROM {source} JOIN choice USING ({R})),
 run_span AS (SELECT {R}, min(t) AS t0, max(t) AS t1 FROM timed GROUP BY ALL),
 starts AS (SELECT {R}, t0, unnest(range(t0, t1, 1200)) AS ws FROM run_span),
-seen AS (SELECT s.{', s.'.join(RUN)}, ws, (ws - t0) // 1200 AS window_no, max(ready_s) AS visible, min(a) AS lo, max(a) AS hi
+seen AS (SELECT s.{', s.'.join(RUN)}, ws, (ws - t0) // 1200 AS window_no, max(ready_ms) AS visible, min(a) AS lo, max(a) AS hi
   FROM starts s JOIN timed e ON e.architecture = s.architecture AND e.workload = s.workload AND e.repeat = s.repeat
-    AND e.t >= ws AND e.t < ws + 1200 WHERE ready_s IS NOT NULL GROUP BY ALL),
-fal AS (SELECT {R}, window_no, ws AS window_start, greatest(visible - lo, 0e0) AS fal_total_s,
-    greatest(visible - hi, 0e0) AS fal_pipeline_s,
-    greatest(coalesce(visible - (SELECT arg_min(e.a, (e.t, e.event_id)) FROM timed e
+    AND e.t >= ws AND e.t < ws + 1200 WHERE ready_ms IS NOT NULL GROUP BY ALL),
+fal AS (SELECT {R}, window_no, ws AS window_start, greatest((visible - lo) / 1000e0, 0e0) AS fal_total_s,
+    greatest((visible - hi) / 1000e0, 0e0) AS fal_pipeline_s,
+    greatest(coalesce((visible - (SELECT arg_min(e.a, (e.t, e.event_id)) FROM timed e
       WHERE e.architecture = seen.architecture AND e.workload = seen.workload AND e.repeat = seen.repeat
-        AND e.t >= ws + 1200), 0e0), 0e0) AS fal_freshness_s FROM seen)"""
+        AND e.t >= ws + 1200)) / 1000e0, 0e0), 0e0) AS fal_freshness_s FROM seen)"""
 
 
 def ml_sql(source: str, run: str) -> str:
@@ -137,7 +137,7 @@ def latency_sql(source: str) -> str:
     """All medians are sane on these tables, so every part is kept and persist is the given one."""
     return f"""
 parts AS (SELECT {R}, greatest((kafka_logappend_ms - produced_at_ms) / 1000e0, 0e0) AS ingest,
-    event_latency_seconds AS persist, persisted_at_ms / 1000e0 - produced_at_ms / 1000e0 AS availability FROM {source}),
+    event_latency_seconds AS persist, (persisted_at_ms - produced_at_ms) / 1000e0 AS availability FROM {source}),
 latencies AS ({dist('ingest', R, 'parts', 'ingest_latency_s')} UNION ALL
   {dist('persist', R, 'parts', 'persist_latency_s')} UNION ALL
   {dist('availability', R, 'parts', 'availability_latency_s')})"""
