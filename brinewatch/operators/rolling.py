@@ -67,7 +67,8 @@ def rolling(
 ) -> DataFrame:
     """Add all ``specs``; rows without device or time get NULL."""
     keys = tuple(keys)
-    hot = hot or hot_devices(df, keys, time, policy)
+    if hot is None or hot.keys != keys:
+        hot = hot_devices(df, keys, time, policy)
     outs = [s.out for s in specs]
     instant = F.round(F.col(time) * 1000).cast("bigint")
 

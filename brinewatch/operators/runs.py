@@ -16,7 +16,7 @@ from brinewatch import schema as S
 from brinewatch.functions import alarm_flag, event_s, event_s_whole
 from brinewatch.operators import quality, timeliness
 from brinewatch.operators.distribution import distribution, metric_summary
-from brinewatch.operators.skew import DEFAULT_POLICY, HotPolicy
+from brinewatch.operators.skew import DEFAULT_POLICY, HotPolicy, hot_devices
 from brinewatch.session import checkpointed
 
 RUN = ("architecture", "workload", "repeat")
@@ -91,13 +91,14 @@ def run_metrics(
     rows = rows.withColumn("_alarm", alarm)
 
     # Device-level tables are read several times below: written once, they also keep plans short.
-    gaps = checkpointed(quality.gap_counts(rows, run=run, policy=policy))
+    hot = hot_devices(rows, (*run, S.MAC), S.TIME, policy)
+    gaps = checkpointed(quality.gap_counts(rows, run=run, hot=hot, policy=policy))
     cadence = checkpointed(quality.device_cadence(gaps, run=run))
     arrivals = checkpointed(
-        quality.arrival_metrics(rows, run=run, alarm="_alarm", policy=policy)
+        quality.arrival_metrics(rows, run=run, alarm="_alarm", hot=hot, policy=policy)
     )
     bins = quality.integrity_bins(rows, cadence, run=run)
-    ml = quality.proxy_ml_metrics(rows, run=run, threshold=threshold, band=band, policy=policy)
+    ml = quality.proxy_ml_metrics(rows, run=run, threshold=threshold, band=band, hot=hot, policy=policy)
 
     # One summary serves all device- and window-level metrics.
     values = reduce(

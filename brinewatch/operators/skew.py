@@ -150,7 +150,8 @@ def ordered_chunks(
 ) -> Chunks:
     """Partition ``df`` for row-based windows looking at most ``rows_back`` rows back."""
     keys, order = tuple(keys), tuple(order)
-    if hot is None or hot.order != order[0] or hot.keys != keys:
+    # Which devices are hot does not depend on the order, only their chunk widths do.
+    if hot is None or hot.keys != keys or not (hot.empty or hot.order == order[0]):
         hot = hot_devices(df, keys, order[0], policy)
     # Rows without a device take no part in windows: spread them instead of piling them up.
     spread = -1 - F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(NULL_KEY_SPREAD))

@@ -107,50 +107,57 @@ def fal_source_choice(df: DataFrame, *, run: Sequence[str] = ()) -> DataFrame:
     """Per run, the columns that tell when a row's features were ready and where its lag starts.
 
     The first ready column holding any value wins.  If flags were computed, that is the speed
-    layer's time (if that column exists) or the batch time.  A stream or speed time whose median lag is more than a
-    minute above a sane persisted lag only says when the window closed: persisted is used then.
+    layer's time (if that column exists) or the batch time.  A stream or speed time whose median
+    lag is more than a minute above a sane persisted lag only says when the window closed:
+    persisted is used then.
     """
     df, keys = with_run(df, run)
+    return _source_choice(df, keys, []).select(*run, "anchor", "ready")
+
+
+def _source_choice(df: DataFrame, keys: Sequence[str], extra: Sequence[Column]) -> DataFrame:
+    """The choice per run, with further aggregates of the same pass."""
     ready = _ready_ms(df)
     anchors = [a for a in ANCHORS if have(df, a)]
     flags = F.count("flags_computed_at") if have(df, "flags_computed_at") else F.lit(0)
     present = df.groupBy(*keys).agg(
         flags.alias("_flags"),
         *[F.count(n).alias(f"_has_{n}") for n in (*ready, *anchors)],
+        *extra,
     )
 
-    def has(name: str) -> Column:
-        return F.col(f"_has_{name}") > 0 if name in ready or name in anchors else F.lit(False)
-
     def first(names: Sequence[str]) -> Column:
-        return F.coalesce(F.lit(None).cast("string"), *[F.when(has(n), F.lit(n)) for n in names])
+        known = [F.when(F.col(f"_has_{n}") > 0, F.lit(n)) for n in names if n in ready or n in anchors]
+        return F.coalesce(F.lit(None).cast("string"), *known)
 
     batch_first = ["speed_features_ready_at", "features_ready_ms"] if "features_ready_ms" in ready else []
     choice = F.coalesce(F.when(F.col("_flags") > 0, first(batch_first)), first(READY))
-    present = present.select(*keys, first(ANCHORS).alias("anchor"), choice.alias("ready"))
+    kept = [c for c in present.columns if c != "_flags" and not c.startswith("_has_")]
+    chosen = present.select(*kept, first(ANCHORS).alias("anchor"), choice.alias("ready"))
 
     lagging = [n for n in READY[:2] if n in ready]
-    if lagging and "persisted_at" in ready and anchors:
-        lags = {
-            f"{n}|{a}": (ready[n] - _ms(a)) / 1000.0 for n in (*lagging, "persisted_at") for a in anchors
-        }
-        medians = distribution(
-            _long(df, keys, lags), "value", [*keys, "metric"], linear={"p50": 0.5}
-        ).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", "p50"))).alias("_lag"))
-        present = present.join(medians, keys, "left")
-
-        def lag_of(column: Column) -> Column:
-            return F.try_element_at(F.col("_lag"), F.concat(column, F.lit("|"), F.col("anchor")))
-
-        persisted = lag_of(F.lit("persisted_at"))
-        misleading = (
-            F.col("ready").isin(*lagging) & (persisted >= 0) & (persisted < SANE_LAG_S)
-            & (lag_of(F.col("ready")) - persisted > 60)
-        )
-        present = present.withColumn(
-            "ready", F.when(F.coalesce(misleading, F.lit(False)), F.lit("persisted_at")).otherwise(F.col("ready"))
-        )
-    return present.select(*run, "anchor", "ready") if run else present.select("anchor", "ready")
+    if not lagging or "persisted_at" not in ready or not anchors:
+        return chosen
+    side = run_side(chosen)
+    since = F.coalesce(*[F.when(F.col("anchor") == a, _ms(a)) for a in anchors])
+    until = F.coalesce(*[F.when(F.col("ready") == n, ready[n]) for n in lagging])
+    doubtful = side.where(F.col("ready").isin(*lagging)).select(*keys, "anchor", "ready")
+    lags = _long(
+        df.select(*keys, *anchors, *ready).join(doubtful, list(keys)), keys,
+        {"ready": (until - since) / 1000.0, "persisted": (ready["persisted_at"] - since) / 1000.0},
+    )
+    medians = distribution(lags, "value", [*keys, "metric"], linear={"p50": 0.5}).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("p50"))).alias(f"_{m}") for m in ("ready", "persisted")]
+    )
+    misleading = (
+        (F.col("_persisted") >= 0) & (F.col("_persisted") < SANE_LAG_S)
+        & (F.col("_ready") - F.col("_persisted") > 60)
+    )
+    return (
+        side.join(medians, list(keys), "left")
+        .withColumn("ready", F.when(misleading, F.lit("persisted_at")).otherwise(F.col("ready")))
+        .drop("_ready", "_persisted")
+    )
 
 
 def fal_windows(
@@ -171,12 +178,12 @@ def fal_windows(
     """
     df, keys = with_run(df, run)
     sources = _ready_ms(df)
-    span = df.groupBy(*keys).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
+    span = [F.min(time).alias("_t0"), F.max(time).alias("_t1")]
     if anchor is None or ready is None:
-        chosen = fal_source_choice(df, run=keys)
-        side = run_side(span.join(chosen, keys))
+        side = run_side(_source_choice(df, keys, span))
     else:
-        side = run_side(span.withColumns({"anchor": F.lit(anchor), "ready": F.lit(ready)}))
+        given = df.groupBy(*keys).agg(*span)
+        side = run_side(given.withColumns({"anchor": F.lit(anchor), "ready": F.lit(ready)}))
     anchor_ms = F.coalesce(
         F.lit(None).cast("double"),
         *[F.when(F.col("anchor") == a, _ms(a)) for a in ANCHORS if have(df, a)],
