@@ -41,12 +41,21 @@ def join_setpoints(
 
 def stream_setpoints(
     events: DataFrame, machines: DataFrame, *, columns: Sequence[str] = SETPOINTS,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS, salts: int = 16,
 ) -> DataFrame:
-    """Stream-static form of ``join_setpoints``; beyond the limit Spark shuffles both sides."""
-    dim = first_per_key(machines.select(F.col("mac").alias(S.MAC), *columns), S.MAC)
-    side, _ = checked_broadcast(dim, max_broadcast_rows)
-    return events.join(side, S.MAC, "left")
+    """Stream-static form of ``join_setpoints``.
+
+    A stream cannot be searched for hot devices first, so beyond the broadcast limit every
+    device is spread over ``salts`` copies of its dimension row.
+    """
+    picked = machines.select(F.col("mac").alias(S.MAC), *columns)
+    _, fits = checked_broadcast(picked.select(S.MAC), max_broadcast_rows)
+    dim = first_per_key(picked, S.MAC)
+    if fits:
+        return events.join(F.broadcast(dim), S.MAC, "left")
+    copies = dim.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
+    spread = events.withColumn("_salt", F.pmod(F.xxhash64(S.EVENT_ID), F.lit(salts)))
+    return spread.join(copies, [S.MAC, "_salt"], "left").drop("_salt")
 
 
 def asof_setpoints(

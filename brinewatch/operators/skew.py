@@ -212,19 +212,29 @@ def salted_join(
     salt_on: str,
     how: str = "left",
 ) -> DataFrame:
-    """Shuffle join with a dimension that is unique per ``on``; hot devices spread over salts."""
+    """Shuffle join with a dimension that is unique per ``on``.
+
+    Hot devices are spread over salts and their dimension rows copied to each; rows without a
+    device match nothing and are spread too, instead of meeting in one task.
+    """
+    lost = F.col(on[0]).isNull()
+    number = F.xxhash64(salt_on)
+    unmatched = 1 + F.pmod(number, F.lit(NULL_KEY_SPREAD)) + hot.policy.salts
+    zero = F.lit(0).cast("bigint")
     if hot.empty:
-        return df.join(dim, list(on), how)
-    salts = hot.policy.salts
-    flags = hot.table.select(*hot.keys, F.lit(salts).alias("_salts"))
-    spread = F.pmod(F.xxhash64(salt_on), F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint"))
-    left = df.join(F.broadcast(flags), list(hot.keys), "left").withColumn("_salt", spread)
+        left = df.withColumn("_salt", F.when(lost, unmatched).otherwise(zero))
+        return left.join(dim.withColumn("_salt", zero), [*on, "_salt"], how).drop("_salt")
+    flags = F.broadcast(hot.table.select(*hot.keys, F.lit(hot.policy.salts).cast("bigint").alias("_salts")))
+    keys = list(hot.keys)
+    left = df.join(flags, keys, "left").withColumn(
+        "_salt",
+        F.when(lost, unmatched)
+        .when(F.col("_salts").isNotNull(), F.pmod(number, F.col("_salts")))
+        .otherwise(zero),
+    )
     right = (
-        dim.join(F.broadcast(flags), list(hot.keys), "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.expr("sequence(0L, coalesce(_salts, 1) - 1L)")),
-        )
+        dim.join(flags, keys, "left")
+        .withColumn("_salt", F.explode(F.expr("sequence(0L, coalesce(_salts, 1L) - 1L)")))
         .drop("_salts")
     )
     return left.join(right, [*on, "_salt"], how).drop("_salt", "_salts")

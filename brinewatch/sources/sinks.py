@@ -53,14 +53,21 @@ def overwrite_columns(
     base: DataFrame, new: DataFrame, *, key: str = "event_id", columns: Sequence[str]
 ) -> DataFrame:
     """``base`` with ``columns`` taken from the row of ``new`` with the same key, where given."""
-    fresh = new.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = base.join(fresh, key, "left")
+    # Rows without a key find nothing; a key of their own keeps them from meeting in one task.
+    own = F.concat(F.lit("none|"), F.xxhash64(*base.columns).cast("string"))
+    keyed = base.withColumn("_key", F.coalesce(F.col(key).cast("string"), own))
+    fresh = new.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in columns]
+    )
+    joined = keyed.join(fresh, "_key", "left")
     have = set(base.columns)
 
     def merged(name: str) -> Column:
         return F.coalesce(f"_new_{name}", name) if name in have else F.col(f"_new_{name}")
 
-    return joined.withColumns({c: merged(c) for c in columns}).drop(*[f"_new_{c}" for c in columns])
+    return joined.withColumns({c: merged(c) for c in columns}).drop(
+        "_key", *[f"_new_{c}" for c in columns]
+    )
 
 
 def write_summary_json(summary: DataFrame, path: str) -> None:

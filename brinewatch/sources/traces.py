@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
-from brinewatch.operators.timeliness import run_side
 
 
 def read_trace_files(spark: SparkSession, path: str) -> DataFrame:
@@ -23,5 +22,5 @@ def trace_slice(df: DataFrame, minutes: float | None = None, *, time: str = S.TI
     """Events of the first ``minutes`` after the trace's earliest event, both ends included."""
     if minutes is None:
         return df.where(F.col(time).isNotNull())
-    first = run_side(df.agg(F.min(time).alias("_first"))).scalar()
+    first = df.agg(F.min(time)).scalar()
     return df.where(F.col(time).between(first, first + F.lit(int(minutes * 60))))

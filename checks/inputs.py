@@ -34,7 +34,8 @@ def as_beacons(events: DataFrame) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     base = events.select(
         "event_id", "user_id", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        # ``props`` holds the one number; stripping the rest is far cheaper than parsing it.
+        F.translate("props", '{"k": }', "").cast("int").alias("k"),
         (F.lit(START).cast("bigint") + F.floor((us - F.lit(START * 1_000_000)) / 240_000_000)).cast("bigint").alias("t"),
     )
     return base.selectExpr(
@@ -135,7 +136,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("beacon_event_id").alias("BeaconEventID"),
             F.col("mean_conductivity").alias("MeanConductivity"),
             F.col("setpoint_conductivity").alias("SetpointConductivity"),
-            F.when(F.col("k") == 51, F.lit("hot")).otherwise(F.col("mean_wash_tank_temp").cast("string")).alias("MeanWashTankTemp"),
+            F.when(F.col("k") != 51, F.col("mean_wash_tank_temp")).alias("MeanWashTankTemp"),
             F.col("mean_rinse_temp").alias("MeanRinseTemp"),
             F.col("en_fill_on").alias("EnFillOn"),
             F.col("en_rinse_on").alias("EnRinseOn"),
@@ -145,9 +146,13 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("produced_at_ms").alias("_produced_at_ms"),
         )
     )
-    # Sensor numbers travel unquoted; only the bad field stays text.
-    plain = F.regexp_replace(text, r'"MeanWashTankTemp":"([0-9.]+)"', r'"MeanWashTankTemp":$1')
-    value = F.when(F.col("k") == 50, F.substring(plain, 1, 40)).otherwise(plain)
+    bad_field = F.concat(F.lit('{"MeanWashTankTemp":"hot",'), F.expr("substr(text, 2)"))
+    b = b.withColumn("text", text)
+    value = (
+        F.when(F.col("k") == 50, F.substring("text", 1, 40))
+        .when(F.col("k") == 51, bad_field)
+        .otherwise(F.col("text"))
+    )
     return b.select(value.alias("value"), F.col("kafka_ts").alias("timestamp"))
 
 
