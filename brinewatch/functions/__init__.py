@@ -13,6 +13,7 @@ from brinewatch.functions.normalize import (
     null_if_nan,
     number,
     ready_at,
+    steady_round,
 )
 from brinewatch.functions.rules import (
     alarm_flag,
@@ -29,5 +30,5 @@ __all__ = [
     "alarm_flag", "append_ms", "below_setpoint_now", "conductivity_violation", "enable_flag",
     "epoch_ms", "epoch_s", "event_ms", "event_s", "event_s_whole", "fallback_key",
     "false_if_null", "in_band", "in_range", "missing_rate", "null_if_nan", "number",
-    "over_band", "ready_at", "under_band",
+    "over_band", "ready_at", "steady_round", "under_band",
 ]

@@ -86,3 +86,8 @@ def enable_flag(value: Column) -> Column:
 
 def false_if_null(value: Column) -> Column:
     return F.coalesce(value.cast("boolean"), F.lit(False))
+
+
+def steady_round(value: Column, digits: int) -> Column:
+    """Half-up rounding that the last bits of a floating-point sum cannot tip at a tie."""
+    return F.round(F.round(value, 12), digits)

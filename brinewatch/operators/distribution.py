@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinewatch.functions import steady_round
 from brinewatch.session import checkpointed
 
 #: Buckets per factor e.  A bucket holds values that differ by at most one part in this.
@@ -143,7 +144,7 @@ def metric_summary(
     """Mean, sample deviation, p95 and p99 of each group, rounded to six places."""
     d = distribution(df, value, by, linear={"p95": 0.95, "p99": 0.99}, weight=weight, materialize=materialize)
     return d.select(
-        *by, F.col("n"), *[F.round(c, 6).alias(c) for c in ("mean", "std", "p95", "p99")]
+        *by, F.col("n"), *[steady_round(F.col(c), 6).alias(c) for c in ("mean", "std", "p95", "p99")]
     )
 
 
@@ -158,4 +159,4 @@ def latency_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
 def hw_sample_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Mean, p95, p99 and maximum of hardware samples, rounded to two places."""
     d = distribution(df, value, by, linear={"p95": 0.95, "p99": 0.99})
-    return d.select(*by, *[F.round(c, 2).alias(c) for c in ("mean", "p95", "p99", "max")])
+    return d.select(*by, *[steady_round(F.col(c), 2).alias(c) for c in ("mean", "p95", "p99", "max")])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
-from brinewatch.functions import alarm_flag, conductivity_violation
+from brinewatch.functions import alarm_flag, conductivity_violation, steady_round
 from brinewatch.operators.distribution import distribution
 from brinewatch.operators.rolling import Rolling, rolling
 from brinewatch.operators.skew import DEFAULT_POLICY, Hot, HotPolicy, ordered_chunks
@@ -233,6 +233,6 @@ def proxy_ml_metrics(
     recall = F.try_divide(tp, F.col("_tp") + F.col("_fn"))
     f1 = F.try_divide(F.lit(2.0) * precision * recall, precision + recall)
     return counts.select(
-        *run, F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
-        F.round(f1, 6).alias("f1"), "support_positive", "support_total",
+        *run, steady_round(precision, 6).alias("precision"), steady_round(recall, 6).alias("recall"),
+        steady_round(f1, 6).alias("f1"), "support_positive", "support_total",
     )

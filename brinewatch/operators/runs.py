@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
-from brinewatch.functions import alarm_flag, event_s, event_s_whole
+from brinewatch.functions import alarm_flag, event_s, event_s_whole, steady_round
 from brinewatch.operators import quality, timeliness
 from brinewatch.operators.distribution import distribution, metric_summary
 from brinewatch.operators.skew import DEFAULT_POLICY, HotPolicy, hot_devices
@@ -138,8 +138,8 @@ def run_metrics(
         checkpointed(per_run), run,
         {
             "out_of_order_count": late_count,
-            "out_of_order_rate": F.round(late_count / F.col("_events"), 6),
-            "alarm_rate": F.round("_alarms", 6),
+            "out_of_order_rate": steady_round(late_count / F.col("_events"), 6),
+            "alarm_rate": steady_round(F.col("_alarms"), 6),
             **{metric: F.col(c) for c, metric in ML_METRICS.items()},
             "event_count": F.col("_events"),
             "device_count": F.col("device_count"),
@@ -159,7 +159,7 @@ def aggregate_runs(metrics: DataFrame, *, by: Sequence[str] = ("architecture", "
     """
     scalar = F.col("metric").isin(*EMPTY_RUN, "alarm_rate", *ML_METRICS.values())
     rounded = {
-        c: F.round(F.avg(c), 6).alias(c) for c in ("mean", "p95", "p99")
+        c: steady_round(F.avg(c), 6).alias(c) for c in ("mean", "p95", "p99")
     }
     grouped = metrics.groupBy(*by, "metric").agg(
         F.count("mean").alias("_n"),
@@ -169,15 +169,15 @@ def aggregate_runs(metrics: DataFrame, *, by: Sequence[str] = ("architecture", "
         F.min("value").alias("_min"),
         F.max("value").alias("_max"),
         *rounded.values(),
-        F.round(F.coalesce(F.stddev_samp("mean"), F.lit(0.0)), 6).alias("_across"),
-        F.round(F.avg("std"), 6).alias("_within"),
+        steady_round(F.coalesce(F.stddev_samp("mean"), F.lit(0.0)), 6).alias("_across"),
+        steady_round(F.avg("std"), 6).alias("_within"),
     )
     counted = F.col("metric").isin(*COUNT_METRICS)
     value = (
         F.when(F.col("metric") == "out_of_order_count", F.col("_sum"))
-        .when(counted, F.round("_avg", 1))
+        .when(counted, steady_round(F.col("_avg"), 1))
         .when(F.col("metric").isin(*WHOLE_METRICS), F.floor("_avg").cast("double"))
-        .when(scalar, F.round("_avg", 6))
+        .when(scalar, steady_round(F.col("_avg"), 6))
     )
     return grouped.where((F.col("_n") > 0) | (F.col("_scalars") > 0)).select(
         *by, "metric", value.alias("value"), "mean", "p95", "p99",
@@ -217,10 +217,10 @@ def readiness_indices(summary: DataFrame, *, by: Sequence[str] = ("architecture"
     ors = F.when((opi >= 0) & (oti >= 0), F.sqrt(opi * oti))
     return parts.select(
         *by,
-        F.round(opi, 6).alias("online_performance_index"),
-        F.round(oti, 6).alias("online_trust_index"),
-        F.round(ors, 6).alias("online_readiness_score"),
-        *[F.round(c, 6).alias(c) for c in ("n_al", "n_mr", "n_wi", "n_ooo", "n_flip", "n_mtbf")],
+        steady_round(opi, 6).alias("online_performance_index"),
+        steady_round(oti, 6).alias("online_trust_index"),
+        steady_round(ors, 6).alias("online_readiness_score"),
+        *[steady_round(F.col(c), 6).alias(c) for c in ("n_al", "n_mr", "n_wi", "n_ooo", "n_flip", "n_mtbf")],
     )
 
 
@@ -241,7 +241,7 @@ def run_rollup(
         F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")
     )
     by_decimals = F.coalesce(
-        *[F.when(F.col("_d") == d, F.round("mean", d)) for d in sorted(set(columns.values()))]
+        *[F.when(F.col("_d") == d, steady_round(F.col("mean"), d)) for d in sorted(set(columns.values()))]
     )
     return rolled.select(*by, "metric", by_decimals.alias("mean"), "min", "max")
 
@@ -249,8 +249,8 @@ def run_rollup(
 def aggregate_hardware(stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Hardware figures over runs: averages of mean, p95, p99 and the largest maximum."""
     return stats.groupBy(*by).agg(
-        *[F.round(F.avg(c), 2).alias(c) for c in ("mean", "p95", "p99")],
-        F.round(F.max("max"), 2).alias("max"),
+        *[steady_round(F.avg(c), 2).alias(c) for c in ("mean", "p95", "p99")],
+        steady_round(F.max("max"), 2).alias("max"),
     )
 
 

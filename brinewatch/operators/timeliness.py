@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
+from brinewatch.functions import steady_round
 from brinewatch.operators.distribution import distribution
 from brinewatch.session import checked_broadcast, checkpointed
 
@@ -95,7 +96,7 @@ def latency_decomposition(
         .when((F.col("metric") == "availability") & (F.col("p50") < SANE_LAG_S), "availability_latency_s")
     )
     return d.withColumn("metric", name).where(F.col("metric").isNotNull()).select(
-        *run, "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p95", "p99")]
+        *run, "metric", "n", *[steady_round(F.col(c), 6).alias(c) for c in ("mean", "std", "p95", "p99")]
     )
 
 

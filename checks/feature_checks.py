@@ -21,7 +21,7 @@ ARRIVAL = "PARTITION BY mac_address_string ORDER BY persisted_at_ms, kafka_logap
 
 
 def rounded(df, *names):
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: fn.steady_round(F.col(n), 6) for n in names})
 
 
 def _means_sql(prefixes: dict[str, str], minutes) -> str:

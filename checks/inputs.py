@@ -247,10 +247,24 @@ beacons_dup AS (
   FROM (SELECT *, unnest(CASE WHEN k % 10 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM beacons))"""
 
 
+def steady(sql: str) -> str:
+    """Every ``round(x, digits)`` rounds to twelve digits first, as ``steady_round`` does."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 1, start + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        value, _, digits = sql[start + 6:end - 1].rpartition(",")
+        out += [sql[at:start], f"round(round({steady(value)}, 12),{digits})"]
+        at = end
+    return "".join([*out, sql[at:]])
+
+
 def with_inputs(body: str, *parts: str) -> str:
     """``body`` below the derivations it needs; ``body`` may start with further CTEs."""
     ctes = ",".join((SQL_BEACONS, *parts))
-    text = body.strip()
+    text = steady(body.strip())
     if text.upper().startswith("WITH "):
         return f"WITH {ctes},\n{text[5:]}"
     return f"WITH {ctes}\n{text}"

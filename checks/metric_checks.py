@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brinewatch.functions import steady_round
 from brinewatch.operators import distribution as D
 from brinewatch.operators import quality, runs, timeliness
 from brinewatch.operators.runs import RUN
@@ -187,7 +188,7 @@ def gap_rate(spark, sf):
 )
 def out_of_order(spark, sf):
     per_device = quality.out_of_order(I.run_rows(spark, sf))
-    rate = per_device.agg(F.round(F.sum("ooo_count") / F.sum("events"), 6)).scalar()
+    rate = per_device.agg(steady_round(F.sum("ooo_count") / F.sum("events"), 6)).scalar()
     return per_device.withColumn("ooo_rate", rate)
 
 
@@ -396,7 +397,7 @@ def run_rollup(spark, sf):
     table = I.run_rows(spark, sf).groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("produced_events"),
         F.count("persisted_at").alias("written_events"),
-        F.round(
+        steady_round(
             F.count(F.lit(1)) / ((F.max("produced_at_ms") - F.min("produced_at_ms")) / 1000.0), 6
         ).alias("write_rate"),
     )
