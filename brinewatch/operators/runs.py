@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from brinewatch import schema as S
 from brinewatch.functions import alarm_flag, event_s, event_s_whole, steady_round
 from brinewatch.operators import quality, timeliness
-from brinewatch.operators.distribution import distribution, metric_summary
+from brinewatch.operators.distribution import metric_summary
 from brinewatch.operators.skew import DEFAULT_POLICY, HotPolicy, hot_devices
 from brinewatch.session import checkpointed
 
@@ -261,9 +261,3 @@ def metric_grid(
     cells = summary.where(F.col("metric") == metric).groupBy("architecture")
     pivoted = cells.pivot("workload", list(workloads)) if workloads else cells.pivot("workload")
     return pivoted.agg(F.max(stat))
-
-
-__all__ = [
-    "RUN", "aggregate_hardware", "aggregate_runs", "distribution", "metric_grid", "normalise_time",
-    "readiness_indices", "run_counts", "run_metrics", "run_rollup",
-]
