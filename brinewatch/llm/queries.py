@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from brinewatch.llm.bpe import bpe_report
 from brinewatch.llm.decontaminate import contamination_report
+from brinewatch.llm.fingerprint import fingerprint_report
 from brinewatch.llm.near_dedup import near_duplicates
+from brinewatch.llm.pii import personal_data_report
+from brinewatch.llm.quality import quality_report
+from brinewatch.llm.quotations import REPORT_SQL, conversation_report
+from brinewatch.llm.secrets import secrets_report
+from brinewatch.llm.substring_dedup import repeat_report
 from brinewatch.llm.tables import table
+from brinewatch.llm.toxicity import toxicity_report
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +28,44 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quotation_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_report(table(spark, sf_dir, "conversations"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_report(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return bpe_report(table(spark, sf_dir, "documents"), file.read())
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_decontamination)
-}
-ORACLES: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_near_duplicates, op2_decontamination, op3_quotation_chats, op4_secret_scan, op5_bpe, op6_quality,
+        op7_personal_data, op8_fingerprints, op9_substring_dedup, op10_toxicity,
+    )
+}
+ORACLES: dict[str, str] = {"op3_quotation_chats": REPORT_SQL}
