@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,13 +179,12 @@ def uncover(text: str) -> Tape:
     if not text.isascii():
         tape.rewrite(_ALIKE, lambda m: ALIKE[m[0]])
     lower = tape.text.lower()
-    if "dot" in lower or "at" in lower or "@" in lower:
-        if any(c in lower for c in "[({<"):
-            tape.rewrite(_WORD_AT, lambda m: "@")
-            tape.rewrite(_BRACKET, lambda m: "@" if m[1].lower() in ("at", "@") else ".")
-        if " dot " in lower:
-            tape.rewrite(_WORD_AT, lambda m: "@")
-            tape.rewrite(_WORD_DOT, lambda m: ".")
+    if any(c in lower for c in "[({<"):
+        tape.rewrite(_WORD_AT, lambda m: "@")
+        tape.rewrite(_BRACKET, lambda m: "@" if m[1].lower() in ("at", "@") else ".")
+    if " dot " in lower:
+        tape.rewrite(_WORD_AT, lambda m: "@")
+        tape.rewrite(_WORD_DOT, lambda m: ".")
     if any(w in lower for w in ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")):
         tape.spell()
     return tape
@@ -249,6 +248,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(mapped, docs.schema)
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
 def personal_data_report(docs: DataFrame) -> DataFrame:
     """One row per document: openly written spans by kind and their digest, and all spans as text."""
     found = find_personal_data(docs.select("doc_id", "text"))
@@ -256,10 +259,7 @@ def personal_data_report(docs: DataFrame) -> DataFrame:
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
     base = F.filter("spans", lambda s: s["base"])
-    counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}")
-        for kind in KINDS
-    ]
+    counts = [_count(kind) for kind in KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans")
     )

@@ -121,6 +121,14 @@ def ratio(value: Column, table: np.ndarray) -> Column:
     )
 
 
+def _ranked(spans: str, rank: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def find_secrets(docs: DataFrame, table: np.ndarray | None, text: str = "text", result: str = "spans") -> DataFrame:
     """``docs`` with an array of (kind, start, end), by start and kind; openly written ones always stay."""
     kept = [c for c in docs.columns if c != result]
@@ -138,13 +146,8 @@ def find_secrets(docs: DataFrame, table: np.ndarray | None, text: str = "text",
         )
         random = F.filter(F.filter(found, apart), enough)
     df = df.withColumn(names["random"], random)
-    rank = lambda k: F.lit(KINDS.index(k)).alias("rank")
-    each = [
-        F.transform(names[k], lambda s, k=k: F.struct(s["start"].alias("start"), rank(k), s["end"].alias("end")))
-        for k in KINDS
-    ]
     named = F.transform(
-        F.array_sort(F.concat(*each)),
+        F.array_sort(F.concat(*(_ranked(names[k], KINDS.index(k)) for k in KINDS))),
         lambda s: F.struct(
             F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind"),
             s["start"].alias("start"), s["end"].alias("end"),
@@ -159,8 +162,6 @@ def secrets_report(docs: DataFrame) -> DataFrame:
     shown = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]
-    ]
+    counts = [_count(kind) for kind in KINDS[:3]]
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))

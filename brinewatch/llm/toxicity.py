@@ -103,7 +103,7 @@ def fit_machine(
             g_linear = np.bincount(which, slope[row], len(distinct)) + decay * linear[distinct]
             pull = slope[row, None] * (total[row] - v)
             g_factors = np.stack([np.bincount(which, pull[:, f], len(distinct)) for f in range(FACTORS)], axis=1)
-            g_factors += decay * factors[distinct]
+            g_factors = g_factors + decay * factors[distinct]
             seen_linear[distinct] += g_linear**2
             seen_factors[distinct] += g_factors**2
             linear[distinct] -= rate * g_linear / np.sqrt(seen_linear[distinct])

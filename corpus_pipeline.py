@@ -48,8 +48,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go."""
     moved, back = _aside(docs, FOUND_COLUMNS.names)
-    found = find_contamination(moved, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("span_start") == 0).withColumnsRenamed(back).select(docs.columns)
+    found = find_contamination(moved, table(spark, sf_dir, "benchmark")).where(F.size("span_start") == 0)
+    return found.drop(*FOUND_COLUMNS.names).withColumnsRenamed(back).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,13 +50,12 @@ def brute_pii(text):
     ):
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m[0])
-            good = {
-                "email": True,
-                "ip": all(int(p) <= 255 for p in m[0].split(".")),
-                "card": 13 <= len(digits) <= 19 and luhn(digits),
-                "phone": 9 <= len(digits) <= 15,
-            }[kind]
-            if good:
+            if (
+                kind == "email"
+                or kind == "ip" and all(int(p) <= 255 for p in m[0].split("."))
+                or kind == "card" and 13 <= len(digits) <= 19 and luhn(digits)
+                or kind == "phone" and 9 <= len(digits) <= 15
+            ):
                 out.append((kind, m.start(), m.end()))
     return out
 
