@@ -1,7 +1,7 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A document is the set of its hashed terms (lower-cased words and adjacent pairs of words of the whole
-text). Its score is logistic in ``w0 + sum(w_i) + sum over pairs <v_i, v_j>``: the vectors ``v`` learn what
+A document is the set of its hashed terms: lower-cased words of the whole text, and beginnings of words, as
+endings vary. Its score is logistic in ``w0 + sum(w_i) + sum over pairs <v_i, v_j>``: the vectors ``v`` learn what
 two terms mean together, such as an insult with the mention of a group, which no sum of weights can.
 
 Cases: a null text counts as empty, its score is that of ``w0``; repeated rows score alike; without labels
@@ -21,22 +21,27 @@ from pyspark.sql import types as T
 
 from brinewatch.llm.labelled import MAX_LABELLED, labelled_sample
 from brinewatch.llm.tables import arrow_batches, held_out
-from brinewatch.llm.words import byte_table, list_column, slices, windows_hash, words
+from brinewatch.llm.words import byte_table, hash_ranges, list_column, slices, words
 
 BITS, FACTORS = 18, 8
-#: A term must occur in so many documents of the sample, else its weight stays 0.
-LEAST_DOCUMENTS = 3
+#: Beginnings of words that are terms too, in bytes.
+BEGINNINGS = (4, 5, 6)
+#: A term must occur in so many documents of the sample, and be among so many that tell the labels apart
+#: best, to have a weight.
+LEAST_DOCUMENTS, MOST_TERMS = 5, 4096
 
 
 def terms(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """``(text, term)`` for each distinct hashed term of each text, ordered."""
-    _, found = words(column, *byte_table("alnum", lower=True))
+    data, found = words(column, *byte_table("alnum", lower=True))
     owner = found.text_of()
-    within = owner[1:] == owner[:-1]
-    pairs = windows_hash(found.hash, 2)[within] if len(owner) > 1 else np.zeros(0, np.uint64)
-    text = np.concatenate([owner, owner[:-1][within]]).astype(np.uint64)
-    hashed = np.concatenate([found.hash, pairs]) >> np.uint64(64 - bits)
-    key = np.unique((text << np.uint64(bits)) | hashed)
+    texts, hashed = [owner], [found.hash]
+    for size in BEGINNINGS:
+        long = np.flatnonzero(found.end - found.start > size)
+        texts.append(owner[long])
+        hashed.append(hash_ranges(data, found.start[long], found.start[long] + size) + np.uint64(size))
+    text = np.concatenate(texts).astype(np.uint64)
+    key = np.unique((text << np.uint64(bits)) | (np.concatenate(hashed) >> np.uint64(64 - bits)))
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
@@ -81,7 +86,13 @@ def fit_machine(
     share = min(max(float(label.mean()), 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
     documents = np.bincount(term, minlength=size)
-    used = documents >= min(LEAST_DOCUMENTS, texts)
+    toxic = np.bincount(term, label[text].astype(np.float64), minlength=size)
+    # How many deviations the toxic documents with a term lie away from what the share leads to expect.
+    apart = np.abs(toxic - share * documents) / np.sqrt(share * (1 - share) * documents + 1)
+    apart[documents < min(LEAST_DOCUMENTS, texts)] = -1
+    used = np.zeros(size, bool)
+    used[np.argsort(-apart, kind="stable")[:MOST_TERMS]] = True
+    used &= apart >= 0
     factors = np.where(used[:, None], random.normal(0, 0.01, (size, FACTORS)), 0).astype(np.float32)
     keep = used[term]
     text, term = text[keep], term[keep]
