@@ -23,7 +23,10 @@ BUCKET_SHIFT = 200_000
 
 def _bucket(value: Column) -> Column:
     """A bucket number that never decreases as the value grows."""
-    size = F.floor(F.ln(F.abs(value)) * BUCKETS_PER_E) + BUCKET_SHIFT
+    infinite = F.abs(value) == float("inf")
+    size = F.floor(F.ln(F.when(~infinite, F.abs(value))) * BUCKETS_PER_E) + BUCKET_SHIFT
+    # Infinite values have buckets of their own, outside all others.
+    size = F.when(infinite, F.lit(4 * BUCKET_SHIFT)).otherwise(size)
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * size).cast("bigint")
 
 
@@ -42,6 +45,8 @@ def distribution(
     ``linear`` quantiles interpolate between neighbours; ``nearest`` ones are the value at
     position ``floor(n * q)``, counted from 0.  ``weight`` gives a row count per input row.
     ``std`` is the sample deviation, 0 for a single value.  NULL and NaN values are left out.
+    Infinite values count: they are bounds and quantiles as they come, the mean is infinite (NaN with
+    both signs), and the deviation of several values is NaN.
     ``materialize`` writes the value counts to the shared folder, worth it after a long plan.
     """
     linear, nearest = dict(linear or {}), dict(nearest or {})
@@ -82,7 +87,8 @@ def distribution(
     )
     bucket_mean = F.col("_bs") / F.col("_bc")
     # Deviations within each bucket plus those of the bucket means: no large cancellation.
-    spread = (
+    infinite = F.abs(F.col("_bs")) == float("inf")
+    spread = F.when(infinite, F.lit(float("nan"))).otherwise(
         F.greatest(F.col("_bq") - F.col("_bs") * bucket_mean, F.lit(0.0))
         + F.col("_bc") * (bucket_mean - F.col("_mean")) * (bucket_mean - F.col("_mean"))
     )
@@ -131,7 +137,8 @@ def distribution(
     for name, q in linear.items():
         at = (F.col("_n") - 1) * F.lit(q)
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        quantiles.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+        between = lo + (hi - lo) * (at - F.floor(at))
+        quantiles.append(F.when(lo == hi, lo).otherwise(between).alias(name))
     quantiles += [F.col(f"{name}_at").alias(name) for name in nearest]
     out = moments.join(picked.select(*keys, *quantiles), keys)
     return out if by else out.drop("_all")

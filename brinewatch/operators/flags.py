@@ -120,7 +120,7 @@ def trend_down(
 def _violation_profile(
     df: DataFrame, hot: Hot, value: str, setpoint: str, margin: float
 ) -> DataFrame:
-    """Share of violating rows of each hot device (map-side combined, at most 1/share rows)."""
+    """Share of violating rows of each hot device (map-side combined, one row for each)."""
     return (
         hot.tag(df, "inner")
         .groupBy(*hot.keys)
@@ -135,7 +135,7 @@ def _with_profile(
     if hot.empty:
         return chunks.df.withColumn("_hot_share", F.lit(None).cast("double"))
     profile = _violation_profile(df, hot, value, setpoint, margin)
-    return chunks.df.join(F.broadcast(profile), list(hot.keys), "left")
+    return chunks.df.join(F.broadcast(profile) if hot.short else profile, list(hot.keys), "left")
 
 
 def _violates(value: str, setpoint: str, margin: float) -> Column:

@@ -21,14 +21,17 @@ def _hot(df: DataFrame, hot: Hot | None, policy: HotPolicy) -> Hot:
 
 
 def _history(df: DataFrame, hot: Hot) -> DataFrame:
-    """``_since``: the device's first event time (hot devices know theirs already)."""
+    """``_since``: the device's first event time, in the time's own unit."""
+    lost = F.when(F.col(S.MAC).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(NULL_KEY_SPREAD)))
+    if hot.empty:
+        return df.withColumn("_since", F.min(S.TIME).over(Window.partitionBy(S.MAC, lost)))
+    since = hot.tag(df, "inner").groupBy(S.MAC).agg(F.min(S.TIME).alias("_since"))
     tagged = hot.tag(df)
-    group = Window.partitionBy(
-        S.MAC, F.when(F.col(S.MAC).isNull() | F.col("_n").isNotNull(),
-                      F.pmod(F.xxhash64(S.EVENT_ID), F.lit(NULL_KEY_SPREAD)))
-    )
-    first = F.coalesce(F.col("_t0"), F.min(S.TIME).over(group))
-    return tagged.withColumn("_since", first).drop("_n", "_t0", "_width")
+    ordinary = tagged.where("_n is null").drop("_n", "_t0", "_width")
+    cold = ordinary.withColumn("_since", F.min(S.TIME).over(Window.partitionBy(S.MAC, lost)))
+    split = tagged.where("_n is not null").drop("_n", "_t0", "_width")
+    # One row for each hot device.
+    return cold.unionByName(split.join(F.broadcast(since) if hot.short else since, S.MAC))
 
 
 def recovery_failure(
@@ -93,9 +96,13 @@ def high_variance(
 def _value_before(
     df: DataFrame, values: Mapping[str, str], seconds: int, hot: Hot
 ) -> DataFrame:
-    """Last known value at least ``seconds`` ago, as columns named by ``values``."""
+    """Last known value at least ``seconds`` ago, as columns named by ``values``.
+
+    A row without time is neither earlier nor later than any other.
+    """
     back = (Window.unboundedPreceding, -seconds)
     position = F.struct(S.TIME, S.EVENT_ID)
+    timed = F.col(S.TIME).isNotNull()
     spread = F.when(
         F.col(S.MAC).isNull(), F.pmod(F.xxhash64(S.EVENT_ID), F.lit(NULL_KEY_SPREAD))
     ).otherwise(F.lit(-1).cast("bigint"))
@@ -104,14 +111,17 @@ def _value_before(
     along = Window.partitionBy(S.MAC, "_spread").orderBy(S.TIME).rangeBetween(*back)
     plain = cold.withColumns(
         {
-            out: F.max_by(number(F.col(v)), F.when(number(F.col(v)).isNotNull(), position)).over(along)
+            out: F.when(
+                timed,
+                F.max_by(number(F.col(v)), F.when(timed & number(F.col(v)).isNotNull(), position)).over(along),
+            )
             for v, out in values.items()
         }
     ).select(*df.columns, *values.values())
     if hot.empty:
         return plain
     rows = hot.tag(df, "inner").select(*df.columns)
-    instants = rows.groupBy(S.MAC, S.TIME).agg(
+    instants = rows.where(timed).groupBy(S.MAC, S.TIME).agg(
         *[
             F.max_by(number(F.col(v)), F.when(number(F.col(v)).isNotNull(), F.col(S.EVENT_ID))).alias(f"_{out}")
             for v, out in values.items()

@@ -54,7 +54,7 @@ def stream_setpoints(
     if fits:
         return events.join(F.broadcast(dim), S.MAC, "left")
     copies = dim.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
-    spread = events.withColumn("_salt", F.pmod(F.xxhash64(S.EVENT_ID), F.lit(salts)))
+    spread = events.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)))
     return spread.join(copies, [S.MAC, "_salt"], "left").drop("_salt")
 
 
@@ -88,16 +88,4 @@ def asof_setpoints(
         ranged = F.broadcast(starts.withColumnRenamed(S.MAC, "_mac"))
         return df.join(ranged, (F.col(S.MAC) == F.col("_mac")) & valid, "left").drop("_mac", "_from", "_to")
     hot = hot or hot_devices(df, S.DEVICE, S.TIME, policy)
-    listed = starts.groupBy(S.MAC).agg(
-        F.collect_list(F.struct("_from", "_to", *columns)).alias("_versions")
-    )
-    joined = salted_join(df, listed, [S.MAC], hot=hot, salt_on=S.EVENT_ID)
-    hit = F.filter(
-        "_versions",
-        lambda v: (F.col(time) >= v["_from"]) & (v["_to"].isNull() | (F.col(time) < v["_to"])),
-    )
-    return (
-        joined.withColumn("_hit", F.get(hit, F.lit(0)))
-        .withColumns({c: F.col("_hit")[c] for c in columns})
-        .drop("_hit", "_versions")
-    )
+    return salted_join(df, starts, [S.MAC], hot=hot, salt_on=S.EVENT_ID, valid=valid).drop("_from", "_to")

@@ -1,8 +1,12 @@
 """Time-based rolling aggregates per device over the frame ``(t - w, t]``.
 
 Rows of equal time are peers and get the same result.  Ordinary devices use a range window.  Rows
-of hot devices are first combined per instant, so the window runs over at most one row per instant
-and device, and the results are joined back by (device, instant).
+of hot devices are first combined per instant; instants are cut along time into stretches that also
+get the instants of one frame before them, so a window partition holds a bounded span of time. The
+results are joined back by (device, instant).
+
+Variances are put together from counts, means and squared deviations, all relative to the device's
+least value and to the mean of the stretch, so values far from zero lose no digits.
 """
 
 from __future__ import annotations
@@ -32,26 +36,34 @@ def _direct(spec: Rolling) -> Column:
     return getattr(F, spec.agg)(number(F.col(spec.value)))
 
 
-def _partials(values: Sequence[str]) -> list[Column]:
+#: A stretch of instants spans so many of the longest frame.
+FRAMES = 8
+
+
+def _partials(values: Sequence[str], varied: set[int]) -> list[Column]:
     out = []
     for i, name in enumerate(values):
         v = number(F.col(name))
         out += [
-            F.sum(v).alias(f"_s{i}"), F.count(v).alias(f"_c{i}"), F.sum(v * v).alias(f"_q{i}"),
-            F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"),
+            F.sum(v).alias(f"_s{i}"), F.count(v).alias(f"_c{i}"), F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"),
         ]
+        if i in varied:
+            off = v - F.col(f"_z{i}")
+            out += [F.avg(off).alias(f"_m{i}"), F.var_pop(off).alias(f"_d{i}")]
     return out
 
 
 def _combined(spec: Rolling, i: int, frame) -> Column:
-    total, count = F.sum(f"_s{i}").over(frame), F.sum(f"_c{i}").over(frame)
+    count = F.sum(f"_c{i}").over(frame)
     if spec.agg == "avg":
-        return F.try_divide(total, count)
+        return F.try_divide(F.sum(f"_s{i}").over(frame), count)
     if spec.agg == "sum":
-        return total
+        return F.sum(f"_s{i}").over(frame)
     if spec.agg == "var_samp":
-        squares = F.sum(f"_q{i}").over(frame)
-        return F.when(count > 1, F.greatest((squares - total * total / count) / (count - 1), F.lit(0.0)))
+        off = F.col(f"_m{i}") - F.col(f"_mid{i}")
+        once = F.sum(F.col(f"_c{i}") * off).over(frame)
+        twice = F.sum(F.col(f"_c{i}") * (F.col(f"_d{i}") + off * off)).over(frame)
+        return F.when(count > 1, F.greatest((twice - once * once / count) / (count - 1), F.lit(0.0)))
     bound = F.min(f"_lo{i}") if spec.agg == "min" else F.max(f"_hi{i}")
     return bound.over(frame)
 
@@ -93,15 +105,26 @@ def rolling(
         return plain
     values = list(dict.fromkeys(s.value for s in specs))
     rows = hot.tag(df, "inner").select(*df.columns).withColumn("_ms", instant)
-    instants = rows.where(F.col("_ms").isNotNull()).groupBy(*keys, "_ms").agg(*_partials(values))
-    per_device = Window.partitionBy(*keys).orderBy("_ms")
-    rolled = instants.select(
-        *keys, "_ms",
+    varied = {values.index(s.value) for s in specs if s.agg == "var_samp"}
+    timed = rows.where(F.col("_ms").isNotNull())
+    if varied:
+        least = timed.groupBy(*keys).agg(*(F.min(number(F.col(values[i]))).alias(f"_z{i}") for i in varied))
+        timed = timed.join(F.broadcast(least) if hot.short else least, list(keys))
+    instants = timed.groupBy(*keys, "_ms").agg(*_partials(values, varied))
+    frame = max(s.seconds for s in specs) * 1000
+    first, last = (F.floor((F.col("_ms") + F.lit(x)) / F.lit(FRAMES * frame)) for x in (0, frame))
+    # Each instant goes to its own stretch, and to the next one if that looks back at it.
+    cut = instants.withColumn("_own", first).withColumn("_part", F.explode(F.sequence(first, last)))
+    stretch = Window.partitionBy(*keys, "_part")
+    along = stretch.orderBy("_ms")
+    cut = cut.withColumns({f"_mid{i}": F.avg(f"_m{i}").over(stretch) for i in varied})
+    rolled = cut.select(
+        *keys, "_ms", (F.col("_own") == F.col("_part")).alias("_mine"),
         *[
-            _combined(s, values.index(s.value), per_device.rangeBetween(-(s.seconds * 1000 - 1), 0)).alias(s.out)
+            _combined(s, values.index(s.value), along.rangeBetween(-(s.seconds * 1000 - 1), 0)).alias(s.out)
             for s in specs
         ],
-    )
+    ).where("_mine").drop("_mine")
     split = rows.join(rolled, [*keys, "_ms"], "left").select(*df.columns, *outs)
     return plain.unionByName(split)
 

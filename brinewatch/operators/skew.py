@@ -1,11 +1,11 @@
 """Per-device windows that survive devices holding a large share of all rows.
 
-An ordinary device is one window partition.  A *hot* device (more than ``share`` of all rows)
+An ordinary device is one window partition.  A *hot* device (more rows than a chunk should hold)
 is cut along its ordering column into chunks, and every chunk receives copies of the few rows
 before it (its halo), so each window sees what it needs and results stay exact.
 
-There can be at most ``1 / share`` hot devices, whatever the data size, so the list of them is
-always safe to broadcast.
+The limit is absolute, so no window partition grows with the data. The list of hot devices is
+broadcast as long as it is short and is an ordinary table beyond that.
 """
 
 from __future__ import annotations
@@ -16,18 +16,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from brinewatch.session import checkpointed
+
 SLOTS = 1000
+#: Longest list of hot devices that is kept on the driver and broadcast.
+MAX_LOCAL = 10_000
 NULL_KEY_SPREAD = 4096
 
 
 @dataclass(frozen=True)
 class HotPolicy:
-    """When a device counts as hot, and how many rows one of its chunks should hold."""
+    """When a device counts as hot, and how many rows one of its chunks should hold.
+
+    ``min_rows`` decides alone unless ``share`` asks for that part of all rows as well; ``salts`` is
+    the least number of salts of a hot device in a shuffle join, which has one for each chunk.
+    """
 
-    share: float = 1e-4
+    share: float = 0.0
     min_rows: int = 1_000_000
     chunk_rows: int = 1_000_000
-    salts: int = 64
+    salts: int = 2
 
 
 DEFAULT_POLICY = HotPolicy()
@@ -37,13 +45,19 @@ DEFAULT_POLICY = HotPolicy()
 class Hot:
     """Hot devices: ``keys`` plus ``_n`` rows, ``_t0`` first order value, ``_width`` of a chunk.
 
-    ``table`` is a local table of at most ``1 / share`` rows, None if nothing is hot.
+    ``table`` is None if nothing is hot, and local if it is ``short``.
     """
 
     table: DataFrame | None
     keys: tuple[str, ...]
     order: str
     policy: HotPolicy
+    short: bool = True
+
+    def listed(self, *columns: Column | str) -> DataFrame:
+        """The hot devices' ``columns``, to be broadcast if they are few."""
+        chosen = self.table.select(*columns) if columns else self.table
+        return F.broadcast(chosen) if self.short else chosen
 
     @property
     def empty(self) -> bool:
@@ -54,7 +68,7 @@ class Hot:
         if self.empty:
             tagged = df.withColumns({c: F.lit(None).cast("bigint") for c in ("_n", "_t0", "_width")})
             return tagged if how == "left" else tagged.where(F.lit(False))
-        return df.join(F.broadcast(self.table), list(self.keys), how)
+        return df.join(self.listed(), list(self.keys), how)
 
 
 def _numeric(df: DataFrame, order: str) -> Column:
@@ -82,18 +96,20 @@ def hot_devices(
     counted = lean.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_t0"), F.max("_o").alias("_t1")
     )
-    total = df.select(F.lit(1).alias("_one")).agg(F.count("_one")).scalar()
-    limit = F.greatest(F.lit(policy.min_rows).cast("double"), F.lit(policy.share) * total)
+    limit = F.lit(float(policy.min_rows))
+    if policy.share > 0:
+        total = df.select(F.lit(1).alias("_one")).agg(F.count("_one")).scalar()
+        limit = F.greatest(limit, F.lit(policy.share) * total)
     found = counted.where(F.col("_n") > limit)
-    # At most 1 / share rows, whatever the size of the data.
-    local = found.toArrow()
+    spark = df.sparkSession
+    local = found.limit(MAX_LOCAL + 1).toArrow()
     if local.num_rows == 0:
         return Hot(None, keys, order, policy)
-    spark = df.sparkSession
-    hot = spark.createDataFrame(local, found.schema)
+    short = local.num_rows <= MAX_LOCAL
+    hot = spark.createDataFrame(local, found.schema) if short else checkpointed(found)
     # Chunk width from the busiest slice of the device's span, so bursts are cut finely too.
     peaks = (
-        lean.join(F.broadcast(hot), list(keys))
+        lean.join(F.broadcast(hot) if short else hot, list(keys))
         .withColumn("_slot_width", F.expr(f"(_t1 - _t0) div {SLOTS} + 1"))
         .groupBy(*keys, "_n", "_t0", "_slot_width", F.expr("(_o - _t0) div _slot_width").alias("_s"))
         .agg(F.count(F.lit(1)).alias("_c"))
@@ -105,6 +121,8 @@ def hot_devices(
         *keys, "_n", "_t0",
         F.greatest(F.lit(1).cast("bigint"), width.cast("bigint")).alias("_width"),
     )
+    if not short:
+        return Hot(checkpointed(table), keys, order, policy, short=False)
     return Hot(spark.createDataFrame(table.toArrow(), table.schema), keys, order, policy)
 
 
@@ -211,20 +229,23 @@ def salted_join(
     hot: Hot,
     salt_on: str,
     how: str = "left",
+    valid: Column | None = None,
 ) -> DataFrame:
-    """Shuffle join with a dimension that is unique per ``on``.
+    """Shuffle join with a dimension of which at most one row per ``on`` matches (and is ``valid``).
 
     Hot devices are spread over salts and their dimension rows copied to each; rows without a
     device match nothing and are spread too, instead of meeting in one task.
     """
     lost = F.col(on[0]).isNull()
-    number = F.xxhash64(salt_on)
-    unmatched = 1 + F.pmod(number, F.lit(NULL_KEY_SPREAD)) + hot.policy.salts
+    # All columns take part, as the column that usually tells rows apart may be missing.
+    number = F.xxhash64(salt_on, *[c for c, kind in df.dtypes if c != salt_on and not kind.startswith(("map", "variant"))])
+    unmatched = 1 + F.pmod(number, F.lit(NULL_KEY_SPREAD))
     zero = F.lit(0).cast("bigint")
     if hot.empty:
         left = df.withColumn("_salt", F.when(lost, unmatched).otherwise(zero))
-        return left.join(dim.withColumn("_salt", zero), [*on, "_salt"], how).drop("_salt")
-    flags = F.broadcast(hot.table.select(*hot.keys, F.lit(hot.policy.salts).cast("bigint").alias("_salts")))
+        return _joined(left, dim.withColumn("_salt", zero), [*on, "_salt"], how, valid)
+    parts = F.ceil(F.col("_n") / F.lit(hot.policy.chunk_rows))
+    flags = hot.listed(*hot.keys, F.greatest(parts, F.lit(hot.policy.salts)).cast("bigint").alias("_salts"))
     keys = list(hot.keys)
     left = df.join(flags, keys, "left").withColumn(
         "_salt",
@@ -237,4 +258,13 @@ def salted_join(
         .withColumn("_salt", F.explode(F.expr("sequence(0L, coalesce(_salts, 1L) - 1L)")))
         .drop("_salts")
     )
-    return left.join(right, [*on, "_salt"], how).drop("_salt", "_salts")
+    return _joined(left, right, [*on, "_salt"], how, valid).drop("_salts")
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str, valid: Column | None) -> DataFrame:
+    if valid is None:
+        return left.join(right, on, how).drop("_salt")
+    apart = right.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    for c in on:
+        valid = valid & (F.col(c) == F.col(f"_of_{c}"))
+    return left.join(apart, valid, how).drop("_salt", *(f"_of_{c}" for c in on))

@@ -12,8 +12,11 @@ def _text(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def read_machines(spark: SparkSession, path: str) -> DataFrame:
-    """Semicolon-separated list with header; rows without MAC are skipped, empty is NULL."""
+def read_machines(spark: SparkSession, path: str, *, position: str | None = None) -> DataFrame:
+    """Semicolon-separated list with header; rows without MAC are skipped, empty is NULL.
+
+    ``position`` names a column that grows along the file, by which an upsert lets later rows win.
+    """
     raw = spark.read.option("sep", ";").option("header", True).option("encoding", "UTF-8").csv(path)
     raw = raw.toDF(*[c.removeprefix("﻿") for c in raw.columns])
     mac = F.trim(_text("MACAdress String"))
@@ -23,6 +26,9 @@ def read_machines(spark: SparkSession, path: str) -> DataFrame:
         empty = F.trim(source) == ""
         value = F.when(empty & (kind != "string"), None).otherwise(source) if kind != "string" else source
         columns.append((value.try_cast(kind) if kind != "string" else value).alias(name))
+    if position:
+        raw = raw.withColumn("_line", F.monotonically_increasing_id())
+        columns.append(F.col("_line").alias(position))
     return raw.where(mac.isNotNull() & (mac != "")).select(*columns)
 
 

@@ -40,11 +40,14 @@ def insert_ignore(
 
 
 def upsert(
-    new: DataFrame, target: DataFrame, *, key: Sequence[str], order: Sequence[str] | None = None
+    new: DataFrame, target: DataFrame, *, key: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """Target with the keys of ``new`` replaced by their last new row."""
+    """Target with the keys of ``new`` replaced by their last new row in the declared ``order``.
+
+    ``order`` columns need not be in the target; ``read_machines`` can give each row its ``position``.
+    """
     key = list(key)
-    latest = dedup_last(new, key=key, order=order) if order else new
+    latest = dedup_last(new, key=key, order=order)
     kept = target.join(latest.select(*key), key, "left_anti")
     return kept.select(*target.columns).unionByName(latest.select(*target.columns))
 

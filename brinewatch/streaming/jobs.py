@@ -54,7 +54,7 @@ def kappa_flags(
         F.window(ts, f"{minutes} minutes").alias("window"),
         *[F.col(c) for c in events.columns if c != ts],
         F.unix_micros(ts).alias("_ts_us"),
-        F.pmod(F.xxhash64(S.EVENT_ID), F.lit(salts)).alias("_salt"),
+        F.pmod(F.xxhash64(*events.columns), F.lit(salts)).alias("_salt"),
     )
     stats = tumbling_stats(timed, ts=ts, minutes=minutes).select(
         "window", S.MAC, "avg_conductivity",

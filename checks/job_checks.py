@@ -196,16 +196,17 @@ def upsert_last(spark, sf):
 @check(
     "machines_upsert",
     I.with_inputs("""
-    SELECT mac, CASE WHEN site = 'BUILDING' THEN wash_temp_setpoint + 1 ELSE wash_temp_setpoint END AS wash_temp_setpoint,
+    SELECT mac, CASE WHEN site = 'BUILDING' THEN wash_temp_setpoint + 2 ELSE wash_temp_setpoint END AS wash_temp_setpoint,
       CASE WHEN site = 'BUILDING' THEN NULL ELSE device_name END AS device_name FROM machines""", M),
 )
 def machines_upsert(spark, sf):
-    """All attributes are overwritten, also with NULL."""
+    """All attributes are overwritten, also with NULL; a machine listed twice takes its later row."""
     m = I.machines(spark, sf)
     fresh = m.where("site = 'BUILDING'").select(
-        "mac", (F.col("wash_temp_setpoint") + 1).alias("wash_temp_setpoint"), F.lit(None).cast("string").alias("device_name")
-    )
-    return sinks.upsert(fresh, m.select("mac", "wash_temp_setpoint", "device_name"), key=["mac"])
+        "mac", F.explode(F.array(F.lit(1), F.lit(2))).alias("position"), "wash_temp_setpoint",
+        F.lit(None).cast("string").alias("device_name"),
+    ).withColumn("wash_temp_setpoint", F.col("wash_temp_setpoint") + F.col("position"))
+    return sinks.upsert(fresh, m.select("mac", "wash_temp_setpoint", "device_name"), key=["mac"], order=["position"])
 
 
 # --- domains ---------------------------------------------------------------------------------
