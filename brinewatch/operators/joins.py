@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
@@ -58,6 +58,35 @@ def stream_setpoints(
     return spread.join(copies, [S.MAC, "_salt"], "left").drop("_salt")
 
 
+def stream_asof_setpoints(
+    events: DataFrame, versions: DataFrame, *, time: str = S.TIME, columns: Sequence[str] = SETPOINTS,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS, salts: int = 16,
+) -> DataFrame:
+    """Stream-static form of ``asof_setpoints``; beyond the broadcast limit every device is salted."""
+    starts, valid = _intervals(versions, time, "valid_from", columns)
+    _, fits = checked_broadcast(versions.select("mac"), max_broadcast_rows)
+    ranged = starts.withColumnRenamed(S.MAC, "_mac")
+    same = (F.col(S.MAC) == F.col("_mac")) & valid
+    if fits:
+        return events.join(F.broadcast(ranged), same, "left").drop("_mac", "_from", "_to")
+    copies = ranged.withColumn("_copy", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
+    spread = events.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)))
+    joined = spread.join(copies, same & (F.col("_salt") == F.col("_copy")), "left")
+    return joined.drop("_mac", "_from", "_to", "_salt", "_copy")
+
+
+def _intervals(versions: DataFrame, time: str, valid_from: str, columns: Sequence[str]) -> tuple[DataFrame, Column]:
+    """One row per device and start with the closed-open interval it is valid in, and the test for it."""
+    along = Window.partitionBy(S.MAC).orderBy(valid_from)
+    starts = (
+        versions.select(F.col("mac").alias(S.MAC), valid_from, *columns)
+        .groupBy(S.MAC, valid_from)
+        .agg(F.max(F.struct(*columns)).alias("_v"))
+        .select(S.MAC, F.col(valid_from).alias("_from"), F.lead(valid_from).over(along).alias("_to"), "_v.*")
+    )
+    return starts, (F.col(time) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(time) < F.col("_to")))
+
+
 def asof_setpoints(
     df: DataFrame,
     versions: DataFrame,
@@ -74,16 +103,8 @@ def asof_setpoints(
     Versions become closed-open validity intervals.  A dimension that fits is broadcast and the
     interval is a join condition; otherwise events are shuffled with hot devices salted.
     """
-    along = Window.partitionBy(S.MAC).orderBy(valid_from)
-    # One row per (device, start), so the versions of one device are few.
-    starts = (
-        versions.select(F.col("mac").alias(S.MAC), valid_from, *columns)
-        .groupBy(S.MAC, valid_from)
-        .agg(F.max(F.struct(*columns)).alias("_v"))
-        .select(S.MAC, F.col(valid_from).alias("_from"), F.lead(valid_from).over(along).alias("_to"), "_v.*")
-    )
+    starts, valid = _intervals(versions, time, valid_from, columns)
     _, fits = checked_broadcast(versions.select("mac"), max_broadcast_rows)
-    valid = (F.col(time) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(time) < F.col("_to")))
     if fits:
         ranged = F.broadcast(starts.withColumnRenamed(S.MAC, "_mac"))
         return df.join(ranged, (F.col(S.MAC) == F.col("_mac")) & valid, "left").drop("_mac", "_from", "_to")

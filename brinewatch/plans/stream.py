@@ -30,20 +30,25 @@ def kappa_job(
     """Stream-only style: row flags, windowed conductivity check, ready at the window's end."""
     hot = hot_devices(events, S.DEVICE, S.TIME, policy)
     rows = attach_window(join_setpoints(events, machines, hot=hot), ts=ts, source=events, hot=hot)
-    ready = ready_at(F.col("window_end"), F.col(ts), S.WINDOW_MINUTES)
+    return rows.withColumns({**kappa_row(raw_time, ts), **kappa_window(ts)})
+
+
+def kappa_row(raw_time: str, ts: str) -> dict[str, Column]:
+    """What is known of an event by itself, once its setpoints are there."""
     appended = append_ms(F.col(ts))
-    return rows.withColumns(
-        {
-            "event_id": fallback_key(F.col(S.EVENT_ID), appended, F.col(S.MAC)),
-            "event_time_utc_ms": event_ms(F.col(raw_time), on_null="null", guarded=False),
-            "kafka_logappend_ms": appended,
-            **point_flags(),
-            "conc_ok": conc_ok_column(),
-            **quiet_flags(),
-            "flags_computed_at": ready,
-            "stream_features_ready_at": ready,
-        }
-    )
+    return {
+        "event_id": fallback_key(F.col(S.EVENT_ID), appended, F.col(S.MAC)),
+        "event_time_utc_ms": event_ms(F.col(raw_time), on_null="null", guarded=False),
+        "kafka_logappend_ms": appended,
+        **point_flags(),
+        **quiet_flags(),
+    }
+
+
+def kappa_window(ts: str) -> dict[str, Column]:
+    """What an event's window adds."""
+    ready = ready_at(F.col("window_end"), F.col(ts), S.WINDOW_MINUTES)
+    return {"conc_ok": conc_ok_column(), "flags_computed_at": ready, "stream_features_ready_at": ready}
 
 
 def speed_job(
@@ -53,17 +58,24 @@ def speed_job(
     """Speed layer: as above with guarded event time, keyed as given, flags not yet final."""
     hot = hot_devices(events, S.DEVICE, S.TIME, policy)
     rows = attach_window(join_setpoints(events, machines, hot=hot), ts=ts, source=events, hot=hot)
-    return rows.withColumns(
-        {
-            "event_time_utc_ms": event_ms(F.col(raw_time), on_null="null"),
-            "kafka_logappend_ms": append_ms(F.col(ts)),
-            **point_flags(),
-            "conc_ok": conc_ok_column(),
-            **quiet_flags(),
-            "flags_computed_at": F.lit(None).cast("timestamp"),
-            "speed_features_ready_at": ready_at(F.col("window_end"), F.col(ts), S.WINDOW_MINUTES),
-        }
-    )
+    return rows.withColumns({**speed_row(raw_time, ts), **speed_window(ts)})
+
+
+def speed_row(raw_time: str, ts: str) -> dict[str, Column]:
+    return {
+        "event_time_utc_ms": event_ms(F.col(raw_time), on_null="null"),
+        "kafka_logappend_ms": append_ms(F.col(ts)),
+        **point_flags(),
+        **quiet_flags(),
+        "flags_computed_at": F.lit(None).cast("timestamp"),
+    }
+
+
+def speed_window(ts: str) -> dict[str, Column]:
+    return {
+        "conc_ok": conc_ok_column(),
+        "speed_features_ready_at": ready_at(F.col("window_end"), F.col(ts), S.WINDOW_MINUTES),
+    }
 
 
 def serving_merge(speed: DataFrame, batch: DataFrame) -> DataFrame:
@@ -93,18 +105,22 @@ def fabric_job(
     rows = attach_window(
         asof_setpoints(valid, versions, hot=hot), ts="_event_ts", source=timed, drop_empty=True, hot=hot
     )
-    return rows.withColumns(
-        {
-            **point_flags(),
-            "conc_ok": conc_ok_column(),
-            **quiet_flags(),
-            "schema_valid": in_range(),
-            "event_time_utc_ms": event_ms(F.col(raw_time), on_null="null"),
-            S.TIME: event_s_whole(F.col(raw_time)),
-            "kafka_logappend_ms": append_ms(F.col(ts), F.col("produced_at_ms")),
-            "stream_features_ready_at": F.col("window_end"),
-        }
-    ).drop("_event_ts")
+    return rows.withColumns({**fabric_row(raw_time, ts), **fabric_window()}).drop("_event_ts")
+
+
+def fabric_row(raw_time: str, ts: str) -> dict[str, Column]:
+    return {
+        **point_flags(),
+        **quiet_flags(),
+        "schema_valid": in_range(),
+        "event_time_utc_ms": event_ms(F.col(raw_time), on_null="null"),
+        S.TIME: event_s_whole(F.col(raw_time)),
+        "kafka_logappend_ms": append_ms(F.col(ts), F.col("produced_at_ms")),
+    }
+
+
+def fabric_window() -> dict[str, Column]:
+    return {"conc_ok": conc_ok_column(), "stream_features_ready_at": F.col("window_end")}
 
 
 def mesh_job(

@@ -3,13 +3,15 @@
 from brinewatch.streaming.jobs import (
     deduplicated,
     enriched,
-    kappa_flags,
+    run_fabric,
+    run_kappa,
+    run_speed,
     tumbling,
     validated,
 )
-from brinewatch.streaming.run import drain, drain_split, drain_upserts
+from brinewatch.streaming.run import UpsertLog, drain, drain_insert_ignore, drain_split, drain_upserts
 
 __all__ = [
-    "deduplicated", "drain", "drain_split", "drain_upserts", "enriched", "kappa_flags", "tumbling",
-    "validated",
+    "UpsertLog", "deduplicated", "drain", "drain_insert_ignore", "drain_split", "drain_upserts", "enriched",
+    "run_fabric", "run_kappa", "run_speed", "tumbling", "validated",
 ]

@@ -1,4 +1,7 @@
-"""Transforms of streaming frames.  All state is bounded by the watermark ``delay``."""
+"""Transforms of streaming frames, and the stream-style jobs run on them.
+
+All state is bounded by the watermark ``delay``.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +10,20 @@ from pyspark.sql import functions as F
 
 from brinewatch import schema as S
 from brinewatch.functions import in_range
-from brinewatch.operators.joins import stream_setpoints
-from brinewatch.operators.tumbling import conc_ok_column, point_flags, quiet_flags, tumbling_stats
+from brinewatch.operators.joins import stream_asof_setpoints, stream_setpoints
+from brinewatch.operators.tumbling import point_flags, tumbling_stats
+from brinewatch.plans import stream as plans
+from brinewatch.streaming.run import drain_served
 
 DELAY = "10 minutes"
-SALTS = 16
 
 
 def tumbling(events: DataFrame, *, ts: str = "kafka_ts", delay: str = DELAY, **options) -> DataFrame:
-    """Closed windows per device; partial sums are combined before the state shuffle."""
+    """Closed windows per device; partial sums are combined before the state shuffle.
+
+    In append mode a window comes out once the watermark has passed its end; the upsert form
+    (``drain_upserts``) has open windows as well.
+    """
     return tumbling_stats(events, ts=ts, delay=delay, **options)
 
 
@@ -38,38 +46,40 @@ def enriched(events: DataFrame, machines: DataFrame) -> DataFrame:
     return stream_setpoints(events, machines).withColumns(point_flags())
 
 
-def kappa_flags(
-    events: DataFrame, machines: DataFrame, *, ts: str = "kafka_ts",
-    minutes: int = S.WINDOW_MINUTES, delay: str = DELAY, salts: int = SALTS,
+def _served(
+    events: DataFrame, rows: DataFrame, label: str, *, ts: str, delay: str, drop_empty: bool = False
+) -> DataFrame:
+    stats = tumbling_stats(events.select(ts, S.MAC, *S.SENSORS), ts=ts, drop_empty=drop_empty, delay=delay)
+    return drain_served(rows, stats, label, ts=ts, minutes=S.WINDOW_MINUTES, delay=delay)
+
+
+def run_kappa(
+    events: DataFrame, machines: DataFrame, *, raw_time: str = S.TIME, ts: str = "kafka_ts", delay: str = DELAY
 ) -> DataFrame:
-    """Each event with its row flags and, from its closed window, ``conc_ok`` and ready time.
+    """Each event at once with its row flags; ``conc_ok`` and ready time follow its window, by key.
 
-    The stream is joined with its own window aggregate on device and window.  Events are spread
-    over ``salts`` state partitions per device, the aggregate (one row per device and window) is
-    copied to each, so a busy device does not end up in a single state store.
+    All events come out, those of open windows and late ones (``late``) included.
     """
-    timed = events.withWatermark(ts, delay)
-    # The window is the only event-time column either side may carry.
-    left = timed.select(
-        F.window(ts, f"{minutes} minutes").alias("window"),
-        *[F.col(c) for c in events.columns if c != ts],
-        F.unix_micros(ts).alias("_ts_us"),
-        F.pmod(F.xxhash64(*events.columns), F.lit(salts)).alias("_salt"),
-    )
-    stats = tumbling_stats(timed, ts=ts, minutes=minutes).select(
-        "window", S.MAC, "avg_conductivity",
-        F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("_salt"),
-    )
-    joined = left.join(stats, [S.MAC, "window", "_salt"], "left")
-    micros_per_window = minutes * 60_000_000
-    has_window = F.col(S.MAC).isNotNull()
-    own_end = (F.col("_ts_us") - F.pmod("_ts_us", F.lit(micros_per_window)) + micros_per_window)
-    ready_us = F.when(has_window, own_end).otherwise(F.col("_ts_us") + micros_per_window)
-    return stream_setpoints(joined, machines).withColumns(
-        {
-            **point_flags(),
-            "conc_ok": conc_ok_column(),
-            **quiet_flags(),
-            "stream_features_ready_at": F.timestamp_micros(ready_us),
-        }
-    ).drop("_salt", "_ts_us", "window")
+    rows = stream_setpoints(events, machines).withColumns(plans.kappa_row(raw_time, ts))
+    return _served(events, rows, "kappa", ts=ts, delay=delay).withColumns(plans.kappa_window(ts))
+
+
+def run_speed(
+    events: DataFrame, machines: DataFrame, *, raw_time: str = S.TIME, ts: str = "kafka_ts", delay: str = DELAY
+) -> DataFrame:
+    """The speed layer of the two-layer style on a stream."""
+    rows = stream_setpoints(events, machines).withColumns(plans.speed_row(raw_time, ts))
+    return _served(events, rows, "speed", ts=ts, delay=delay).withColumns(plans.speed_window(ts))
+
+
+def run_fabric(
+    events: DataFrame, versions: DataFrame, *, raw_time: str = S.TIME, ts: str = "kafka_ts", delay: str = DELAY
+) -> DataFrame:
+    """Valid rows with setpoints as of the event; windows on event time cover all rows with a sensor value.
+
+    Rejected rows can be had from the same source with ``drain_split``.
+    """
+    timed = events.withColumn("_event_ts", F.timestamp_seconds(S.TIME))
+    rows = stream_asof_setpoints(timed.where(in_range()), versions).withColumns(plans.fabric_row(raw_time, ts))
+    served = _served(timed, rows, "fabric", ts="_event_ts", delay=delay, drop_empty=True)
+    return served.withColumns(plans.fabric_window()).drop("_event_ts")

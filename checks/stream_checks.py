@@ -10,7 +10,8 @@ from brinewatch import streaming
 from brinewatch.operators.tumbling import tumbling_stats
 from checks import inputs as I
 from checks.feature_checks import CONC_OK_SQL, M, POINT_SQL, STATS_SQL, VALID, WINDOW_SQL, rounded
-from checks.registry import check
+from checks.job_checks import QUIET_SQL, READY, STREAM_FROM
+from checks.registry import ORACLES, check
 
 # With one input batch a window is emitted once its end is not after the watermark.
 CLOSED = "(SELECT max(kafka_logappend_ms) - 600000 FROM beacons)"
@@ -66,26 +67,53 @@ def stream_validated(spark, sf):
     ).select("event_id", "mean_wash_tank_temp", "outcome")
 
 
+@check("stream_kappa_flags", ORACLES["kappa_job"])
+def stream_kappa_flags(spark, sf):
+    """All events come out, also those of windows that are still open."""
+    b = I.beacon_stream(spark, sf)
+    unkeyed = b.withColumn("event_id", F.when(F.col("k") % 10 != 0, F.col("event_id")))
+    out = streaming.run_kappa(unkeyed, I.machines(spark, sf), raw_time="date_time_raw")
+    return out.select(
+        "event_id", "event_time_utc_ms", "kafka_logappend_ms", *S.RULE_FLAGS, "conc_ok",
+        fn.epoch_ms(F.col("stream_features_ready_at")).alias("ready_ms"),
+    )
+
+
 @check(
-    "stream_kappa_flags",
+    "stream_speed",
     I.with_inputs(WINDOW_SQL + f"""
-    SELECT event_id, {POINT_SQL}, {CONC_OK_SQL} AS conc_ok,
-      (kafka_logappend_ms // 1200000 + 1) * 1200000 AS ready_ms
-    FROM beacons b LEFT JOIN machines m ON b.mac_address_string = m.mac
-      LEFT JOIN w ON b.mac_address_string = w.mac AND b.kafka_logappend_ms // 1200000 = w.slot
-    WHERE (kafka_logappend_ms // 1200000 + 1) * 1200000 <= {CLOSED}""", M),
+    SELECT event_id, event_time_utc_ms, (kafka_logappend_ms // 1000) * 1000 AS kafka_logappend_ms, {POINT_SQL},
+      {CONC_OK_SQL} AS conc_ok, {QUIET_SQL}, {READY} AS ready_ms {STREAM_FROM}""", M),
 )
-def stream_kappa_flags(spark, sf):
-    out = streaming.kappa_flags(I.beacon_stream(spark, sf), I.machines(spark, sf))
-    return streaming.drain(
-        out.select(
-            "event_id", *S.RULE_FLAGS[:4], "conc_ok",
-            fn.epoch_ms(F.col("stream_features_ready_at")).alias("ready_ms"),
-        ),
-        "kappa",
+def stream_speed(spark, sf):
+    out = streaming.run_speed(I.beacon_stream(spark, sf), I.machines(spark, sf), raw_time="date_time_raw")
+    return out.select(
+        "event_id", "event_time_utc_ms", "kafka_logappend_ms", *S.RULE_FLAGS, "conc_ok",
+        fn.epoch_ms(F.col("speed_features_ready_at")).alias("ready_ms"),
+    )
+
+
+@check("stream_fabric", ORACLES["fabric_job"])
+def stream_fabric(spark, sf):
+    out = streaming.run_fabric(I.beacon_stream(spark, sf), I.machine_versions(spark, sf), raw_time="date_time_raw")
+    return out.select(
+        "event_id", *S.RULE_FLAGS, "conc_ok", "schema_valid", "date_time_utc", "event_time_utc_ms",
+        "kafka_logappend_ms", fn.epoch_ms(F.col("stream_features_ready_at")).alias("ready_ms"),
     )
 
 
+@check(
+    "stream_insert_ignore",
+    I.with_inputs("SELECT event_id, CASE WHEN k % 4 = 0 THEN 'there' ELSE 'new' END AS origin FROM beacons"),
+)
+def stream_insert_ignore(spark, sf):
+    """Every event comes twice; the target has a quarter of them already."""
+    there = I.beacons(spark, sf).where("k % 4 = 0").select("event_id", F.lit("there").alias("origin"), F.lit(0).alias("copy"))
+    b = I.beacon_stream(spark, sf).select("event_id", F.lit("new").alias("origin"))
+    twice = b.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return streaming.drain_insert_ignore(twice, "insert", key="event_id", order=["copy"], target=there).drop("copy")
+
+
 @check("stream_upsert", I.with_inputs(TUMBLING_SQL))
 def stream_upsert(spark, sf):
     """Update mode: open windows are written too, later versions replace earlier ones."""

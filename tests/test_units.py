@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from brinewatch import functions as fn
 from brinewatch import schema as S
 from brinewatch.operators import distribution as D
-from brinewatch.operators import domains, features, flags, quality, runs, timeliness, workloads
+from brinewatch.operators import domains, features, flags, issues, quality, runs, timeliness, workloads
+from brinewatch.operators.skew import HotPolicy
 from brinewatch.sources import machines, messages, pending, sinks, traces
 from brinewatch.sources import runs as run_source
 
@@ -327,3 +328,23 @@ def test_large_dimension_takes_the_salted_stream_join(spark, sf_dir):
     small = streaming.drain(stream_setpoints(rows, dim).select(*names), "small")
     large = streaming.drain(stream_setpoints(rows, dim, max_broadcast_rows=1).select(*names), "large")
     assert small.exceptAll(large).count() == 0 and small.count() == large.count() > 0
+
+
+def test_infinite_values_are_counted(spark):
+    rows = [("a", float("inf")), ("a", 1.0), ("a", 2.0), ("b", float("-inf")), ("b", float("inf")), ("c", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in D.distribution(df, "v", ["g"], linear={"p0": 0.0, "p100": 1.0}).collect()}
+    assert got["a"].max == got["a"].p100 == got["a"].mean == float("inf") and got["a"].p0 == 1.0
+    assert got["b"].min == float("-inf") and got["b"].mean != got["b"].mean and got["b"].n == 2
+    assert got["c"].mean == 3.0 and got["c"].std == 0.0
+
+
+def test_rows_without_time_are_not_earlier(spark):
+    rows = [("e1", "m", None, 10.0), ("e2", "m", 1000, 50.0), ("e3", "m", 1040, 60.0)]
+    schema = "event_id string, mac_address_string string, date_time_utc bigint, mean_conductivity double"
+    df = spark.createDataFrame(rows, schema).withColumns(
+        {"mean_wash_tank_temp": F.lit(1.0), "mean_rinse_temp": F.lit(1.0), "conc_constant_over": F.lit(False)}
+    )
+    for policy in (HotPolicy(), HotPolicy(min_rows=1, chunk_rows=1)):
+        got = issues.sensor_features(df, flags=["conc_constant_over"], policy=policy)
+        assert {r.event_id: r.conductivity_delta_30s for r in got.collect()} == {"e1": None, "e2": None, "e3": 10.0}
