@@ -44,6 +44,17 @@ def fal_seconds(ready_ms: Column, append_ms: Column) -> Column:
     return (ready_ms - append_ms) / 1000.0
 
 
+def batch_latency(
+    flags_at: str = "flags_computed_at", ingest: str = "ingest_at", latency: str = "latency_seconds"
+) -> Column:
+    """Append-to-flags lag of a batch in seconds: from ingest to the flags, plus the latency before ingest.
+
+    NULL without an ingest or flags time; a missing latency counts as none.
+    """
+    waited = (F.unix_micros(F.col(flags_at)) - F.unix_micros(F.col(ingest))) / 1e6
+    return waited + F.coalesce(number(F.col(latency)), F.lit(0.0))
+
+
 def row_quality(processing: str = "ingest_at", time: str = S.TIME) -> dict[str, Column]:
     """Features that need only the row itself."""
     rate = missing_rate()

@@ -96,6 +96,44 @@ def merge_manifest(discovered: DataFrame, manifest: DataFrame) -> DataFrame:
     return d.join(m, same, "full").select(*columns)
 
 
+#: Fields of the two reports that a run may leave beside its extract.
+HARDWARE_FIELDS = "hardware_metrics map<string,map<string,double>>"
+PRODUCER_FIELDS = (
+    "mode string, rate_limit double, replication_factor bigint, wall_clock_seconds double, actual_msg_per_sec double"
+)
+
+
+def read_run_reports(spark: SparkSession, paths: str, fields: str) -> DataFrame:
+    """JSON reports, one per run, with the run's keys from their folders.
+
+    ``paths`` is a pattern of files or folders, ``.../architecture/workload_X/run_N/...`` or with key=value
+    folders. A report is read as a whole, as it may span lines; one that cannot be parsed has NULL fields.
+    """
+    options = {"multiLine": True, "recursiveFileLookup": True}
+    rows = spark.read.options(**options).schema(fields).json(paths)
+    path = F.col("_metadata.file_path")
+    layouts = (r"([^/]+)/workload_([^/]+)/run_([0-9]+)/", r"architecture=([^/]+)/workload=([^/]+)/repeat=([0-9]+)/")
+    parts = [
+        F.coalesce(*(F.when(path.rlike(x), F.regexp_extract(path, x, i)) for x in layouts)) for i in (1, 2, 3)
+    ]
+    return rows.select(
+        parts[0].alias("architecture"), parts[1].alias("workload"), parts[2].cast("int").alias("repeat"), *rows.columns
+    )
+
+
+def join_run_reports(runs: DataFrame, hardware: DataFrame, producers: DataFrame) -> DataFrame:
+    """Runs with what their reports say; a run without reports stays, of several reports one counts.
+
+    A run has one row on each side, so all sides are small.
+    """
+    keys = list(RUN_KEYS)
+    for side in (hardware, producers):
+        rest = [c for c in side.columns if c not in keys]
+        one = side.groupBy(*keys).agg(*(F.any_value(c, True).alias(c) for c in rest))
+        runs = runs.join(one, keys, "left")
+    return runs
+
+
 def manifest_defaults(manifest: DataFrame) -> DataFrame:
     """Listed runs without workload or repeat count as workload A, repeat 0."""
     return manifest.withColumns(

@@ -348,3 +348,12 @@ def test_rows_without_time_are_not_earlier(spark):
     for policy in (HotPolicy(), HotPolicy(min_rows=1, chunk_rows=1)):
         got = issues.sensor_features(df, flags=["conc_constant_over"], policy=policy)
         assert {r.event_id: r.conductivity_delta_30s for r in got.collect()} == {"e1": None, "e2": None, "e3": 10.0}
+
+
+def test_run_reports_in_run_folders(spark, tmp_path):
+    folder = tmp_path / "kappa" / "workload_A" / "run_2"
+    folder.mkdir(parents=True)
+    (folder / "producer_report.json").write_text('{\n "mode": "rate",\n "rate_limit": 5}')
+    got = run_source.read_run_reports(spark, f"{tmp_path}/*/*/*/producer_report.json", run_source.PRODUCER_FIELDS)
+    row = got.first()
+    assert (row.architecture, row.workload, row.repeat, row["mode"], row.rate_limit) == ("kappa", "A", 2, "rate", 5.0)
