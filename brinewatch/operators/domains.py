@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
+from brinewatch.sources.sinks import upsert
 
 
 def domain(mac: Column) -> Column:
@@ -54,6 +55,13 @@ def quality_gates(
     )
 
 
+def upsert_gates(target: DataFrame, *runs: DataFrame) -> DataFrame:
+    """The gate table after further runs: of each domain the newest gate stays, other domains are untouched."""
+    for gates in runs:
+        target = upsert(gates, target, key=["domain"], order=["last_gate_run"])
+    return target
+
+
 def quality_snapshot(df: DataFrame) -> DataFrame:
     """Averages per domain where each missing figure counts with its neutral value."""
     return df.groupBy("domain").agg(

@@ -267,6 +267,37 @@ def quality_gates(spark, sf):
     )
 
 
+@check(
+    "gate_upsert",
+    I.with_inputs(f"""WITH q AS (SELECT {DOMAIN} AS domain, {MISSING} AS missing_rate,
+        CAST(k % 2 AS DOUBLE) / 4 AS flag_flip_rate FROM beacons)
+    SELECT *, CAST({NOW_MS} AS BIGINT) AS run_ms FROM ({GATE_SQL})
+    UNION ALL SELECT 'rinsing_old', 0e0, 5e-1, 0e0, 'warn', CAST({NOW_MS} - 60000 AS BIGINT)"""),
+)
+def gate_upsert(spark, sf):
+    """Two runs meet a table of an older run: an early one, listed last, and the one that counts."""
+    rows = domains.with_domain(I.beacons(spark, sf)).withColumns(
+        {
+            "missing_rate": fn.missing_rate(),
+            "field_consistency_score": F.lit(1.0) - fn.missing_rate(),
+            "flag_flip_rate": (F.col("k") % 2) / 4,
+        }
+    )
+    early = now() - F.expr("interval 1 minute")
+    old = domains.quality_gates(rows.where("k % 3 = 0"), now=early)
+    gone = domains.quality_gates(
+        rows.limit(1).select(
+            F.lit("rinsing_old").alias("domain"), F.lit(0.0).alias("missing_rate"),
+            F.lit(0.5).alias("field_consistency_score"), F.lit(0.0).alias("flag_flip_rate"),
+        ),
+        now=early,
+    )
+    new = domains.quality_gates(rows, max_missing=0.0605, now=now())
+    both = new.unionByName(domains.quality_gates(rows.where("k % 2 = 0"), now=early))
+    table = domains.upsert_gates(old.unionByName(gone), both)
+    return rounded(table, *GATE_COLUMNS[1:4]).select(*GATE_COLUMNS, fn.epoch_ms(F.col("last_gate_run")).alias("run_ms"))
+
+
 @check(
     "quality_snapshot",
     I.with_inputs(f"""WITH q AS (SELECT {DOMAIN} AS domain,
