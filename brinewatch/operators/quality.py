@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
@@ -155,12 +155,10 @@ def integrity_bins(
     all have the same time has no bins.
     """
     keys = [*run, S.MAC]
-    per_device = Window.partitionBy(*keys)
-    # At most one row per device and instant reaches the window.
-    instants = (
-        _named(df, time).groupBy(*keys, time).agg(F.count(F.lit(1)).alias("_c"))
-        .withColumns({"_t0": F.min(time).over(per_device), "_t1": F.max(time).over(per_device)})
-    )
+    named = _named(df, time)
+    span = named.groupBy(*keys).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
+    # Rows are counted into bins map-side; no task needs a whole device.
+    instants = named.select(*keys, time).join(span, keys).withColumn("_c", F.lit(1))
     bins = F.ceil((F.col("_t1") - F.col("_t0")) / F.lit(float(window_s)))
     filled = (
         instants.withColumn("_bins", bins).where(F.col("_bins") > 0)

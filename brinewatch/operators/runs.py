@@ -88,7 +88,8 @@ def run_metrics(
         measurement_minutes=measurement_minutes,
     )
     alarm = alarm_flag(rows, threshold=threshold, band=band)
-    rows = rows.withColumn("_alarm", alarm)
+    # About a dozen steps below read the slice: it is made once.
+    rows = checkpointed(rows.withColumn("_alarm", alarm))
 
     # Device-level tables are read several times below: written once, they also keep plans short.
     hot = hot_devices(rows, (*run, S.MAC), S.TIME, policy)

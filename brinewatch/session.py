@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 1_000_000
 
 _fallback_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def tune(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -43,7 +44,19 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         if app not in _fallback_dirs:
             _fallback_dirs[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         root = _fallback_dirs[app]
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this application has written with ``scratch_dir``, once no result is read any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        folder = hadoop.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -357,3 +357,15 @@ def test_run_reports_in_run_folders(spark, tmp_path):
     got = run_source.read_run_reports(spark, f"{tmp_path}/*/*/*/producer_report.json", run_source.PRODUCER_FIELDS)
     row = got.first()
     assert (row.architecture, row.workload, row.repeat, row["mode"], row.rate_limit) == ("kappa", "A", 2, "rate", 5.0)
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from brinewatch import session
+
+    app = spark.sparkContext.applicationId
+    kept = session._written.pop(app, [])
+    table = session.checkpointed(spark.range(3))
+    path = session._written[app][0]
+    assert table.count() == 3 and os.path.exists(path)
+    assert session.drop_scratch(spark) == 1 and not os.path.exists(path)
+    session._written[app] = kept
