@@ -1,10 +1,11 @@
 """Byte-pair encoding through a table of distinct words, and decoding through an id-to-piece join.
 
-Documents are dealt into blocks of a few megabytes. Each block lists its distinct words once; all blocks'
-words meet in one distinct table, where every word is encoded once and its ids are joined to the
-vocabulary's pieces. The encoded words go back to the blocks that hold them, and each block puts its
-documents together by position. So the table of words is never broadcast or gathered, whatever its size;
-a task holds one block and the words of that block.
+All distinct words of the corpus meet in one table, where every word is encoded once. A bounded number of
+the words that most tasks hold is broadcast with its ids; texts become sequences of numbers of such words,
+with the other words listed in order. Texts are dealt into blocks in this form, which is several times
+smaller. Each block lists its other words, these are joined to their ids in the table, go back to the
+block and are put in by position. So the size of the vocabulary does not matter: a task holds one block,
+the words of that block and the bounded list.
 
 The text rules are those of the tokenizer file: special tokens are cut out first, then NFC, lower case,
 words by a pattern, white space dropped. A file without a decoder decodes to its pieces joined by spaces.
@@ -17,21 +18,28 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from brinewatch.llm.tables import arrow_batches, fresh
+from brinewatch.session import checkpointed
 
 #: Bytes of text in one block.
 BLOCK_BYTES = 8 << 20
+#: Words that are broadcast with their ids at most, and their greatest length; the others are joined.
+MOST_FREQUENT, LONGEST = 300_000, 64
+#: Distinct words a task lists before it starts a new list.
+LISTED = 500_000
 #: The word pattern of the tokenizer file.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Outside Latin, Greek, Cyrillic, general punctuation and currency signs.
@@ -100,10 +108,27 @@ def pieces(tokenizer_json: str) -> dict[int, str]:
     return {i: piece for piece, i in [*vocabulary.items(), *special_tokens(tokenizer_json).items()]}
 
 
-def encoded_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
-    """Distinct ``word`` rows with their ``ids`` and the ``decoded`` pieces joined by spaces."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast(tokenizer_json)
+def word_table(docs: DataFrame, tokenizer_json: str, text: str) -> DataFrame:
+    """Every distinct ``word`` and the number ``n`` of tasks' lists that hold it; written, as it is used twice."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen = WordSplitter(shared.value), set()
+        for batch in batches:
+            for value in batch.column(0):
+                seen.update(split(value.as_py() or ""))
+                if len(seen) > LISTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
+                    seen = set()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
+
+    words = docs.select(F.col(text).cast("string")).mapInArrow(listed, "word string")
+    return checkpointed(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+
+def encoded(words: DataFrame, tokenizer_json: str) -> DataFrame:
+    """``word`` rows with their ``ids``."""
+    shared = words.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = special_tokens(shared.value)
@@ -114,71 +139,145 @@ def encoded_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
             ids = [[special[w]] if w in special else i for w, i in zip(listed, ids)]
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    encoded = words.mapInArrow(encode, "word string, ids array<int>")
-    # The vocabulary is of fixed size, so its table may be broadcast.
-    names = spark.createDataFrame(list(pieces(tokenizer_json).items()), "id int, piece string")
-    each = encoded.select("word", F.posexplode("ids").alias("place", "id")).join(F.broadcast(names), "id")
-    return (
-        each.groupBy("word")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "id", "piece"))).alias("p"))
-        .select("word", F.col("p.id").alias("ids"), F.array_join("p.piece", " ").alias("decoded"))
-    )
+    return words.select("word").mapInArrow(encode, "word string, ids array<int>")
+
+
+class WordIds:
+    """Numbered words and their ids, one list behind the other."""
+
+    def __init__(self, words: list[str], ids: pa.ListArray):
+        self.words = words
+        self.length = np.asarray(ids.value_lengths()).astype(np.int64)
+        self.flat = np.asarray(ids.flatten()).astype(np.dtype("<u4"))
+
+    def numbers(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words)}
+
+
+def frequent_words(table: DataFrame, tokenizer_json: str, most: int) -> tuple[WordIds, int]:
+    """The words in most tasks' lists, ``most`` at most, and the least ``n`` they have."""
+    short = table.where(F.length("word") <= LONGEST)
+    levels = short.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n"))
+    total, least = 0, 2**62
+    for level in levels.toLocalIterator():
+        total += level["words"]
+        if total > most:
+            break
+        least = level["n"]
+    chosen = short.where(F.col("n") >= least)
+    # Bounded in number and length. Shorter words are the more frequent ones: small numbers pack well.
+    order = chosen.select("word", "n").toArrow()
+    ids = encoded(chosen, tokenizer_json).toArrow()
+    listed = dict(zip(ids.column("word").to_pylist(), ids.column("ids").to_pylist()))
+    ranked = sorted(zip(order.column("n").to_pylist(), order.column("word").to_pylist()), key=lambda x: (-x[0], len(x[1]), x[1]))
+    words = [w for _, w in ranked]
+    return WordIds(words, pa.array([listed[w] for w in words], pa.list_(pa.int32()))), least
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^24, byte by byte, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T)
+    parts = [_zstd().compress(plane.tobytes()) for plane in planes]
+    return struct.pack("<4I", len(numbers), *map(len, parts)) + b"".join(parts)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    count, *sizes = struct.unpack_from("<4I", data)
+    out, at = np.zeros((count, 4), np.uint8), 16
+    for plane, size in enumerate(sizes):
+        raw = zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=max(count, 1))
+        out[:, plane] = np.frombuffer(raw, np.uint8)
+        at += size
+    return out.reshape(-1).view("<u4").astype(np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def _zstd() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=3)
 
 
 def bpe_round_trip(
-    docs: DataFrame, tokenizer_json: str, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, tokenizer_json: str, text: str = "text", id_col: str = "doc_id",
+    block_bytes: int = BLOCK_BYTES, most_frequent: int = MOST_FREQUENT,
 ) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers) and ``decoded``."""
+    """``docs`` without their ``text``, with ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and ``decoded``."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    kept = [f for f in docs.schema if f.name not in RESULT.names]
-    shared = spark.sparkContext.broadcast(tokenizer_json)
+    kept = [f for f in docs.schema if f.name not in (*RESULT.names, text)]
+    block, packed, others = (fresh(docs, c) for c in ("block", "packed", "others"))
+    table = word_table(docs, tokenizer_json, text)
+    frequent, least = frequent_words(table, tokenizer_json, most_frequent)
+    shared = spark.sparkContext.broadcast((tokenizer_json, frequent))
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    block = fresh(docs, "block")
-    dealt = docs.select([f.name for f in kept]).withColumn(
+    placed = docs.select(*(f.name for f in kept), F.col(text).cast("string").alias(text)).withColumn(
         block, F.pmod(F.xxhash64(F.col(id_col)), F.lit(size // block_bytes + 1))
     )
-    # Both readers below are fed by this one exchange.
-    dealt = dealt.repartition(block)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = WordSplitter(shared.value), {}
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, known = WordSplitter(shared.value[0]), shared.value[1].numbers()
+        other = len(known)
+        for batch in batches:
+            codes, rest = [], []
+            for value in batch.column(text):
+                words = split(value.as_py() or "")
+                numbers = np.array([known.get(w, other) for w in words], np.int64)
+                codes.append(pack(numbers))
+                rest.append([words[i] for i in np.flatnonzero(numbers == other)])
+            columns = [batch.column(f.name) for f in kept] + [batch.column(block)]
+            columns += [pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), block, packed, others])
+
+    extra = [T.StructField(block, T.LongType()), T.StructField(packed, T.BinaryType())]
+    extra.append(T.StructField(others, T.ArrayType(T.StringType())))
+    # Both readers below take all columns, so one exchange feeds them.
+    dealt = placed.mapInArrow(number, T.StructType([*kept, *extra])).repartition(block)
+
+    def list_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set] = {}
         for batch in batches:
-            blocks = batch.column(block).to_pylist()
-            for number, value in zip(blocks, batch.column(text)):
-                seen.setdefault(number, set()).update(split(value.as_py() or ""))
-        for number, found in seen.items():
-            found = sorted(found)
-            for at in range(0, len(found), 50_000):
-                part = found[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(part)), pa.array(part, pa.string())], ["b", "word"])
+            for b, words in zip(batch.column(block).to_pylist(), batch.column(others).to_pylist()):
+                seen.setdefault(b, set()).update(words)
+        for b, words in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b] * len(words), pa.int64()), pa.array(list(words), pa.string())], ["b", "word"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        split = WordSplitter(shared.value)
-        bytes_of = {
-            w: (np.asarray(i, np.dtype("<u4")).tobytes(), d)
-            for w, i, d in zip(*(right.column(c).to_pylist() for c in ("word", "ids", "decoded")))
-        }
+        tokenizer, base = shared.value
+        names = _piece_array(tokenizer)
+        own = WordIds(right.column("word").to_pylist(), right.column("ids").combine_chunks())
+        place = {w: i + len(base.words) for i, w in enumerate(own.words)}
+        flat, length = np.concatenate([base.flat, own.flat]), np.concatenate([base.length, own.length])
+        start = np.cumsum(length) - length
         ids, decoded = [], []
-        for value in left.column(text):
-            found = [bytes_of[w] for w in split(value.as_py() or "")]
-            ids.append(b"".join([f[0] for f in found]))
-            decoded.append(" ".join([f[1] for f in found]))
-        columns = [left.column(f.name) for f in kept]
+        for data, rest in zip(left.column(packed), left.column(others)):
+            numbers = unpack(data.as_py())
+            numbers[numbers == len(base.words)] = [place[w] for w in rest.as_py()]
+            sizes = length[numbers]
+            inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found = flat[np.repeat(start[numbers], sizes) + inner]
+            ids.append(found.tobytes())
+            decoded.append(" ".join(names[found]))
         counts = pa.array([len(i) // 4 for i in ids], pa.int64())
         return pa.Table.from_arrays(
-            [*columns, counts, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
+            [*(left.column(f.name) for f in kept), counts, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
             [*(f.name for f in kept), *RESULT.names],
         )
 
-    words = dealt.mapInArrow(listed, "b bigint, word string")
-    table = encoded_words(words.select("word").distinct(), tokenizer_json)
-    back = words.join(table, "word").select("b", "word", "ids", "decoded")
+    rare = encoded(table.where((F.col("n") < least) | (F.length("word") > LONGEST)), tokenizer_json)
+    back = dealt.mapInArrow(list_others, "b bigint, word string").join(rare, "word").select("b", "word", "ids")
     return (
         dealt.groupBy(block).cogroup(back.groupBy("b")).applyInArrow(assemble, T.StructType([*kept, *RESULT.fields]))
     )
 
 
+@functools.lru_cache(maxsize=1)
+def _piece_array(tokenizer_json: str) -> np.ndarray:
+    """The id-to-piece table of the vocabulary, which is of fixed size."""
+    table = pieces(tokenizer_json)
+    out = np.full(max(table) + 1, "", dtype=object)
+    out[list(table)] = list(table.values())
+    return out
+
+
 def bpe_report(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     """One row per document: number of tokens, digests of the ids and of the decoded text."""
     done = bpe_round_trip(docs.select("doc_id", "text"), tokenizer_json)

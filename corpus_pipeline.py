@@ -12,7 +12,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewatch.llm.bpe import RESULT as BPE_COLUMNS
 from brinewatch.llm.bpe import bpe_round_trip
 from brinewatch.llm.decontaminate import RESULT as FOUND_COLUMNS
 from brinewatch.llm.decontaminate import find_contamination
@@ -59,14 +58,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and a digest of what they decode to."""
+    """Token ids in place of every text, and a digest of what they decode to; the results' names win."""
     with open(TOKENIZER, encoding="utf-8") as file:
         tokenizer = file.read()
-    moved, back = _aside(docs, [*BPE_COLUMNS.names, "decoded_sha256"])
-    done = bpe_round_trip(moved, tokenizer).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
-    return done.withColumnsRenamed({new: old for new, old in back.items() if old not in done.columns}).drop(
-        *(new for new, old in back.items() if old in done.columns)
-    )
+    done = bpe_round_trip(docs, tokenizer)
+    return done.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
