@@ -11,6 +11,13 @@ from brinewatch import schema as S
 from brinewatch.functions import in_range
 
 
+#: JSON tokens that a type allows, by the names they have in a variant.
+JSON_TOKENS = {
+    "string": "^STRING$", "int": "^BIGINT$", "bigint": "^BIGINT$", "double": "^(BIGINT|DOUBLE|DECIMAL.*)$",
+    "boolean": "^BOOLEAN$",
+}
+
+
 def mark_valid(df: DataFrame, columns: Sequence[str] = S.SENSORS) -> DataFrame:
     return df.withColumn("schema_valid", in_range(columns))
 
@@ -35,21 +42,24 @@ def contract_violations(
 ) -> DataFrame:
     """Per required field: messages where it is missing, of the wrong type or outside its enum.
 
-    Unparsable messages count as missing everything.  One aggregate over all fields.
+    Unparsable messages count as missing everything, JSON nulls as missing.  Types are those of the JSON
+    tokens: a number is no string, a quoted number no number.  One aggregate over all fields.
     """
     enums = enums or {}
     wanted = {field: kind for field, (column, kind) in fields.items() if column in required}
     wanted.update({field: "string" for field in enums if field not in wanted})
-    ddl = ", ".join(f"`{field}` string" for field in wanted)
-    parsed = messages.select(F.from_json(value, ddl).alias("m"))
+    parsed = messages.select(F.try_parse_json(F.col(value)).alias("m"))
     counts, rows = [F.count(F.lit(1)).alias("_messages")], []
     for i, (field, kind) in enumerate(wanted.items()):
-        text = F.col("m")[field]
-        typed = text.isNotNull() & text.try_cast(kind).isNull()
-        outside = ~text.isin(*enums[field]) if field in enums else F.lit(False)
+        path = f"$['{field}']"
+        token = F.schema_of_variant(F.try_variant_get("m", path, "variant"))
+        there = F.coalesce(token != "VOID", F.lit(False))
+        typed = token.rlike(JSON_TOKENS.get(kind, "")) & F.try_variant_get("m", path, kind).isNotNull()
+        text = F.try_variant_get("m", path, "string")
+        outside = there & ~text.isin(*enums[field]) if field in enums else F.lit(False)
         counts += [
-            F.count_if(text.isNull()).alias(f"_m{i}"),
-            F.count_if(typed).alias(f"_t{i}"),
+            F.count_if(~there).alias(f"_m{i}"),
+            F.count_if(there & ~typed).alias(f"_t{i}"),
             F.count_if(F.coalesce(outside, F.lit(False))).alias(f"_e{i}"),
         ]
         rows.append(

@@ -353,3 +353,33 @@ def _contract_row(field: str, column: str, kind: str) -> str:
 )
 def contract_violations(spark, sf):
     return contracts.contract_violations(I.raw_events(spark, sf))
+
+
+# k = 60: a number as architecture; 61: an unknown product; 62: a quoted number; 63: JSON null; 64: cut short.
+PRODUCT_ROWS = {
+    "Id": ("k IN (64)", "FALSE", "FALSE"), "BeaconEventID": ("k IN (63, 64)", "k = 62", "FALSE"),
+    "architecture": ("k IN (64)", "k = 60", "k = 60"), "data_product": ("k IN (64)", "FALSE", "k = 61"),
+}
+
+
+@check(
+    "product_contract",
+    I.with_inputs(" UNION ALL ".join(
+        f"""SELECT '{field}' AS field, count(*) AS messages, count(*) FILTER ({missing}) AS missing,
+      count(*) FILTER ({wrong}) AS wrong_type, count(*) FILTER ({outside}) AS outside_enum FROM beacons"""
+        for field, (missing, wrong, outside) in PRODUCT_ROWS.items())),
+)
+def product_contract(spark, sf):
+    """The product contract with its enums, by the types of the JSON tokens."""
+    k = F.col("k")
+    value = F.concat(
+        F.lit('{"Id":"'), "event_id", F.lit('","BeaconEventID":'),
+        F.when(k == 62, '"7"').when(k == 63, "null").otherwise(k.cast("string")),
+        F.lit(',"architecture":'), F.when(k == 60, "5").otherwise('"datamesh"'), F.lit(',"data_product":"'),
+        F.when(k == 61, "cooking").otherwise(F.element_at(F.array(*map(F.lit, S.DOMAINS)), (k % 3 + 1).cast("int"))),
+        F.when(k == 64, "").otherwise('"}'),
+    )
+    messages = I.beacons(spark, sf).select(value.alias("value"))
+    return contracts.contract_violations(
+        messages, required=("event_id", "beacon_event_id"), enums=S.PRODUCT_ENUMS
+    )
