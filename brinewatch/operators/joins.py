@@ -31,7 +31,7 @@ def join_setpoints(
 ) -> DataFrame:
     """Left join on MAC.  The dimension is counted first: broadcast if small, else salted shuffle."""
     picked = machines.select(F.col("mac").alias(S.MAC), *columns)
-    _, fits = checked_broadcast(picked.select(S.MAC), max_broadcast_rows)
+    _, fits = checked_broadcast(picked, max_broadcast_rows)
     dim = first_per_key(picked, S.MAC)
     if fits:
         return df.join(F.broadcast(dim), S.MAC, "left")
@@ -49,7 +49,7 @@ def stream_setpoints(
     device is spread over ``salts`` copies of its dimension row.
     """
     picked = machines.select(F.col("mac").alias(S.MAC), *columns)
-    _, fits = checked_broadcast(picked.select(S.MAC), max_broadcast_rows)
+    _, fits = checked_broadcast(picked, max_broadcast_rows)
     dim = first_per_key(picked, S.MAC)
     if fits:
         return events.join(F.broadcast(dim), S.MAC, "left")
@@ -64,7 +64,7 @@ def stream_asof_setpoints(
 ) -> DataFrame:
     """Stream-static form of ``asof_setpoints``; beyond the broadcast limit every device is salted."""
     starts, valid = _intervals(versions, time, "valid_from", columns)
-    _, fits = checked_broadcast(versions.select("mac"), max_broadcast_rows)
+    _, fits = checked_broadcast(versions.select("mac", *columns), max_broadcast_rows)
     ranged = starts.withColumnRenamed(S.MAC, "_mac")
     same = (F.col(S.MAC) == F.col("_mac")) & valid
     if fits:
@@ -104,7 +104,7 @@ def asof_setpoints(
     interval is a join condition; otherwise events are shuffled with hot devices salted.
     """
     starts, valid = _intervals(versions, time, valid_from, columns)
-    _, fits = checked_broadcast(versions.select("mac"), max_broadcast_rows)
+    _, fits = checked_broadcast(versions.select("mac", *columns), max_broadcast_rows)
     if fits:
         ranged = F.broadcast(starts.withColumnRenamed(S.MAC, "_mac"))
         return df.join(ranged, (F.col(S.MAC) == F.col("_mac")) & valid, "left").drop("_mac", "_from", "_to")

@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest dimension that is shipped to every executor; larger ones take a shuffle join.
+#: Largest dimension that is shipped to every executor, in rows and in bytes of its values; larger ones
+#: take a shuffle join.
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 128 << 20
 
 _fallback_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -67,7 +69,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``(df, fits)``: broadcast-hinted when it has at most ``max_rows`` rows, else untouched."""
-    fits = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+def checked_broadcast(
+    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
+) -> tuple[DataFrame, bool]:
+    """``(df, fits)``: broadcast-hinted when it keeps within ``max_rows`` and ``max_bytes``, else untouched."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    width = sum(texts, F.lit(8 * len(df.columns)))
+    rows, size = df.select(width.cast("bigint").alias("w")).limit(max_rows + 1).agg(F.count("w"), F.sum("w")).first()
+    fits = rows <= max_rows and (size or 0) <= max_bytes
     return (F.broadcast(df) if fits else df), fits
