@@ -7,9 +7,11 @@ texts agree in a place with the probability of their probability Jaccard similar
 
 Texts with equal shingles are one node, so copies cost one row each. Nodes that share a band are candidates.
 Within a band one member is the centre and meets the others; that repeats with other centres for bands that
-still hold several components, and at last all pairs of different components left in a band are compared.
-So no band is expanded into all its pairs, and no link that would join two components is lost. A candidate
-is a link when the exact Jaccard similarity of its sets of shingles reaches the threshold. Classes are the
+still hold several components, and at last the pairs of different components left in a band are compared.
+From the second round on, pairs are left out that cannot reach the threshold: a shingle that no other
+member of such bands has is in no intersection, so the number of shared shingles bounds the similarity. So no
+band is expanded into all its pairs, and no link that would join two components is lost. A candidate is a
+link when the exact Jaccard similarity of its sets of shingles reaches the threshold. Classes are the
 connected components of links.
 
 Cases: a text of fewer than five words is one shingle; a text without words, or null, is in no class but
@@ -34,8 +36,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares none of 20 bands of 4 places with a probability of 3e-5.
 BANDS, ROWS = 20, 4
-#: Rounds in which a band's members meet one centre, before the pairs left over are compared.
-CENTRE_ROUNDS = 4
+#: Rounds in which a band's members meet one centre, before the pairs left over are compared: any member
+#: first, then the one with the largest share of shingles that others have, then another one.
+CENTRE_ROUNDS = 3
 
 _TOP = np.uint64(48)
 _LOW = np.uint64((1 << 48) - 1)
@@ -156,7 +159,62 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     joined = links.join(ends[0], "a").join(ends[1], "b").select("ca", "cb")
     renamed = components(joined, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to"))
     moved = members.join(renamed, "component", "left")
-    return checkpointed(moved.select("band", "node", F.coalesce("to", "component").alias("component")))
+    rest = [c for c in members.columns if c != "component"]
+    return checkpointed(moved.select(*rest, F.coalesce("to", "component").alias("component")))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of bands that hold several components."""
+    mixed = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return members.join(mixed.where("x < y").select("band"), "band")
+
+
+def _bounded(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Members with the number of their shingles, and of those that other members have as well.
+
+    A member without enough of the latter for any partner goes. Counting by a hash of the node can only
+    overstate what it shares.
+    """
+    nodes = members.select("node").distinct()
+    listed = sets.join(nodes, "node").select("node", F.xxhash64("node").alias("k"), "shingles")
+    each = listed.select("k", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s")
+    shared = each.join(common, "s").groupBy("k").agg(F.count(F.lit(1)).alias("shared"))
+    sized = listed.select("node", "k", F.size("shingles").alias("size")).join(shared, "k")
+    able = sized.where(F.col("shared") >= F.lit(similarity) * F.col("size")).select("node", "size", "shared")
+    return checkpointed(members.join(able, "node"))
+
+
+def _possible(size: str, shared: str, other_size: str, other_shared: str, similarity: float):
+    """Whether two sets can reach the similarity, given what each shares with any other."""
+    most = F.least(shared, other_shared)
+    return most >= F.lit(similarity) * (F.col(size) + F.col(other_size) - most)
+
+
+def _with_centre(members: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Pairs of each mixed band's centre with the members of other components."""
+    first = F.xxhash64("node", F.lit(turn))
+    known = "shared" in members.columns
+    order = F.struct(-F.col("shared") / F.col("size"), first) if known and turn == 1 else first
+    parts = ["node", "component", *(["size", "shared"] if known else [])]
+    centre = F.min_by(F.struct(*(F.col(c).alias(f"c_{c}") for c in parts)), order)
+    mixed = members.groupBy("band").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), centre.alias("c")
+    )
+    met = members.join(mixed.where("x < y").select("band", "c.*"), "band").where("component <> c_component")
+    if known:
+        met = met.where(_possible("size", "shared", "c_size", "c_shared", similarity))
+    return met.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b"))
+
+
+def _left_over(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """All possible pairs of different components that share a band, each in the first band it shares."""
+    left = _mixed(members).join(nodes.select("node", "bands"), "node")
+    other = left.select(*(F.col(c).alias(f"o_{c}") for c in ("band", "node", "component", "size", "shared", "bands")))
+    able = _possible("size", "shared", "o_size", "o_shared", similarity)
+    able = able & (F.element_at(F.array_intersect("bands", "o_bands"), 1) == F.col("band"))
+    pairs = left.join(other, (F.col("band") == F.col("o_band")) & (F.col("component") < F.col("o_component")) & able)
+    return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
 
 
 def near_duplicates(
@@ -180,30 +238,26 @@ def near_duplicates(
     again = source.join(wanted, "id", "left_semi").select("text")
     sets = again.mapInArrow(_sets, "node binary, shingles array<int>").where("node is not null")
     sets = checkpointed(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    tested = None
+    everyone, tested = members, None
     for turn in range(CENTRE_ROUNDS + 1):
-        mixed = members.groupBy("band").agg(
-            F.min("component").alias("least"),
-            F.max("component").alias("most"),
-            F.min_by(F.struct(F.col("node").alias("a"), F.col("component").alias("ca")), F.xxhash64("node", F.lit(turn))).alias("centre"),
-        ).where("least < most")
-        if turn < CENTRE_ROUNDS:
-            met = members.join(mixed.select("band", "centre.a", "centre.ca"), "band").where("component <> ca")
-            pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        else:
-            left = members.join(mixed.select("band"), "band")
-            other = left.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(other, "band").where("component < cb").select(
-                F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")
-            )
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        if pairs.isEmpty():
-            break
+        if turn == 1:
+            members = _bounded(_mixed(members), sets, similarity)
+        last = turn == CENTRE_ROUNDS
+        pairs = (_left_over(members, nodes, similarity) if last else _with_centre(members, turn, similarity)).distinct()
+        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        members = _relabel(members, _links(pairs, sets, similarity))
+        if pairs.isEmpty():
+            continue
+        links = _links(pairs, sets, similarity)
+        if links.isEmpty():
+            continue
+        everyone = _relabel(everyone, links)
+        if turn:
+            again = everyone.select("node", "component").distinct()
+            members = checkpointed(members.drop("component").join(again, "node"))
+        else:
+            members = everyone
+    members = everyone
     joined = members.select("node", "component").distinct()
     grouped = nodes.select("node", "id").join(joined, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
