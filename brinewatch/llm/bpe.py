@@ -35,7 +35,7 @@ from brinewatch.llm.tables import arrow_batches, fresh
 from brinewatch.session import checkpointed
 
 #: Bytes of text in one block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Words that are broadcast with their ids at most, and their greatest length; the others are joined.
 MOST_FREQUENT, LONGEST = 300_000, 64
 #: Distinct words a task lists before it starts a new list.
@@ -69,6 +69,8 @@ class WordSplitter:
         self.rare = regex.compile(RARE)
         parts = json.loads(tokenizer_json)
         parts |= {"added_tokens": [], "truncation": None, "padding": None}
+        # Only the rules for cutting are needed here, not the vocabulary.
+        parts["model"] = {"type": "BPE", "vocab": {}, "merges": []}
         parts["pre_tokenizer"] = parts["pre_tokenizer"]["pretokenizers"][0]
         self.rules = Tokenizer.from_str(json.dumps(parts))
 
@@ -202,7 +204,7 @@ def bpe_round_trip(
 ) -> DataFrame:
     """``docs`` without their ``text``, with ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and ``decoded``."""
     spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(spark, 1000)
     kept = [f for f in docs.schema if f.name not in (*RESULT.names, text)]
     block, packed, others = (fresh(docs, c) for c in ("block", "packed", "others"))
     table = word_table(docs, tokenizer_json, text)
