@@ -69,11 +69,18 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def _bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of the ``most`` least hashes ``h``, one for each; only hashes are ordered, not texts."""
+    least = rows.select("h").distinct().orderBy("h").limit(most + 1).agg(F.count("h"), F.max("h")).first()
+    chosen = rows if least[0] <= most else rows.where(F.col("h") < least[1])
+    return chosen.dropDuplicates(["h"])
+
+
 def labelled_strings(docs: DataFrame, text: str = "text", most: int = MAX_SAMPLE) -> DataFrame:
     """``(value, label)`` from a bounded sample of documents: secrets as written (1), long words (0)."""
-    plain = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    plain = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     secret = plain.where(F.col("t").rlike(f"{NAMES}|{ACCESS}|{HEX}"))
-    chosen = [side.orderBy(F.xxhash64("t"), F.length("t")).limit(most // 2) for side in (secret, plain)]
+    chosen = [_bounded_sample(side, most // 2) for side in (secret, plain)]
     found = chosen[0].withColumns(base_spans(F.col("t")))
     values = F.concat(*(F.transform(k, lambda s: s["value"]) for k in ("assign", "access", "hex")))
     words = F.regexp_extract_all(F.regexp_replace("t", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit(IDENTIFIER), F.lit(0))
