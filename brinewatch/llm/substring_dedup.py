@@ -72,8 +72,10 @@ def anchors(found: Words, length: int, seed: int) -> dict[str, np.ndarray]:
     _, first = np.unique(span ^ mix(owner.astype(np.uint64)), return_index=True)
     again = np.ones(len(at), bool)
     again[first] = False
+    # What its own document repeats needs no partner: such rows are spread instead of meeting at the anchor.
+    anchor = np.where(again, mix(span + start[at].astype(np.uint64)), seeds[place[at]])
     return dict(
-        text=owner, anchor=seeds[place[at]].view(np.int64), span=span.view(np.int64),
+        text=owner, anchor=anchor.view(np.int64), span=span.view(np.int64),
         start=start[at] - found.first[owner], n=n, again=again,
     )
 
