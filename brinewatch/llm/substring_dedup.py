@@ -13,8 +13,12 @@ sends one row for each anchor with the windows around it that it stands for, not
   grouped minimum again, so occurrences are never paired with each other.
 * Keep: windows that repeat are united to maximal spans.
 
-Cases: a null or empty text has no words; fewer words than a window repeat nothing; rows with the same id
-count as one document; rows without id come after all others; ids are integers.
+Ids order documents only. Ranges are kept by row, told apart by a hash of id and text, so rows that share
+an id, or have none, never get each other's ranges; copies of a row get equal ones, held once.
+
+Cases: a null or empty text has no words; fewer words than a window repeat nothing; of rows with the same id
+the windows that start at an earlier word come first, at the same word none does; rows without id come
+after all others; ids are integers.
 """
 
 from __future__ import annotations
@@ -80,13 +84,14 @@ def anchors(found: Words, length: int, seed: int) -> dict[str, np.ndarray]:
     )
 
 
-def _rows(ids: np.ndarray, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _rows(part: pa.RecordBatch, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+    ids, row = (part.column(c).to_numpy()[found["text"]] for c in ("id", "row"))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(ids[found["text"]]), pa.array(found["anchor"]), pa.array(found["span"]),
+            pa.array(ids), pa.array(row), pa.array(found["anchor"]), pa.array(found["span"]),
             pa.array(found["start"].astype(np.int32)), pa.array(found["n"].astype(np.int32)), pa.array(found["again"]),
         ],
-        ["id", "anchor", "span", "start", "n", "again"],
+        ["id", "row", "anchor", "span", "start", "n", "again"],
     )
 
 
@@ -95,13 +100,13 @@ def _occurrences(length: int, seed: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 _, found = words(part.column("text"), *byte_table("nonspace", lower=False))
-                yield _rows(part.column("id").to_numpy(), anchors(found, length, seed))
+                yield _rows(part, anchors(found, length, seed))
 
     return mapped
 
 
 def _open_windows(length: int):
-    """(id, text, ranges) to the windows of open ranges, once per document: (window, id, start, again)."""
+    """(id, row, text, ranges) to the windows of open ranges, once per row: (window, id, row, start, again)."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +117,7 @@ def _open_windows(length: int):
                 first = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                 hashes = windows_hash(found.hash, length)
                 text = owner[each]
-                # Rows that share an id and differ in text may hold ranges that this one does not.
+                # Nothing but rows of equal hashes may hold ranges that this one does not.
                 fits = first + length <= found.count[text]
                 text, first = text[fits], first[fits]
                 window = hashes[found.first[text] + first] if len(first) else np.zeros(0, np.uint64)
@@ -121,13 +126,13 @@ def _open_windows(length: int):
                 _, once = np.unique(window ^ mix(text.astype(np.uint64)), return_index=True)
                 again = np.ones(len(window), bool)
                 again[once] = False
-                ids = part.column("id").to_numpy()
+                ids, row = (part.column(c).to_numpy()[text] for c in ("id", "row"))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(window.view(np.int64)), pa.array(ids[text]),
+                        pa.array(window.view(np.int64)), pa.array(ids), pa.array(row),
                         pa.array(first.astype(np.int32)), pa.array(again),
                     ],
-                    ["window", "id", "start", "again"],
+                    ["window", "id", "row", "start", "again"],
                 )
 
     return mapped
@@ -185,10 +190,10 @@ def _kept(length: int, with_text: bool):
 
 
 def _by_document(ranges: DataFrame, **lists) -> DataFrame:
-    """One row per id with a flat list (start, n, start, n, ...) for each condition."""
+    """One row per row hash with a flat list (start, n, start, n, ...) for each condition, copies' ranges once."""
     pair = F.array("start", "n")
-    return ranges.groupBy("id").agg(
-        *(F.flatten(F.collect_list(F.when(which, pair))).alias(name) for name, which in lists.items())
+    return ranges.groupBy("row").agg(
+        *(F.flatten(F.collect_set(F.when(which, pair))).alias(name) for name, which in lists.items())
     )
 
 
@@ -206,34 +211,37 @@ def remove_repeats(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),
         F.col(id_col).cast("long").alias("doc"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    ).withColumn("row", F.xxhash64("id", "text"))
+    found = source.select("id", "row", "text").mapInArrow(
+        _occurrences(length, seed),
+        "id bigint, row bigint, anchor bigint, span bigint, start int, n int, again boolean",
     )
-    found = source.select("id", "text").mapInArrow(
-        _occurrences(length, seed), "id bigint, anchor bigint, span bigint, start int, n int, again boolean"
-    )
+    place = F.struct("id", "start")
     repeated = (
         found.where("not again")
         .groupBy("anchor")
         .agg(
-            F.min("id").alias("least"), F.max("id").alias("most"),
+            F.min(place).alias("least"), F.max(place).alias("most"),
             F.min("span").alias("low"), F.max("span").alias("high"),
         )
         .where("least < most or low < high")
         .select("anchor", "least", (F.col("low") < F.col("high")).alias("mixed"))
     )
-    seeded = found.join(repeated, "anchor", "left").where("again or mixed or id > least")
+    later = F.col("again") | (place > F.col("least"))
+    seeded = found.join(repeated, "anchor", "left").where(F.col("mixed") | later)
     open_ = F.col("mixed") & ~F.col("again")
     ranges = checkpointed(_by_document(seeded, open=open_, closed=F.coalesce(~open_, F.lit(True))))
-    # The texts are dealt out by id once; extension and the final step both read that one exchange.
-    dealt = source.repartition("id")
-    wide = dealt.join(ranges, "id", "left")
-    windows = wide.where(F.size("open") > 0).select("id", "text", "open").mapInArrow(
-        _open_windows(length), "window bigint, id bigint, start int, again boolean"
+    # The texts are dealt out by row once; extension and the final step both read that one exchange.
+    dealt = source.repartition("row")
+    wide = dealt.join(ranges, "row", "left")
+    windows = wide.where(F.size("open") > 0).select("id", "row", "text", "open").mapInArrow(
+        _open_windows(length), "window bigint, id bigint, row bigint, start int, again boolean"
     )
-    first = windows.where("not again").groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    first = windows.where("not again").groupBy("window").agg(F.min(place).alias("least"), F.max(place).alias("most"))
     first = first.where("least < most").select("window", "least")
-    late = windows.join(first, "window", "left").where("again or id > least").withColumn("n", F.lit(1))
+    late = windows.join(first, "window", "left").where(later).withColumn("n", F.lit(1))
     late = _by_document(late, late=F.lit(True))
-    result = wide.join(late, "id", "left").select("doc", "text", "closed", "late")
+    result = wide.join(late, "row", "left").select("doc", "text", "closed", "late")
     kept = result.mapInArrow(_kept(length, with_text), "doc bigint, n_words bigint, n_removed bigint, kept string")
     return kept.withColumnRenamed("doc", id_col)
 

@@ -53,3 +53,10 @@ def test_text_is_what_stays(spark):
     a, b = prose(1, 25), prose(2, 10)
     df = spark.createDataFrame([(1, a), (2, f"{b}  {a}\n{b}")], "doc_id bigint, text string")
     assert {r.doc_id: r.kept for r in remove_repeats(df).collect()} == {1: a, 2: f"{b} {b}"}
+
+
+def test_rows_that_share_an_id_keep_their_own_ranges(spark):
+    a, b, x, y = prose(1, 80), prose(2, 60), prose(3, 200), prose(4, 90)
+    rows = [(1, a), (None, a), (None, x), (None, x), (None, f"{y} {x}"), (7, f"{b} {a}"), (7, prose(5, 200)), (7, f"{y} {b}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, repeat_report(df).collect()), key=str) == brute(rows)
