@@ -4,6 +4,8 @@ Four kinds are found as written: e-mail addresses, IPv4 addresses, card numbers
 Then a transducer rewrites disguises (look-alike letters and digits of other scripts, invisible
 characters, spelled digits, ``[at]`` and ``dot``) and keeps, for each character it writes, the source
 characters it stands for. The same detectors run on its output, and what they find is mapped back.
+Open spans always stay; a disguised one is added unless an open span of its kind covers it, so both the plain
+remainder of a half-disguised identifier and the whole are reported. Redaction replaces overlapping spans as one.
 
 Cases: a null or empty text has no spans; repeated rows give equal rows; other columns pass through,
 except one with the name of the result.
@@ -198,7 +200,7 @@ def personal_spans(text: str) -> list[tuple[str, int, int, bool]]:
     if tape.start is not None:
         for kind, a, b in plain_spans(tape.text):
             start, end = tape.start[a], tape.end[b - 1]
-            if not any(start < y and x < end for _, x, y in plain):
+            if not any(kind == k and x <= start and end <= y for k, x, y in plain):
                 found.append((kind, start, end, False))
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -226,18 +228,30 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
         yield value.as_py()
 
 
+def merged(spans: list[tuple[str, int, int, bool]]) -> list[tuple[int, int, str]]:
+    """``(start, end, kind)`` of the unions of overlapping spans, each with the kind of its longest span."""
+    out, longest = [], 0
+    for start, end, kind in sorted((a, b, k) for k, a, b, _ in spans):
+        if out and start < out[-1][1]:
+            first, last, named = out[-1]
+            out[-1] = (first, max(last, end), kind if end - start > longest else named)
+            longest = max(longest, end - start)
+        else:
+            out.append((start, end, kind))
+            longest = end - start
+    return out
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; null texts stay null."""
     arrow_batches(docs.sparkSession)
 
     def clean(value: str | None) -> str | None:
-        spans = sorted((a, b, k) for k, a, b, _ in personal_spans(value)) if value else []
         parts, last = [], 0
-        for a, b, kind in spans:
-            if a >= last:
-                parts += [value[last:a], f"[{kind.upper()}]"]
-            last = max(last, b)
-        return "".join(parts) + value[last:] if spans else value
+        for a, b, kind in merged(personal_spans(value)) if value else []:
+            parts += [value[last:a], f"[{kind.upper()}]"]
+            last = b
+        return "".join(parts) + value[last:] if parts else value
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -100,6 +100,23 @@ def test_disguises_map_back_to_the_source():
         assert personal_spans(text) == []
 
 
+HALF_DISGUISED = {
+    "jоhn.smith@example.com": "hn.smith@example.com",
+    "john.smith@example.cоm": "john.smith@example.c",
+    "john dot smith@example.com": "smith@example.com",
+    "john@example.co [dot] uk": "john@example.co",
+}
+
+
+def test_half_disguised_identifiers_are_found_whole(spark):
+    for whole, open_part in HALF_DISGUISED.items():
+        text = f"to {whole}, now"
+        found = {(k, text[a:b], base) for k, a, b, base in personal_spans(text)}
+        assert found == {("email", open_part, True), ("email", whole, False)}, text
+    df = spark.createDataFrame([(f"to {w}, now",) for w in HALF_DISGUISED], "text string")
+    assert {r.text for r in redact(df).collect()} == {"to [EMAIL], now"}
+
+
 def test_redaction_replaces_all_spans(spark):
     df = spark.createDataFrame([(1, "é a@b.cd +4915112345678!"), (2, None)], "doc_id bigint, text string")
     assert {r.doc_id: r.text for r in redact(df).collect()} == {1: "é [EMAIL] [PHONE]!", 2: None}
