@@ -116,15 +116,44 @@ def _alike() -> dict[str, str]:
 
 ALIKE = _alike()
 _ALIKE = re.compile("[" + "".join(map(re.escape, ALIKE)) + "]")
-#: Spelled digits in the languages' most used forms.
-DIGITS = dict(zip("zero one two three four five six seven eight nine".split(), "0123456789")) | {"oh": "0"}
+#: Spelled digits in English, German, French and Spanish.
+_SPOKEN = (
+    "zero oh null zéro cero", "one ein eins eine un une uno una", "two zwei zwo deux dos", "three drei trois tres",
+    "four vier quatre cuatro", "five fünf fuenf cinq cinco", "six sechs seis", "seven sieben sept siete",
+    "eight acht huit ocho", "nine neun neuf nueve",
+)
+DIGITS = {word: str(i) for i, line in enumerate(_SPOKEN) for word in line.split()}
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s,-]*)?(?:(?:{_WORD}|[0-9])(?![A-Za-z0-9])[\s,-]*){{7,}}", re.I)
-_DIGIT_WORD = re.compile(rf"plus|{_WORD}|[0-9]", re.I)
-_BRACKET = re.compile(r"[\x20]*[\[({<]\s*(at|dot|@|\.)\s*[\])}>][\x20]*", re.I)
+_PLUS = "plus|más|mas"
+_DOT = "dot|punkt|point|punto"
+_AT_SIGN = "klammeraffe|arobase|arrobase|arobas|arroba"
+#: Digit words and numbers in a row, across blanks, commas, hyphens, brackets and dots. A dot before a new
+#: sentence, and a comma beside a number of several digits, ends the row.
+_BETWEEN = (
+    rf"(?:[\s()\[\]-]|(?<![0-9][0-9]),(?!\s*[0-9][0-9])|\.(?!\s+(?-i:[A-Z]))|(?<=[\s()\[\]])(?:{_DOT})(?=[\s()\[\]]))*+"
+)
+_TOKEN = rf"(?:{_WORD}|[0-9]++)(?![^\W_])"
+_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_PLUS})[\s,-]*+(?=[0-9]|{_WORD}))?{_TOKEN}(?:{_BETWEEN}(?<![^\W_]){_TOKEN})+", re.I)
+_DIGIT_WORD = re.compile(rf"(?<![^\W_])(?:{_PLUS}|{_WORD}|{_DOT})(?![^\W_])|[0-9]|\.", re.I)
+_ANY_DIGIT_WORD = re.compile(rf"(?<![^\W_])(?:{_WORD})(?![^\W_])", re.I)
+_BRACKET = re.compile(rf"[\x20]*[\[({{<]\s*(at|ät|à|{_AT_SIGN}|{_DOT}|@|\.)\s*[\])}}>][\x20]*", re.I)
 _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])\x20+dot\x20+(?=[A-Za-z0-9])", re.I)
 #: A bare "at" counts only with a spelled dot behind the next word.
 _WORD_AT = re.compile(r"(?<=[A-Za-z0-9])\x20+at\x20+(?=[A-Za-z0-9-]+(?:\x20+dot\x20|\x20*[\[({<]\s*(?:dot|\.)\s*[\])}>]))", re.I)
+#: Whole addresses with the other languages' words: "at" and "ät" need a spelled dot, names of the sign any dot.
+#: Such words for dots are common ones, so they count only within an address (of at most 64 characters before the
+#: sign) or a row of digits.
+_SPOKEN_DOT = rf"(?:\x20+(?:{_DOT})\x20+|\.)"
+_SPOKEN_ADDRESS = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20+(?:{_DOT})\x20+[A-Za-z0-9._%+-]++){{0,31}}"
+    rf"(?:\x20+(?:{_AT_SIGN})\x20+[A-Za-z0-9-]++(?:{_SPOKEN_DOT}[A-Za-z0-9-]++)+"
+    r"|\x20+(?:at|ät)\x20+[A-Za-z0-9-]++(?:\x20+punkt\x20+[A-Za-z0-9-]++)+)", re.I,
+)
+_SPOKEN_PARTS = re.compile(rf"\x20+(at|ät|{_AT_SIGN}|{_DOT})\x20+", re.I)
+
+
+def _sign(word: str) -> str:
+    return "." if re.fullmatch(rf"{_DOT}|\.", word, re.I) else "@"
 
 
 class Tape:
@@ -156,10 +185,23 @@ class Tape:
         self.start, self.end = start + self.start[last:], end + self.end[last:]
         self.text = "".join(parts) + self.text[edits[-1][1] :]
 
+    @staticmethod
+    def _digit(word: str) -> str:
+        word = word.lower()
+        return DIGITS.get(word) or (word if word.isdigit() else "+" if re.fullmatch(_PLUS, word) else ".")
+
     def spell(self) -> None:
-        """Write runs of spelled digits as digits, each standing for its own word."""
-        runs = [(m.start(), list(_DIGIT_WORD.finditer(m[0]))) for m in _SPELLED.finditer(self.text)]
-        runs = [(a, found) for a, found in runs if any(len(w[0]) > 1 for w in found)]
+        """Write rows of spelled digits as digits, each standing for its own word, and dots between them."""
+        runs = []
+        for m in _SPELLED.finditer(self.text):
+            if _ANY_DIGIT_WORD.search(m[0]):
+                found = [(w, self._digit(w[0])) for w in _DIGIT_WORD.finditer(m[0])]
+                digits = "".join(new for _, new in found if new.isdigit())
+                # A card number has no dots; fewer than four digits matter in addresses only.
+                if 13 <= len(digits) <= 19 and not found[0][1] == "+" and luhn(digits):
+                    found = [x for x in found if x[1] != "."]
+                if len(digits) >= 4 or "@" in self.text:
+                    runs.append((m.start(), found))
         if not runs:
             return
         if self.start is None:
@@ -167,10 +209,10 @@ class Tape:
         parts, start, end, last = [], [], [], 0
         for a, found in runs:
             parts.append(self.text[last:a])
-            start += self.start[last:a] + [self.start[a + w.start()] for w in found]
-            end += self.end[last:a] + [self.end[a + w.end() - 1] for w in found]
-            parts += ["+" if w[0].lower() == "plus" else DIGITS.get(w[0].lower(), w[0]) for w in found]
-            last = a + found[-1].end()
+            start += self.start[last:a] + [self.start[a + w.start()] for w, _ in found]
+            end += self.end[last:a] + [self.end[a + w.end() - 1] for w, _ in found]
+            parts += [new for _, new in found]
+            last = a + found[-1][0].end()
         self.start, self.end = start + self.start[last:], end + self.end[last:]
         self.text = "".join(parts) + self.text[last:]
 
@@ -183,11 +225,13 @@ def uncover(text: str) -> Tape:
     lower = tape.text.lower()
     if any(c in lower for c in "[({<"):
         tape.rewrite(_WORD_AT, lambda m: "@")
-        tape.rewrite(_BRACKET, lambda m: "@" if m[1].lower() in ("at", "@") else ".")
+        tape.rewrite(_BRACKET, lambda m: _sign(m[1]))
     if " dot " in lower:
         tape.rewrite(_WORD_AT, lambda m: "@")
         tape.rewrite(_WORD_DOT, lambda m: ".")
-    if any(w in lower for w in ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")):
+    if _SPOKEN_PARTS.search(tape.text):
+        tape.rewrite(_SPOKEN_ADDRESS, lambda m: _SPOKEN_PARTS.sub(lambda w: _sign(w[1]), m[0]))
+    if _ANY_DIGIT_WORD.search(tape.text):
         tape.spell()
     return tape
 

@@ -117,6 +117,29 @@ def test_half_disguised_identifiers_are_found_whole(spark):
     assert {r.text for r in redact(df).collect()} == {"to [EMAIL], now"}
 
 
+def test_spelled_digits_across_dots_and_in_other_languages():
+    cases = {
+        "ip one nine two dot one six eight dot zero dot one is": ("ip", "one nine two dot one six eight dot zero dot one"),
+        "ip zehn: eins null punkt null punkt null punkt eins.": ("ip", "eins null punkt null punkt null punkt eins"),
+        "ip un zéro point zéro point zéro point un, oui": ("ip", "un zéro point zéro point zéro point un"),
+        "ip uno cero punto cero punto cero punto uno.": ("ip", "uno cero punto cero punto cero punto uno"),
+        "ip 192.168.zero.one here": ("ip", "192.168.zero.one"),
+        "Tel. plus vier neun eins fünf eins eins zwei drei vier fünf sechs.": ("phone", "plus vier neun eins fünf eins eins zwei drei vier fünf sechs"),
+        "call plus four nine (one five one) 123 456 please": ("phone", "plus four nine (one five one) 123 456"),
+        "card four one one one. 1111 (1111) one one one one.": ("card", "four one one one. 1111 (1111) one one one one"),
+        "in 2020, four one one one 1111 1111 1111 ok": ("card", "four one one one 1111 1111 1111"),
+        "mail john dot four two at example dot com": ("email", "john dot four two at example dot com"),
+        "jean point dupont arobase exemple point fr": ("email", "jean point dupont arobase exemple point fr"),
+        "juan arroba ejemplo.com": ("email", "juan arroba ejemplo.com"),
+        "hans at beispiel punkt de": ("email", "hans at beispiel punkt de"),
+        "hans [ät] beispiel [punkt] de": ("email", "hans [ät] beispiel [punkt] de"),
+    }
+    for text, (kind, part) in cases.items():
+        assert [(k, text[a:b], base) for k, a, b, base in personal_spans(text)] == [(kind, part, False)], text
+    for text in ("arrived at this point in time", "one or two, un point de vue", "In 2020 one of 1000 users. Two were"):
+        assert personal_spans(text) == []
+
+
 def test_redaction_replaces_all_spans(spark):
     df = spark.createDataFrame([(1, "é a@b.cd +4915112345678!"), (2, None)], "doc_id bigint, text string")
     assert {r.doc_id: r.text for r in redact(df).collect()} == {1: "é [EMAIL] [PHONE]!", 2: None}
