@@ -3,7 +3,10 @@
 Every shingle of five words (lower-cased letters and digits) has a Poisson process of arrivals whose rate
 is its weight, 1 + ln(occurrences). Each arrival falls on one of the signature's places, which keep their
 earliest arrival; a shingle stops as soon as its next arrival comes later than all places' records. Two
-texts agree in a place with the probability of their probability Jaccard similarity.
+texts agree in a place with the probability of their probability Jaccard similarity. That may lie far below
+the plain one where one text repeats a passage more often, so a text with repeated shingles also has the
+bands of the signature that gives every shingle weight 1, whose places agree with the probability of the plain
+Jaccard similarity. The arrivals are the same, so the two signatures of a text without repeats are equal.
 
 Texts with equal shingles are one node, so copies cost one row each. Nodes that share a band are candidates.
 Within a band one member is the centre and meets the others; that repeats with other centres for bands that
@@ -34,7 +37,7 @@ from brinewatch.session import checkpointed
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: At similarity 0.8 a pair shares none of 20 bands of 4 places with a probability of 3e-5.
+#: At plain similarity 0.8 a pair shares none of the 20 bands of 4 places of weight 1 with a probability of 3e-5.
 BANDS, ROWS = 20, 4
 #: Rounds in which a band's members meet one centre, before the pairs left over are compared: any member
 #: first, then the one with the largest share of shingles that others have, then another one.
@@ -106,6 +109,29 @@ def node_keys(text: np.ndarray, shingle: np.ndarray, times: np.ndarray, texts: i
     return [raw[16 * i : 16 * i + 16] if some[i] else None for i in range(texts)]
 
 
+def _bands(held: np.ndarray) -> np.ndarray:
+    """A hash of each band's places, one row of bands for each text."""
+    band = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1), len(held), axis=0)
+    for i in range(ROWS):
+        band = mix(band ^ held[:, i::ROWS].astype(np.uint64))
+    return band
+
+
+def band_lists(text: np.ndarray, shingle: np.ndarray, times: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bands, one list behind the other, and how many each has: of weight 1, then weighted ones that differ."""
+    plain = _bands(signatures(text, shingle, np.ones(len(text)), texts, BANDS * ROWS))
+    weighted = plain.copy()
+    uneven = np.bincount(text[times > 1], minlength=texts) > 0
+    if uneven.any():
+        mine = uneven[text]
+        number = np.cumsum(uneven) - 1
+        held = signatures(number[text[mine]], shingle[mine], 1 + np.log(times[mine]), int(uneven.sum()), BANDS * ROWS)
+        weighted[uneven] = _bands(held)
+    some = np.bincount(text, minlength=texts) > 0
+    keep = np.concatenate([np.ones_like(plain, bool), weighted != plain], axis=1) & some[:, None]
+    return np.concatenate([plain, weighted], axis=1)[keep], keep.sum(axis=1)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, node, bands)."""
     for batch in batches:
@@ -114,12 +140,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece = part.slice(at, 1 << 15)
                 rows = piece.num_rows
                 text, shingle, times = shingle_sets(piece.column("text"))
-                held = signatures(text, shingle, 1 + np.log(times), rows, BANDS * ROWS)
-                band = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1), rows, axis=0)
-                for i in range(ROWS):
-                    band = mix(band ^ held[:, i::ROWS].astype(np.uint64))
-                some = np.bincount(text, minlength=rows) > 0
-                bands = list_column(pa.array(band[some].ravel().view(np.int64)), np.where(some, BANDS, 0))
+                band, number = band_lists(text, shingle, times, rows)
+                bands = list_column(pa.array(band.view(np.int64)), number)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("id"), pa.array(node_keys(text, shingle, times, rows), pa.binary()), bands],
                     ["id", "node", "bands"],

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 from brinewatch.llm.components import components
-from brinewatch.llm.near_dedup import near_duplicates, signatures
+from brinewatch.llm.near_dedup import band_lists, near_duplicates, signatures
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -85,3 +85,16 @@ def test_components_of_long_chains_and_repeated_edges(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(1, 51)}, 101: 100}
     assert components(df.limit(0)).collect() == []
+
+
+def test_passages_repeated_in_one_text_do_not_hide_a_pair():
+    # 80 shared and 10 own shingles each, 20 of the shared ones repeated a hundred times in one text only.
+    random_ = np.random.default_rng(2)
+    missed, pairs = 0, 400
+    for _ in range(pairs):
+        pool = random_.choice(2**47, 100, replace=False).astype(np.uint64)
+        sets = [np.sort(np.concatenate([pool[:80], own])) for own in (pool[80:90], pool[90:])]
+        times = [np.where(np.isin(sets[0], pool[:20]), 100, 1), np.ones(90, np.int64)]
+        band, number = band_lists(np.repeat([0, 1], 90), np.concatenate(sets), np.concatenate(times), 2)
+        missed += not set(band[: number[0]]) & set(band[number[0] :])
+    assert missed <= 2, missed
