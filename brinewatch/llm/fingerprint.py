@@ -3,8 +3,9 @@
 A text's pieces are its paragraphs (lines), cut further at sentence ends. Each piece is hashed to a wide
 vector and the vectors are summed lane by lane, each lane modulo a power of two. So the order of pieces does
 not matter, equal multisets have equal vectors, and a piece is inserted or deleted by adding or subtracting
-its vector. There are counting lanes, where a hash bit says whether the piece counts, lanes of 15 random bits, and
-one that counts all pieces, each modulo 2^15. Four lanes share a number; lane sums never spill over.
+its vector. There are counting lanes, where a hash bit says whether the piece counts, lanes of 31 random bits, and
+one that counts all pieces, each modulo 2^31. Two lanes share a number. A text has less than 2^31 bytes and so less
+than 2^30 pieces: copies of a piece never cancel out, and no text's counts wrap.
 
 The likeness of two fingerprints is the cosine of their counting lanes as +1/-1 sums, which estimates the
 cosine of the multisets of pieces: 1 for equal ones, about 0 for unrelated ones.
@@ -19,16 +20,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers of four counting lanes, in steps of 15 that one 64-bit hash gives.
-COUNTING = 30
-#: Numbers of four random lanes.
-RANDOM = 6
-#: Four lanes of 15 bits.
-LANES = (0, 15, 30, 45)
+#: Numbers of two counting lanes, in steps of 31 that one 64-bit hash gives.
+COUNTING = 60
+#: Numbers of two random lanes.
+RANDOM = 12
+#: Two lanes of 31 bits.
+WIDTH = 31
+LANES = (0, WIDTH)
 _ONES = sum(1 << s for s in LANES)
-_LOW14 = sum(((1 << 14) - 1) << s for s in LANES)
-_TOP = sum((1 << 14) << s for s in LANES)
-_ALL = (1 << 60) - 1
+_LOW = sum(((1 << (WIDTH - 1)) - 1) << s for s in LANES)
+_TOP = sum((1 << (WIDTH - 1)) << s for s in LANES)
+_ALL = (1 << (2 * WIDTH)) - 1
 #: Rows of one range of ids, about, and the number of ranges from which on ranges grow instead.
 BUCKET_ROWS, MOST_RANGES = 1000, 250_000
 
@@ -41,9 +43,8 @@ def pieces(text: Column) -> Column:
 
 def piece_vector(piece: Column) -> Column:
     """The numbers that a piece adds: counting lanes from bits of a few hashes, then random lanes."""
-    per_hash = 15
     numbers = [
-        F.shiftrightunsigned(F.xxhash64(piece, F.lit(i // per_hash)), i % per_hash).bitwiseAND(F.lit(_ONES))
+        F.shiftrightunsigned(F.xxhash64(piece, F.lit(i // WIDTH)), i % WIDTH).bitwiseAND(F.lit(_ONES))
         for i in range(COUNTING)
     ]
     numbers += [F.xxhash64(piece, F.lit(100 + i)).bitwiseAND(F.lit(_ALL)) for i in range(RANDOM)]
@@ -51,8 +52,8 @@ def piece_vector(piece: Column) -> Column:
 
 
 def lane_sum(a: Column, b: Column) -> Column:
-    """Add four lanes modulo 2^15 each: the low 14 bits with carry, the top bit apart."""
-    low = a.bitwiseAND(F.lit(_LOW14)) + b.bitwiseAND(F.lit(_LOW14))
+    """Add two lanes modulo 2^31 each: the low 30 bits with carry, the top bit apart."""
+    low = a.bitwiseAND(F.lit(_LOW)) + b.bitwiseAND(F.lit(_LOW))
     return low.bitwiseXOR(a.bitwiseXOR(b).bitwiseAND(F.lit(_TOP)))
 
 
@@ -74,15 +75,15 @@ def fingerprint_vector(text: Column) -> Column:
 
 def shown(vector: Column) -> Column:
     """The whole vector as hexadecimal text."""
-    return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
+    return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def signs(vector: Column) -> Column:
-    """Counting lanes as sums of +1 and -1 over all pieces, modulo 2^15 around zero."""
-    lane = lambda x, s: F.shiftright(x, s).bitwiseAND(F.lit((1 << 15) - 1))
+    """Counting lanes as sums of +1 and -1 over all pieces, modulo 2^31 around zero."""
+    lane = lambda x, s: F.shiftright(x, s).bitwiseAND(F.lit((1 << WIDTH) - 1))
     count = lane(F.element_at(vector, -1), 0)
     flat = F.flatten(F.transform(F.slice(vector, 1, COUNTING), lambda x: F.array(*(lane(x, s) for s in LANES))))
-    return F.transform(flat, lambda ones: F.pmod(2 * ones - count + (1 << 14), F.lit(1 << 15)) - (1 << 14))
+    return F.transform(flat, lambda ones: F.pmod(2 * ones - count + (1 << (WIDTH - 1)), F.lit(1 << WIDTH)) - (1 << (WIDTH - 1)))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -197,6 +197,15 @@ def test_fingerprints_are_homomorphic(spark):
     assert row.x == row.y == row.more and row.less == row.z != row.x
 
 
+def test_many_equal_pieces_neither_cancel_nor_wrap(spark):
+    whole, half = "same\n" * 40_000, "same\n" * 20_000
+    df = spark.createDataFrame([(1, whole), (2, half + "other text"), (3, ""), (4, "same\n" * 32_768)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in fp.fingerprint_report(df).collect()}
+    assert len({r.fingerprint for r in got.values()}) == 4
+    assert got[1].near_edited > 0.99 and got[1].near_next > 0.99
+    assert got[3].near_next == 0
+
+
 def test_fingerprint_report(spark, hard, hard_rows, nothing):
     got = fp.fingerprint_report(hard).collect()
     rows = sorted(((-(2**63) if r[0] is None else r[0], r[1] or "") for r in hard_rows))
