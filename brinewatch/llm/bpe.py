@@ -5,7 +5,8 @@ the words that most tasks hold is broadcast with its ids; texts become sequences
 with the other words listed in order. Texts are dealt into blocks in this form, which is several times
 smaller. Each block lists its other words, these are joined to their ids in the table, go back to the
 block and are put in by position. So the size of the vocabulary does not matter: a task holds one block,
-the words of that block and the bounded list.
+the words of that block and the bounded list. The block of a row follows from its id and text; where that leaves
+a block too large (copies of rows), rows are written with a block that also counts their place in the table.
 
 The text rules are those of the tokenizer file: special tokens are cut out first, then NFC, lower case,
 words by a pattern, white space dropped. A file without a decoder decodes to its pieces joined by spaces.
@@ -36,6 +37,8 @@ from brinewatch.session import checkpointed
 
 #: Bytes of text in one block.
 BLOCK_BYTES = 4 << 20
+#: Rows of one block at most, about, where texts are short.
+BLOCK_ROWS = 200_000
 #: Words that are broadcast with their ids at most, and their greatest length; the others are joined.
 MOST_FREQUENT, LONGEST = 300_000, 64
 #: Distinct words a task lists before it starts a new list.
@@ -210,10 +213,17 @@ def bpe_round_trip(
     table = word_table(docs, tokenizer_json, text)
     frequent, least = frequent_words(table, tokenizer_json, most_frequent)
     shared = spark.sparkContext.broadcast((tokenizer_json, frequent))
-    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    placed = docs.select(*(f.name for f in kept), F.col(text).cast("string").alias(text)).withColumn(
-        block, F.pmod(F.xxhash64(F.col(id_col)), F.lit(size // block_bytes + 1))
-    )
+    source = docs.select(*(f.name for f in kept), F.col(text).cast("string").alias(text))
+    size, key = F.coalesce(F.octet_length(text), F.lit(0)), F.xxhash64(F.col(id_col), F.col(text).cast("string"))
+    blocks = (docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0) // block_bytes + 1
+    placed = source.withColumn(block, F.pmod(key, F.lit(blocks)))
+    held = placed.groupBy(block).agg(F.count(F.lit(1)).alias("n"), (F.sum(size) - F.max(size)).alias("size"))
+    # A single long text is a block of its own accord; rows with short or no texts count as well.
+    if not held.where((F.col("size") > 2 * block_bytes) | (F.col("n") > BLOCK_ROWS)).isEmpty():
+        total = docs.count()
+        blocks = max(blocks, total // (BLOCK_ROWS // 2) + 1)
+        spread = F.xxhash64(key, F.monotonically_increasing_id())
+        placed = checkpointed(source.withColumn(block, F.pmod(spread, F.lit(blocks))))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known = WordSplitter(shared.value[0]), shared.value[1].numbers()

@@ -10,12 +10,16 @@ than 2^30 pieces: copies of a piece never cancel out, and no text's counts wrap.
 The likeness of two fingerprints is the cosine of their counting lanes as +1/-1 sums, which estimates the
 cosine of the multisets of pieces: 1 for equal ones, about 0 for unrelated ones.
 
+Rows are ordered by id, then by a hash of the text, so that an id of many rows, or a missing one, takes many ranges.
+
 Cases: a null or empty text has no pieces and the zero vector; likeness of two zero vectors is 1, of a zero
-vector and another 0; rows with equal ids are ordered by text; rows without id come first.
+vector and another 0; rows with equal ids are ordered by their texts' hashes; rows without id come first.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,9 +103,10 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, values: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` with the ``values`` of the next row by ``id_col`` (after the last one the first's), as ``next_*``.
 
-    Rows are dealt into ranges of ids by one exchange. The ranges begin at quantiles, which are ids of the
-    table, so the first rows of a range are known by their id: they also go to the range before, behind
-    its own rows, where a window's lead finds them. The first range's go behind the last range.
+    Rows are dealt into ranges of ids, and of hashes of the first value below an id that fills several ranges, by
+    one exchange. The ranges begin at ids and hashes of the table, so the first rows of a range are known by
+    them: they also go to the range before, behind its own rows, where a window's lead finds them. The first
+    range's go behind the last range.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     total, least = docs.agg(F.count(F.lit(1)), F.min(key)).first()
@@ -110,20 +115,39 @@ def with_next(docs: DataFrame, id_col: str, values: list[str], bucket_rows: int
     ranges = min(max(total // bucket_rows, 1), MOST_RANGES)
     share = [i / ranges for i in range(1, ranges)]
     found = docs.agg(F.percentile_approx(key, share, 100_000).alias("b")).first()["b"] if share else []
-    bounds = np.array(sorted({least, *(found or [])}), dtype=np.int64)
+    times = Counter(found or [])
+    keyed = docs.withColumn("_key", key).withColumn("_hash", F.xxhash64(values[0]))
+    # An id that is several quantiles is cut at hashes: evenly, then at the least hash that occurs in each part.
+    cut = {k: n + 1 for k, n in times.items() if n > 1}
+    parts = []
+    if cut:
+        many = docs.sparkSession.createDataFrame([(k, n) for k, n in cut.items()], "_key bigint, _parts bigint")
+        # The hash's upper 31 bits in signed order, from 0.
+        part = F.floor((F.shiftright("_hash", 33) + (1 << 30)) * F.col("_parts") / (1 << 31))
+        firsts = keyed.select("_key", "_hash").join(F.broadcast(many), "_key").groupBy("_key", part.alias("p"))
+        parts = [(r["_key"], r["h"]) for r in firsts.agg(F.min("_hash").alias("h")).collect()]
+    pairs = sorted({(k, -(2**63)) for k in (least, *times) if k not in cut} | set(parts))
+    bounds, hashes = (np.array(x, dtype=np.int64) for x in zip(*pairs))
     # Look up in two steps of about the square root of the number of bounds.
     step = int(np.ceil(np.sqrt(len(bounds))))
-    coarse = F.size(F.filter(F.lit(bounds[::step]), lambda b: b <= F.col("_key")))
-    fine = F.size(F.filter(F.slice(F.lit(bounds), (coarse - 1) * step + 1, step), lambda b: b <= F.col("_key")))
-    keyed = docs.withColumn("_key", key).withColumn("_range", (coarse - 1) * step + fine)
-    first = F.element_at(F.lit(bounds), F.col("_range")) == F.col("_key")
+    reached = lambda ids, low: F.size(F.filter(
+        ids, lambda b, i: (b < F.col("_key")) | ((b == F.col("_key")) & (F.get(low, i) <= F.col("_hash")))
+    ))
+    coarse = reached(F.lit(bounds[::step]), F.lit(hashes[::step]))
+    begin = (coarse - 1) * step + 1
+    fine = reached(F.slice(F.lit(bounds), begin, step), F.slice(F.lit(hashes), begin, step))
+    keyed = keyed.withColumn("_range", (coarse - 1) * step + fine)
+    own_hash = F.element_at(F.lit(hashes), F.col("_range"))
+    first = (F.element_at(F.lit(bounds), F.col("_range")) == F.col("_key")) & (
+        (own_hash == F.col("_hash")) | (own_hash == -(2**63))
+    )
     before = F.when(F.col("_range") > 1, F.col("_range") - 1).otherwise(F.lit(len(bounds)))
     own = F.struct(F.lit(0).alias("turn"), F.col("_range").alias("range"))
     copy = F.struct(F.when(F.col("_range") > 1, 1).otherwise(2).alias("turn"), before.alias("range"))
     placed = keyed.withColumn("_at", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
-    order = Window.partitionBy("_at.range").orderBy("_at.turn", "_key", *values)
+    order = Window.partitionBy("_at.range").orderBy("_at.turn", "_key", "_hash", *values)
     leads = {f"next_{v}": F.lead(v).over(order) for v in values}
-    return placed.withColumns(leads).where("_at.turn = 0").drop("_key", "_range", "_at")
+    return placed.withColumns(leads).where("_at.turn = 0").drop("_key", "_hash", "_range", "_at")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:

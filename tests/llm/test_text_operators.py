@@ -231,3 +231,32 @@ def test_next_document_over_many_ranges(spark):
     for size in (1, 7, 1000):
         got = sorted(map(tuple, fp.with_next(df, "doc_id", ["text"], bucket_rows=size).collect()))
         assert got == [(i, t, own[(n + 1) % len(own)][1]) for n, (i, t) in enumerate(own)]
+
+
+def test_rows_of_one_id_fill_many_ranges(spark):
+    rows = [(None, f"n{i}") for i in range(300)] + [(i, f"t{i}") for i in range(50)] + [(20, f"m{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    hashed = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    own = sorted(hashed, key=lambda r: (-(2**63) if r.doc_id is None else r.doc_id, r.h))
+    want = [(r.doc_id, r.text, own[(n + 1) % len(own)].text) for n, r in enumerate(own)]
+    got = fp.with_next(df, "doc_id", ["text"], bucket_rows=10).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_rows_without_id_fill_many_blocks(spark, monkeypatch):
+    from brinewatch.llm import bpe
+
+    blocks = []
+    written = bpe.checkpointed
+    monkeypatch.setattr(bpe, "checkpointed", lambda df: blocks.append(written(df)) or blocks[-1])
+    with open(PATH, encoding="utf-8") as file:
+        rules = file.read()
+    library = Tokenizer.from_file(PATH)
+    texts = ["the same text " * 10] * 400 + [f"text number {i}" for i in range(50)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string").repartition(3)
+    got = bpe_round_trip(df, rules, block_bytes=2000).collect()
+    assert sorted(r.ids for r in got) == sorted(
+        struct.pack(f"<{len(i)}I", *i) for i in (library.encode(t, add_special_tokens=False).ids for t in texts)
+    )
+    sizes = [r["count"] for r in blocks[-1].groupBy("block").count().collect()]
+    assert max(sizes) < 60 and len(sizes) > 15
