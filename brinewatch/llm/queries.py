@@ -13,7 +13,7 @@ from brinewatch.llm.fingerprint import fingerprint_report
 from brinewatch.llm.near_dedup import near_duplicates
 from brinewatch.llm.pii import personal_data_report
 from brinewatch.llm.quality import quality_report
-from brinewatch.llm.quotations import REPORT_SQL, conversation_report
+from brinewatch.llm.quotations import REPORT_SQL, built_conversations, chats_sql, conversation_report
 from brinewatch.llm.secrets import secrets_report
 from brinewatch.llm.substring_dedup import repeat_report
 from brinewatch.llm.tables import table
@@ -32,6 +32,10 @@ def op3_quotation_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_report(table(spark, sf_dir, "conversations"))
 
 
+def op3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(table(spark, sf_dir, "documents"))
 
@@ -64,8 +68,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_near_duplicates, op2_decontamination, op3_quotation_chats, op4_secret_scan, op5_bpe, op6_quality,
+        op1_near_duplicates, op2_decontamination, op3_quotation_chats, op3_conversations, op4_secret_scan, op5_bpe, op6_quality,
         op7_personal_data, op8_fingerprints, op9_substring_dedup, op10_toxicity,
     )
 }
-ORACLES: dict[str, str] = {"op3_quotation_chats": REPORT_SQL}
+ORACLES: dict[str, str] = {"op3_quotation_chats": REPORT_SQL, "op3_conversations": chats_sql()}

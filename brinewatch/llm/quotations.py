@@ -14,7 +14,7 @@ through, except those with the name of a result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewatch.session import checkpointed
@@ -131,6 +131,34 @@ def conversation_report(messages: DataFrame) -> DataFrame:
     return link_quotations(messages).select("conv_id", "turn", "role", "content", "parent", "thread", "depth", "chat")
 
 
+def built_conversations(messages: DataFrame, block: int = BLOCK_TURNS) -> DataFrame:
+    """``(conv_id, block, n_messages, chat)``: each conversation without quotes, in reply order (thread, turn).
+
+    A message that quotes nothing stands at its own turn. A conversation of at most ``block`` messages is one row;
+    a longer one is cut at multiples of ``block`` threads, and threads there that hold more at multiples of
+    ``block`` turns. Messages without conversation are one conversation.
+    """
+    turns = checkpointed(link_quotations(messages).select("conv_id", "turn", "thread", "chat"))
+    sized = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    large = sized.select(F.col("conv_id").alias("c"))
+    near = F.when(F.col("c_large"), F.floor(F.col("thread") / block)).otherwise(F.lit(0).cast("long"))
+    placed = turns.join(
+        large.withColumn("c_large", F.lit(True)), F.col("conv_id").eqNullSafe(F.col("c")), "left"
+    ).select("conv_id", "turn", "thread", "chat", near.alias("p1"))
+    full = placed.groupBy("conv_id", "p1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    full = full.select(F.col("conv_id").alias("c"), F.col("p1").alias("q"), F.lit(True).alias("q_large"))
+    cut = placed.join(full, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("p1").eqNullSafe(F.col("q")), "left").select(
+        "conv_id", "turn", "thread", "chat", "p1", F.when(F.col("q_large"), F.col("thread")).alias("p2"),
+        F.when(F.col("q_large"), F.floor(F.col("turn") / block)).alias("p3"),
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("thread", "turn", "chat")))
+    rows = cut.groupBy("conv_id", "p1", "p2", "p3").agg(
+        F.count(F.lit(1)).alias("n_messages"), F.array_join(F.transform(ordered, lambda x: x["chat"]), "").alias("chat")
+    )
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("p1", "p2", "p3")) - 1
+    return rows.select("conv_id", number.cast("long").alias("block"), "n_messages", "chat")
+
+
 #: The same in DuckDB: links, then chains by recursion.
 REPORT_SQL = r"""
 WITH RECURSIVE lines AS (
@@ -179,3 +207,25 @@ SELECT m.conv_id, m.turn, m.role, content, t.parent, coalesce(t.top, m.turn) AS
 FROM (SELECT *, row_number() OVER () AS rid FROM conversations) m JOIN own USING (rid)
 LEFT JOIN tops t ON t.conv_id = m.conv_id AND t.turn = m.turn
 """
+
+#: Built conversations from the same messages; ``{block}`` is the number of messages of a block.
+CHATS_SQL = """
+WITH m AS ({report}), a AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY conv_id) > {block} THEN floor(thread / {block})::BIGINT ELSE 0 END AS p1
+  FROM m
+), b AS (
+  SELECT *, count(*) OVER (PARTITION BY conv_id, p1) > {block} AS cut FROM a
+), c AS (
+  SELECT *, CASE WHEN cut THEN thread END AS p2, CASE WHEN cut THEN floor(turn / {block})::BIGINT END AS p3 FROM b
+), d AS (
+  SELECT conv_id, p1, p2, p3, count(*) AS n_messages,
+         string_agg(chat, '' ORDER BY thread NULLS FIRST, turn NULLS FIRST, chat) AS chat
+  FROM c GROUP BY conv_id, p1, p2, p3
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p1 NULLS FIRST, p2 NULLS FIRST, p3 NULLS FIRST) - 1 AS block,
+       n_messages, chat FROM d
+"""
+
+
+def chats_sql(block: int = BLOCK_TURNS) -> str:
+    return CHATS_SQL.replace("{report}", REPORT_SQL).replace("{block}", str(block))

@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from brinewatch.llm.quality import fit_ranking, quality_report
 from brinewatch.llm.queries import ORACLES
-from brinewatch.llm.quotations import chat_texts, conversation_report, link_quotations
+from brinewatch.llm.quotations import built_conversations, chat_texts, chats_sql, conversation_report, link_quotations
 from brinewatch.llm.toxicity import fit_machine, toxicity_report
 from checks import compare
 
@@ -91,6 +91,22 @@ def test_quotations(spark, sf_dir):
     assert conversation_report(df.limit(0)).collect() == []
 
 
+def test_built_conversations(spark, sf_dir):
+    df = spark.createDataFrame(MESSAGES, "conv_id bigint, turn bigint, role string, text string")
+    con = compare.oracle(sf_dir)
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    assert compare.compare(built_conversations(given), con, ORACLES["op3_conversations"]) is None
+    con.register("fixture", df.toPandas())
+    con.execute("CREATE OR REPLACE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM fixture")
+    for block in (1000, 3, 1):
+        assert compare.compare(built_conversations(df, block), con, chats_sql(block)) is None
+    one = [r for r in built_conversations(df).collect() if r.conv_id == 1]
+    assert [(r.block, r.n_messages) for r in one] == [(0, 7)]
+    said = ["sort a list", "Use sorted.", "Thanks, it works.", "What about sets?", "They have no order.", "no link", "Written later"]
+    assert [one[0].chat.index(x) for x in said] == sorted(one[0].chat.index(x) for x in said)
+    assert ">" not in one[0].chat.replace("|>", "")
+
+
 def test_stages_keep_columns_and_clean_documents(spark, hard, nothing, sf_dir):
     for docs in (hard, nothing):
         for name, stage in corpus_pipeline.STAGES:
