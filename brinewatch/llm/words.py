@@ -104,8 +104,8 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(h)
 
 
-def words(column: pa.Array, is_word: np.ndarray, folded: np.ndarray) -> tuple[np.ndarray, Words]:
-    """The folded bytes of a string column and its words."""
+def word_spans(column: pa.Array, is_word: np.ndarray, folded: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The folded bytes of a string column, starts and ends of its words, and the first word of each text."""
     data, at = buffers(column)
     data = folded[data]
     inside = is_word[data]
@@ -115,7 +115,13 @@ def words(column: pa.Array, is_word: np.ndarray, folded: np.ndarray) -> tuple[np
     before[edges], after[edges - 1] = False, False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
-    return data, Words(start, end, hash_ranges(data, start, end), np.searchsorted(start, at))
+    return data, start, end, np.searchsorted(start, at)
+
+
+def words(column: pa.Array, is_word: np.ndarray, folded: np.ndarray) -> tuple[np.ndarray, Words]:
+    """The folded bytes of a string column and its words."""
+    data, start, end, first = word_spans(column, is_word, folded)
+    return data, Words(start, end, hash_ranges(data, start, end), first)
 
 
 def windows_hash(h: np.ndarray, k: int) -> np.ndarray:
