@@ -14,6 +14,7 @@ except one with the name of the result.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -106,6 +107,10 @@ def _alike() -> dict[str, str]:
     table |= dict(zip("\u0391\u0392\u0395\u0396\u0397\u0399\u039a\u039c\u039d\u039f\u03a1\u03a4\u03a5\u03a7", "ABEZHIKMNOPTYX"))
     for code in range(0xFF01, 0xFF5F):  # full-width forms
         table[chr(code)] = chr(code - 0xFEE0)
+    for code in range(0x1D400, 0x1D6A4):  # mathematical letters
+        letter = unicodedata.normalize("NFKC", chr(code))
+        if letter.isascii():
+            table[chr(code)] = letter
     for zero in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6):
         table |= {chr(zero + i): str(i) for i in range(10)}
     table |= dict.fromkeys("\u3002\u2024", ".") | dict.fromkeys("\u2010\u2011\u2012\u2013\u2212", "-")
@@ -115,7 +120,8 @@ def _alike() -> dict[str, str]:
 
 
 ALIKE = _alike()
-_ALIKE = re.compile("[" + "".join(map(re.escape, ALIKE)) + "]")
+#: Two short classes, those beyond 16 bits as one range: a class that lists them is slow to test.
+_ALIKE = re.compile("[" + "".join(re.escape(c) for c in ALIKE if c <= "\uffff") + "]|[\U0001d400-\U0001d7ff]")
 #: Spelled digits in English, German, French and Spanish.
 _SPOKEN = (
     "zero oh null zéro cero", "one ein eins eine un une uno una", "two zwei zwo deux dos", "three drei trois tres",
@@ -136,7 +142,14 @@ _TOKEN = rf"(?:{_WORD}|[0-9]++)(?![^\W_])"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_PLUS})[\s,-]*+(?=[0-9]|{_WORD}))?{_TOKEN}(?:{_BETWEEN}(?<![^\W_]){_TOKEN})+", re.I)
 _DIGIT_WORD = re.compile(rf"(?<![^\W_])(?:{_PLUS}|{_WORD}|{_DOT})(?![^\W_])|[0-9]|\.", re.I)
 _ANY_DIGIT_WORD = re.compile(rf"(?<![^\W_])(?:{_WORD})(?![^\W_])", re.I)
-_BRACKET = re.compile(rf"[\x20]*[\[({{<]\s*(at|ät|à|{_AT_SIGN}|{_DOT}|@|\.)\s*[\])}}>][\x20]*", re.I)
+#: What the words of a text are made of, and two digits in a row, one of them spelled (see ``_may_spell``).
+_WORDS = re.compile(r"[^\W_]+")
+_ROW = re.compile(r"w\.*[wn]|n\.*w")
+#: Blanks in front of the bracket go with it (``before``): to search for them would start anew at each blank.
+_BRACKET = re.compile(rf"[\[({{<]\s*+(at|ät|à|{_AT_SIGN}|{_DOT}|@|\.)\s*+[\])}}>]\x20*+", re.I)
+#: An address whose ``0`` and ``1`` are partly letters; two parts are numbers.
+_LETTERED_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9OoIl]{1,3}(?:\.[0-9OoIl]{1,3}){3}(?![A-Za-z0-9]|\.[A-Za-z0-9])")
+_ZERO_ONE = str.maketrans("OoIl", "0011")
 _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])\x20+dot\x20+(?=[A-Za-z0-9])", re.I)
 #: A bare "at" counts only with a spelled dot behind the next word.
 _WORD_AT = re.compile(r"(?<=[A-Za-z0-9])\x20+at\x20+(?=[A-Za-z0-9-]+(?:\x20+dot\x20|\x20*[\[({<]\s*(?:dot|\.)\s*[\])}>]))", re.I)
@@ -149,7 +162,9 @@ _SPOKEN_ADDRESS = re.compile(
     rf"(?:\x20+(?:{_AT_SIGN})\x20+[A-Za-z0-9-]++(?:{_SPOKEN_DOT}[A-Za-z0-9-]++)+"
     r"|\x20+(?:at|ät)\x20+[A-Za-z0-9-]++(?:\x20+punkt\x20+[A-Za-z0-9-]++)+)", re.I,
 )
-_SPOKEN_PARTS = re.compile(rf"\x20+(at|ät|{_AT_SIGN}|{_DOT})\x20+", re.I)
+_SPOKEN_PARTS = re.compile(rf"(?<!\x20)\x20++(at|ät|{_AT_SIGN}|{_DOT})\x20++", re.I)
+_SPOKEN_WORDS = tuple(f" {word} " for word in ("at", "ät", *_AT_SIGN.split("|"), *_DOT.split("|")))
+_DOTS = frozenset(_DOT.split("|"))
 
 
 def _sign(word: str) -> str:
@@ -164,14 +179,19 @@ class Tape:
         self.start: list[int] | None = None
         self.end: list[int] | None = None
 
-    def rewrite(self, pattern: re.Pattern, put) -> None:
-        """Replace matches by ``put(match)``; the new characters stand for the whole match."""
+    def rewrite(self, pattern: re.Pattern, put, before: str = "") -> None:
+        """Replace matches by ``put(match)``; the new characters stand for the whole match.
+
+        Characters ``before`` right in front of a match belong to it.
+        """
         last, parts, edits = 0, [], []
         for m in pattern.finditer(self.text):
-            new = put(m)
-            if new != m[0]:
-                parts += [self.text[last : m.start()], new]
-                edits.append((m.start(), m.end(), len(new)))
+            new, start = put(m), m.start()
+            while start > last and self.text[start - 1] == before:
+                start -= 1
+            if new != self.text[start : m.end()]:
+                parts += [self.text[last:start], new]
+                edits.append((start, m.end(), len(new)))
                 last = m.end()
         if not edits:
             return
@@ -186,8 +206,10 @@ class Tape:
         self.text = "".join(parts) + self.text[edits[-1][1] :]
 
     @staticmethod
-    def _digit(word: str) -> str:
-        word = word.lower()
+    def _digit(m: re.Match) -> str:
+        word = m[0].lower()
+        if word == "." and (m.string[m.end() : m.end() + 1].isspace() or m.string[m.start() - 1 : m.start()].isspace()):
+            return " "  # a full stop, as of a numbered list: no dot of an address
         return DIGITS.get(word) or (word if word.isdigit() else "+" if re.fullmatch(_PLUS, word) else ".")
 
     def spell(self) -> None:
@@ -195,11 +217,11 @@ class Tape:
         runs = []
         for m in _SPELLED.finditer(self.text):
             if _ANY_DIGIT_WORD.search(m[0]):
-                found = [(w, self._digit(w[0])) for w in _DIGIT_WORD.finditer(m[0])]
+                found = [(w, self._digit(w)) for w in _DIGIT_WORD.finditer(m[0])]
                 digits = "".join(new for _, new in found if new.isdigit())
                 # A card number has no dots; fewer than four digits matter in addresses only.
                 if 13 <= len(digits) <= 19 and not found[0][1] == "+" and luhn(digits):
-                    found = [x for x in found if x[1] != "."]
+                    found = [x for x in found if x[1] not in ". "]
                 if len(digits) >= 4 or "@" in self.text:
                     runs.append((m.start(), found))
         if not runs:
@@ -217,22 +239,38 @@ class Tape:
         self.text = "".join(parts) + self.text[last:]
 
 
+def _numbers(m: re.Match) -> str:
+    plain = sum(part.isdigit() for part in m[0].split("."))
+    return m[0].translate(_ZERO_ONE) if 2 <= plain < 4 else m[0]
+
+
+def _may_spell(lower: str) -> bool:
+    """Whether two digits stand side by side, one of them spelled: nothing else makes a row."""
+    words = _WORDS.findall(lower)
+    if DIGITS.keys().isdisjoint(words):
+        return False
+    return bool(_ROW.search("".join("w" if w in DIGITS else "n" if w.isdigit() else "." if w in _DOTS else " " for w in words)))
+
+
 def uncover(text: str) -> Tape:
     """The text without disguises."""
     tape = Tape(text)
     if not text.isascii():
-        tape.rewrite(_ALIKE, lambda m: ALIKE[m[0]])
+        tape.rewrite(_ALIKE, lambda m: ALIKE.get(m[0], m[0]))
     lower = tape.text.lower()
     if any(c in lower for c in "[({<"):
-        tape.rewrite(_WORD_AT, lambda m: "@")
-        tape.rewrite(_BRACKET, lambda m: _sign(m[1]))
+        if " at " in lower:
+            tape.rewrite(_WORD_AT, lambda m: "@")
+        tape.rewrite(_BRACKET, lambda m: _sign(m[1]), before=" ")
     if " dot " in lower:
         tape.rewrite(_WORD_AT, lambda m: "@")
         tape.rewrite(_WORD_DOT, lambda m: ".")
-    if _SPOKEN_PARTS.search(tape.text):
+    if any(word in lower for word in _SPOKEN_WORDS):
         tape.rewrite(_SPOKEN_ADDRESS, lambda m: _SPOKEN_PARTS.sub(lambda w: _sign(w[1]), m[0]))
-    if _ANY_DIGIT_WORD.search(tape.text):
+    if _may_spell(lower):
         tape.spell()
+    if "." in tape.text:
+        tape.rewrite(_LETTERED_IP, _numbers)
     return tape
 
 

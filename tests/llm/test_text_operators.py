@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import struct
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from brinewatch.llm import fingerprint as fp
@@ -260,3 +262,22 @@ def test_rows_without_id_fill_many_blocks(spark, monkeypatch):
     )
     sizes = [r["count"] for r in blocks[-1].groupBy("block").count().collect()]
     assert max(sizes) < 60 and len(sizes) > 15
+
+
+@pytest.mark.parametrize(
+    "unit",
+    [" ", "\t", "(", "( ", " (", "one ", "one, ", "1. ", "a at b ", "a at a dot ", "x arroba ", "x punkt ", "[at] ", "+1(", "@", "a@", "1-", "\n", "O."],
+)
+def test_personal_data_in_linear_time(unit):
+    start = time.time()
+    personal_spans("a" + unit * (10**6 // len(unit)) + "x")
+    assert time.time() - start < 10, "a run of one sign costs more than linear time"
+
+
+def test_lists_are_no_addresses_and_letters_are_digits():
+    for text in ("one 1. 2. 3. 4 steps", "siehe Abschnitt 1. ein 2. 3. 4.", "un 10. 20. 30. 40", "l.o.l.o", "O.O.1.l"):
+        assert personal_spans(text) == [], text
+    for text, kind in (("𝐣𝐨𝐡𝐧@example.com", "email"), ("1O.0.0.1", "ip"), ("one nine two.one six eight.zero.one", "ip")):
+        assert personal_spans(text) == [(kind, 0, len(text), False)], text
+    text = "write to   joe   (at)   example (dot) org now"
+    assert [(k, text[a:b]) for k, a, b, _ in personal_spans(text)] == [("email", "joe   (at)   example (dot) org")]
