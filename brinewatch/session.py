@@ -54,11 +54,30 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 def drop_scratch(spark: SparkSession) -> int:
     """Delete what this application has written with ``scratch_dir``, once no result is read any more."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark._jvm.org.apache.hadoop.fs
+    delete_folders(spark, paths)
+    return len(paths)
+
+
+def delete_folders(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
-        folder = hadoop.Path(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return len(paths)
+
+
+def written_folders(spark: SparkSession, path: str, *, complete: bool = True) -> dict[int, str]:
+    """The folders ``<name>=<number>`` in ``path`` by number; ``complete`` asks for a finished write."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return {}
+    out = {}
+    for status in files.listStatus(root):
+        folder = status.getPath()
+        _, is_numbered, number = folder.getName().partition("=")
+        if is_numbered and (not complete or files.exists(hadoop.Path(folder, "_SUCCESS"))):
+            out[int(number)] = folder.toString()
+    return out
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from brinewatch import schema as S
 from brinewatch.functions import in_range
-from brinewatch.operators.joins import stream_asof_setpoints, stream_setpoints
+from brinewatch.operators.joins import asof_setpoints, join_setpoints, stream_setpoints
 from brinewatch.operators.tumbling import point_flags, tumbling_stats
 from brinewatch.plans import stream as plans
-from brinewatch.streaming.run import drain_served
+from brinewatch.session import scratch_dir
+from brinewatch.streaming.served import ServedStream, Table, current
 
 DELAY = "10 minutes"
 
@@ -46,40 +47,61 @@ def enriched(events: DataFrame, machines: DataFrame) -> DataFrame:
     return stream_setpoints(events, machines).withColumns(point_flags())
 
 
-def _served(
-    events: DataFrame, rows: DataFrame, label: str, *, ts: str, delay: str, drop_empty: bool = False
-) -> DataFrame:
-    stats = tumbling_stats(events.select(ts, S.MAC, *S.SENSORS), ts=ts, drop_empty=drop_empty, delay=delay)
-    return drain_served(rows, stats, label, ts=ts, minutes=S.WINDOW_MINUTES, delay=delay)
+def kappa_stream(
+    events: DataFrame, machines: Table, path: str, *, raw_time: str = S.TIME, ts: str = "kafka_ts", delay: str = DELAY
+) -> ServedStream:
+    """Each event at once with its row flags; its window is added when the table is read."""
 
+    def enrich(batch: DataFrame) -> DataFrame:
+        return join_setpoints(batch, current(machines)).withColumns(plans.kappa_row(raw_time, ts))
+
+    return ServedStream(events, path, enrich, ts=ts, delay=delay)
+
+
+def speed_stream(
+    events: DataFrame, machines: Table, path: str, *, raw_time: str = S.TIME, ts: str = "kafka_ts", delay: str = DELAY
+) -> ServedStream:
+    """The speed layer of the two-layer style."""
+
+    def enrich(batch: DataFrame) -> DataFrame:
+        return join_setpoints(batch, current(machines)).withColumns(plans.speed_row(raw_time, ts))
+
+    return ServedStream(events, path, enrich, ts=ts, delay=delay)
 
-def run_kappa(
-    events: DataFrame, machines: DataFrame, *, raw_time: str = S.TIME, ts: str = "kafka_ts", delay: str = DELAY
-) -> DataFrame:
-    """Each event at once with its row flags; ``conc_ok`` and ready time follow its window, by key.
 
-    All events come out, those of open windows and late ones (``late``) included.
+def fabric_stream(
+    events: DataFrame, versions: Table, path: str, *, raw_time: str = S.TIME, ts: str = "kafka_ts", delay: str = DELAY
+) -> ServedStream:
+    """Valid rows with setpoints as of the event; windows on event time cover all rows with a sensor value."""
+
+    def enrich(batch: DataFrame) -> DataFrame:
+        timed = batch.withColumn("_event_ts", F.timestamp_seconds(S.TIME))
+        return asof_setpoints(timed, current(versions)).withColumns(plans.fabric_row(raw_time, ts))
+
+    sensed = F.coalesce(*(F.col(s) for s in S.SENSORS)).isNotNull()
+    return ServedStream(events, path, enrich, ts="_event_ts", delay=delay, counted=sensed, shown=F.col("schema_valid"))
+
+
+def run_kappa(events: DataFrame, machines: Table, *, ts: str = "kafka_ts", **options) -> DataFrame:
+    """Stream-only style: all events come out, those of open windows and late ones (``late``) included.
+
+    ``conc_ok`` and ready time follow the event's window. ``machines`` may be a function that reads the table:
+    it is called for every micro-batch.
     """
-    rows = stream_setpoints(events, machines).withColumns(plans.kappa_row(raw_time, ts))
-    return _served(events, rows, "kappa", ts=ts, delay=delay).withColumns(plans.kappa_window(ts))
+    served = kappa_stream(events, machines, scratch_dir(events.sparkSession, "kappa"), ts=ts, **options)
+    return served.drain().withColumns(plans.kappa_window(ts))
 
 
-def run_speed(
-    events: DataFrame, machines: DataFrame, *, raw_time: str = S.TIME, ts: str = "kafka_ts", delay: str = DELAY
-) -> DataFrame:
-    """The speed layer of the two-layer style on a stream."""
-    rows = stream_setpoints(events, machines).withColumns(plans.speed_row(raw_time, ts))
-    return _served(events, rows, "speed", ts=ts, delay=delay).withColumns(plans.speed_window(ts))
+def run_speed(events: DataFrame, machines: Table, *, ts: str = "kafka_ts", **options) -> DataFrame:
+    """The speed layer on a stream."""
+    served = speed_stream(events, machines, scratch_dir(events.sparkSession, "speed"), ts=ts, **options)
+    return served.drain().withColumns(plans.speed_window(ts))
 
 
-def run_fabric(
-    events: DataFrame, versions: DataFrame, *, raw_time: str = S.TIME, ts: str = "kafka_ts", delay: str = DELAY
-) -> DataFrame:
-    """Valid rows with setpoints as of the event; windows on event time cover all rows with a sensor value.
+def run_fabric(events: DataFrame, versions: Table, **options) -> DataFrame:
+    """Validated style on a stream; ``versions`` may be a function that reads them for every micro-batch.
 
     Rejected rows can be had from the same source with ``drain_split``.
     """
-    timed = events.withColumn("_event_ts", F.timestamp_seconds(S.TIME))
-    rows = stream_asof_setpoints(timed.where(in_range()), versions).withColumns(plans.fabric_row(raw_time, ts))
-    served = _served(timed, rows, "fabric", ts="_event_ts", delay=delay, drop_empty=True)
-    return served.withColumns(plans.fabric_window()).drop("_event_ts")
+    served = fabric_stream(events, versions, scratch_dir(events.sparkSession, "fabric"), **options)
+    return served.drain().withColumns(plans.fabric_window()).drop("_event_ts")

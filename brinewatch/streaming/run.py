@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinewatch import schema as S
 from brinewatch.functions import in_range
-from brinewatch.operators.skew import hot_devices, salted_join
 from brinewatch.session import scratch_dir
-from brinewatch.sources.sinks import dedup_first, dedup_last
+from brinewatch.sources.sinks import dedup_first
+from brinewatch.streaming.keyed import KeyedTable, UpsertLog
 
 
 def _finish(writer, checkpoint: str) -> None:
@@ -28,51 +27,6 @@ def drain(stream: DataFrame, label: str, *, path: str | None = None) -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
-def _log_writer(path: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # Overwriting the batch's own folder makes a repeated batch harmless.
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return write
-
-
-class UpsertLog:
-    """A keyed table as the log of its changes, with snapshots so that reading stays cheap.
-
-    Every batch has a folder of its own; every ``every`` batches the current content becomes a
-    snapshot, and only later batches are read besides it. The schema is declared, so an empty log is
-    an empty table.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], every: int = 20):
-        self.spark, self.path, self.schema, self.key, self.every = spark, path, schema, list(key), every
-        # The folders exist from the start, so that a reader never meets a missing path.
-        for part in ("log/batch_id=-1", "snapshot/upto=-1"):
-            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{part}")
-
-    def _part(self, name: str, number: str) -> DataFrame:
-        schema = T.StructType([*self.schema, T.StructField(number, T.LongType())])
-        return self.spark.read.option("basePath", f"{self.path}/{name}").schema(schema).parquet(f"{self.path}/{name}")
-
-    def write(self, batch: DataFrame, batch_id: int) -> None:
-        _log_writer(f"{self.path}/log")(batch, batch_id)
-        if (batch_id + 1) % self.every == 0:
-            self.compact(batch_id)
-
-    def compact(self, upto: int) -> None:
-        """Make the content after batch ``upto`` a snapshot."""
-        self.content(upto).write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={upto}")
-
-    def content(self, upto: int = 2**62) -> DataFrame:
-        """The last written row of each key, as of batch ``upto``."""
-        snapshots = self._part("snapshot", "upto")
-        base = snapshots.where(F.col("upto") < upto).agg(F.max("upto")).first()[0]
-        base = -1 if base is None else base
-        changes = self._part("log", "batch_id").where((F.col("batch_id") > base) & (F.col("batch_id") <= upto))
-        rows = snapshots.where(F.col("upto") == base).withColumnRenamed("upto", "batch_id").unionByName(changes)
-        return dedup_last(rows, key=self.key, order=["batch_id"]).drop("batch_id")
-
-
 def drain_upserts(stream: DataFrame, label: str, key: Sequence[str]) -> DataFrame:
     """Update-mode stream into an upsert log: each batch costs its changes, not the table."""
     path = scratch_dir(stream.sparkSession, label)
@@ -82,61 +36,28 @@ def drain_upserts(stream: DataFrame, label: str, key: Sequence[str]) -> DataFram
 
 
 def drain_insert_ignore(
-    stream: DataFrame, label: str, *, key: str, order: Sequence[str], target: DataFrame | None = None
+    stream: DataFrame, label: str, *, key: str, order: Sequence[str], target: DataFrame | None = None,
+    buckets: int = 64, bucket_rows: int = 500_000, every: int = 20,
 ) -> DataFrame:
     """Rows whose key neither ``target`` nor an earlier batch has; rows without a key are all kept.
 
-    Each batch is compared with the whole table, so a key stays unique however late it comes again.
+    A batch reads the keys of the buckets that its own keys fall into, so a key stays unique however late it
+    comes again, and a trigger costs what its keys need, not the table.
     """
     spark = stream.sparkSession
     path = scratch_dir(spark, label)
-    start = target.select(*stream.columns) if target is not None else spark.createDataFrame([], stream.schema)
-    start.write.parquet(f"{path}/log/batch_id=-1")
-    schema = T.StructType([*stream.schema, T.StructField("batch_id", T.LongType())])
-
-    def table() -> DataFrame:
-        return spark.read.option("basePath", f"{path}/log").schema(schema).parquet(f"{path}/log")
+    table = KeyedTable(spark, path, stream.schema, [key], every=every, buckets=buckets, bucket_rows=bucket_rows)
+    if target is not None:
+        table.write(target, -1)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = table().where(F.col("batch_id") < batch_id).select(key).where(F.col(key).isNotNull())
-        fresh = dedup_first(batch, key=key, order=order).join(known, key, "left_anti").select(*batch.columns)
-        _log_writer(f"{path}/log")(fresh, batch_id)
+        batch.persist()
+        known = table.lookup(batch, batch_id)
+        table.write(dedup_first(batch, key=key, order=order).join(known, key, "left_anti"), batch_id)
+        batch.unpersist()
 
     _finish(stream.writeStream.foreachBatch(write), f"{path}/state")
-    return table().drop("batch_id")
-
-
-def drain_served(
-    rows: DataFrame, stats: DataFrame, label: str, *, ts: str, minutes: int, delay: str
-) -> DataFrame:
-    """Rows at once, their windows' figures by key: every row of the stream with its window so far.
-
-    ``rows`` are written as they come, with whatever they carry; ``stats`` (device and window, update
-    mode) go to an upsert log. What is read back joins both: ``avg_conductivity`` and ``window_end``
-    follow the log, so open windows are there as well. ``late`` marks rows that came after their
-    window had been closed by the watermark; they are kept, but not part of its figures.
-    """
-    spark = rows.sparkSession
-    path = scratch_dir(spark, label)
-    log = UpsertLog(spark, f"{path}/stats", stats.schema, ["window", S.MAC])
-    _finish(rows.writeStream.foreachBatch(_log_writer(f"{path}/rows")), f"{path}/state/rows")
-    _finish(stats.writeStream.outputMode("update").foreachBatch(log.write), f"{path}/state/stats")
-    schema = T.StructType([*rows.schema, T.StructField("batch_id", T.LongType())])
-    written = spark.read.option("basePath", f"{path}/rows").schema(schema).parquet(f"{path}/rows")
-    # One row for each batch: how far time had come before it.
-    batches = written.groupBy("batch_id").agg(F.max(ts).alias("_max"))
-    before = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
-    marks = batches.select("batch_id", (F.max("_max").over(before) - F.expr(f"interval {delay}")).alias("_mark"))
-    at, span = F.unix_micros(F.col(ts)), F.lit(minutes * 60_000_000)
-    started = written.join(marks, "batch_id").withColumn("_start", at - F.pmod(at, span))
-    started = started.withColumn(
-        "late", F.coalesce(F.timestamp_micros(F.col("_start") + span) <= F.col("_mark"), F.lit(False))
-    ).drop("batch_id", "_mark")
-    figures = log.content().where(F.col(S.MAC).isNotNull()).select(
-        S.MAC, F.unix_micros("window.start").alias("_start"), F.col("window.end").alias("window_end"), "avg_conductivity"
-    )
-    hot = hot_devices(started, S.DEVICE, "_start")
-    return salted_join(started, figures, [S.MAC, "_start"], hot=hot, salt_on=S.EVENT_ID).drop("_start")
+    return table.content()
 
 
 def drain_split(stream: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
