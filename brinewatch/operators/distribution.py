@@ -1,8 +1,12 @@
 """Exact distribution figures (moments and quantiles) of very large groups.
 
-Values are first counted (map-side combined, spread by value), the counts are summed into
-logarithmic buckets, and only the few buckets that hold a wanted rank are looked at value by
-value.  No task ever sees a whole group, and the results are exact.
+Values are first counted (map-side combined, spread by value) and the counts summed into logarithmic buckets.
+Each wanted rank lies in one bucket. A bucket of many values is cut into equal ranges, of which the one with the
+rank is cut again, until few values are left; only these are put in order. No task ever sees a whole group or
+bucket, and the results are exact.
+
+Moments are counts, means and squared deviations of values that are equally frequent within a bucket, which
+Spark merges without loss of digits; they are then put together around the group's mean.
 """
 
 from __future__ import annotations
@@ -13,10 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewatch.functions import steady_round
-from brinewatch.session import checkpointed
+from brinewatch.session import checked_broadcast, checkpointed
 
 #: Buckets per factor e.  A bucket holds values that differ by at most one part in this.
 BUCKETS_PER_E = 256
+#: Values of a range that are put in order in one task at most, and the parts a larger range is cut into.
+MOST_VALUES, PARTS = 100_000, 1024
 #: More than the logarithm of the smallest double times the above, to keep bucket numbers positive.
 BUCKET_SHIFT = 200_000
 
@@ -39,6 +45,7 @@ def distribution(
     nearest: Mapping[str, float] | None = None,
     weight: str | None = None,
     materialize: bool = False,
+    most_values: int = MOST_VALUES,
 ) -> DataFrame:
     """One row per group: ``n, mean, std, min, max`` and the quantiles asked for.
 
@@ -47,7 +54,7 @@ def distribution(
     ``std`` is the sample deviation, 0 for a single value.  NULL and NaN values are left out.
     Infinite values count: they are bounds and quantiles as they come, the mean is infinite (NaN with
     both signs), and the deviation of several values is NaN.
-    ``materialize`` writes the value counts to the shared folder, worth it after a long plan.
+    Value counts are written to the shared folder if quantiles or ``materialize`` ask for it.
     """
     linear, nearest = dict(linear or {}), dict(nearest or {})
     by = list(by)
@@ -62,47 +69,14 @@ def distribution(
         .agg(F.sum("_c").alias("_c"))
         .withColumn("_b", _bucket(F.col("_v")))
     )
-    if materialize:
+    # Quantiles read the counts several times, so they are written then.
+    if materialize or linear or nearest:
         counts = checkpointed(counts)
-
-    along = Window.partitionBy(*keys).orderBy("_b")
-    group = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        counts.groupBy(*keys, "_b")
-        .agg(
-            F.sum("_c").alias("_bc"),
-            F.sum(F.col("_v") * F.col("_c")).alias("_bs"),
-            F.sum(F.col("_v") * F.col("_v") * F.col("_c")).alias("_bq"),
-            F.min("_v").alias("_lo"),
-            F.max("_v").alias("_hi"),
-        )
-        .withColumns(
-            {
-                "_before": F.sum("_bc").over(upto) - F.col("_bc"),
-                "_n": F.sum("_bc").over(group),
-                "_mean": F.sum("_bs").over(group) / F.sum("_bc").over(group),
-            }
-        )
-    )
-    bucket_mean = F.col("_bs") / F.col("_bc")
-    # Deviations within each bucket plus those of the bucket means: no large cancellation.
-    infinite = F.abs(F.col("_bs")) == float("inf")
-    spread = F.when(infinite, F.lit(float("nan"))).otherwise(
-        F.greatest(F.col("_bq") - F.col("_bs") * bucket_mean, F.lit(0.0))
-        + F.col("_bc") * (bucket_mean - F.col("_mean")) * (bucket_mean - F.col("_mean"))
-    )
-    moments = buckets.groupBy(*keys).agg(
-        F.max("_n").alias("n"),
-        F.max("_mean").alias("mean"),
-        F.sum(spread).alias("_ss"),
-        F.min("_lo").alias("min"),
-        F.max("_hi").alias("max"),
+    parts = counts.groupBy(*keys, "_b", "_c").agg(
+        F.count(F.lit(1)).alias("_d"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_var"),
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
     )
-    moments = moments.withColumn(
-        "std",
-        F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1))).otherwise(F.lit(0.0)),
-    ).drop("_ss")
+    moments = _moments(parts, keys)
     if not linear and not nearest:
         return moments if by else moments.drop("_all")
 
@@ -113,25 +87,9 @@ def distribution(
         ranks[f"{name}_hi"] = F.least(at + 1, F.col("_n") - 1)
     for name, q in nearest.items():
         ranks[f"{name}_at"] = F.floor(F.col("_n") * F.lit(q))
-    ranks = {name: rank.cast("bigint") for name, rank in ranks.items()}
-
-    def inside(rank: Column, before: Column, count: Column) -> Column:
-        return (rank >= before) & (rank < before + count)
-
-    wanted = F.lit(False)
-    for rank in ranks.values():
-        wanted = wanted | inside(rank, F.col("_before"), F.col("_bc"))
-    hits = buckets.where(wanted).select(*keys, "_b", "_before", "_n")
-    within = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.join(hits, [*keys, "_b"]).withColumn(
-        "_from", F.col("_before") + F.sum("_c").over(within) - F.col("_c")
-    )
-    picked = placed.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
-        *[
-            F.max(F.when(inside(rank, F.col("_from"), F.col("_c")), F.col("_v"))).alias(name)
-            for name, rank in ranks.items()
-        ],
+    found = _values_at(counts, parts, keys, ranks, most_values)
+    picked = found.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), *(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks)
     )
     quantiles = []
     for name, q in linear.items():
@@ -144,6 +102,90 @@ def distribution(
     return out if by else out.drop("_all")
 
 
+def _moments(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``n, mean, std, min, max`` from counts, means and variances of equally frequent values."""
+    size = F.col("_c") * F.col("_d")
+    # The sum of a group with infinite values is infinite, or NaN with both signs.
+    group = Window.partitionBy(*keys)
+    about = parts.withColumn("_mean", F.sum(size * F.col("_m")).over(group) / F.sum(size).over(group))
+    infinite = F.abs(F.col("_m")) == float("inf")
+    off = F.col("_m") - F.col("_mean")
+    spread = F.when(infinite, F.lit(float("nan"))).otherwise(size * (F.col("_var") + off * off))
+    moments = about.groupBy(*keys).agg(
+        F.sum(size).alias("n"), F.max("_mean").alias("mean"), F.sum(spread).alias("_ss"),
+        F.min("_lo").alias("min"), F.max("_hi").alias("max"),
+    )
+    deviation = F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1))).otherwise(F.lit(0.0))
+    return moments.select(*keys, "n", "mean", "min", "max", deviation.alias("std"))
+
+
+def _inside(rank: str = "_rank") -> Column:
+    return (F.col(rank) >= F.col("_before")) & (F.col(rank) < F.col("_before") + F.col("_size"))
+
+
+def _values_at(
+    counts: DataFrame, parts: DataFrame, keys: list[str], ranks: Mapping[str, Column], most_values: int
+) -> DataFrame:
+    """``keys, _n, _name, _v``: the value at each rank, counted from 0."""
+    along = Window.partitionBy(*keys).orderBy("_b")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    size = F.col("_c") * F.col("_d")
+    buckets = parts.groupBy(*keys, "_b").agg(
+        F.sum(size).alias("_size"), F.sum("_d").alias("_d"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
+    )
+    buckets = buckets.withColumns(
+        {
+            "_before": F.sum("_size").over(upto) - F.col("_size"),
+            "_n": F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        }
+    )
+    wanted = F.explode(
+        F.array(*(F.struct(F.lit(name).alias("_name"), rank.cast("bigint").alias("_rank")) for name, rank in ranks.items()))
+    )
+    ranges = buckets.select("*", wanted.alias("_r")).select("*", "_r._name", "_r._rank").where(_inside()).drop("_r")
+    ranges = checkpointed(ranges.select(*keys, "_b", "_n", "_name", "_rank", "_before", "_lo", "_hi", "_d"))
+    few = ranges.where(F.col("_d") <= most_values)
+    crowded = ranges.where(F.col("_d") > most_values)
+    while not crowded.isEmpty():
+        crowded = checkpointed(_refined(counts, crowded, keys))
+        few = few.unionByName(crowded.where(F.col("_d") <= most_values))
+        crowded = crowded.where(F.col("_d") > most_values)
+    return _picked(counts, few, keys)
+
+
+def _within(counts: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """The values of each range, which lies in one bucket of its group."""
+    places = [*keys, "_b"]
+    named, _ = checked_broadcast(ranges.withColumnsRenamed({k: f"_of{i}" for i, k in enumerate(places)}))
+    same = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    for i, k in enumerate(places):
+        same = same & F.col(k).eqNullSafe(F.col(f"_of{i}"))
+    return counts.join(named, same).drop(*(f"_of{i}" for i in range(len(places))))
+
+
+def _refined(counts: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each range, cut into equal parts, the part that holds the rank, with the bounds of its values."""
+    # Rounding keeps the order, and both ends are in parts of their own: every step leaves something out.
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    part = F.least(F.floor(share * PARTS), F.lit(PARTS - 1))
+    group = [*keys, "_name"]
+    sizes = (
+        _within(counts, ranges, keys)
+        .groupBy(*group, "_b", "_n", "_rank", F.col("_before").alias("_base"), part.alias("_part"))
+        .agg(F.sum("_c").alias("_size"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    )
+    upto = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sizes.withColumn("_before", F.col("_base") + F.sum("_size").over(upto) - F.col("_size"))
+    return placed.where(_inside()).select(*keys, "_b", "_n", "_name", "_rank", "_before", "_lo", "_hi", "_d")
+
+
+def _picked(counts: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    upto = Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    values = _within(counts, ranges, keys).withColumn("_size", F.col("_c"))
+    placed = values.withColumn("_before", F.col("_before") + F.sum("_c").over(upto) - F.col("_c"))
+    return placed.where(_inside()).select(*keys, "_n", "_name", "_v")
+
+
 def metric_summary(
     df: DataFrame, value: str, by: Sequence[str], *, weight: str | None = None,
     materialize: bool = False,
@@ -155,9 +197,9 @@ def metric_summary(
     )
 
 
-def latency_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def latency_stats(df: DataFrame, value: str, by: Sequence[str] = (), *, most_values: int = MOST_VALUES) -> DataFrame:
     """Count, average, bounds and nearest-rank p50, p95, p99."""
-    d = distribution(df, value, by, nearest={"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    d = distribution(df, value, by, nearest={"p50": 0.5, "p95": 0.95, "p99": 0.99}, most_values=most_values)
     return d.select(
         *by, F.col("n").alias("count"), F.col("mean").alias("avg"), "min", "max", "p50", "p95", "p99"
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
 from brinewatch.functions import missing_rate, number
-from brinewatch.operators.skew import DEFAULT_POLICY, Chunks, Hot, HotPolicy, ordered_chunks
+from brinewatch.operators.skew import DEFAULT_POLICY, Chunks, Hot, HotPolicy, hot_devices, order_columns, ordered_chunks
 
 #: Flags whose changes are counted; ``conc_ok`` is left out, it merely negates the two others.
 STABILITY_FLAGS = (
@@ -165,21 +165,28 @@ def add_features(
     rate_per_minute: float = 60.0,
     keys: Sequence[str] = S.DEVICE,
     order: Sequence[str] = S.BY_TIME,
+    arrival: Sequence[str] = S.BY_ARRIVAL,
     now: Column | None = None,
     hot: Hot | None = None,
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """All features in one pass over one exchange."""
+    """All features in one pass over one exchange; only hot devices are cut a second time, along arrival."""
     present = [f for f in flags if f in df.columns]
-    chunks = ordered_chunks(df, keys=keys, order=order, rows_back=LATENCY_ROWS - 1, hot=hot, policy=policy)
     time = order[0]
+    if hot is None or hot.keys != tuple(keys):
+        hot = hot_devices(df, keys, time, policy)
+    if not hot.empty:
+        df = ooo_indicator(df, time, keys=keys, order=arrival, policy=policy)
+    chunks = ordered_chunks(df, keys=keys, order=order, rows_back=LATENCY_ROWS - 1, hot=hot, policy=policy)
+    arriving = Window.partitionBy(*chunks.keys, "_chunk").orderBy(*order_columns(arrival))
+    steps_back = F.coalesce(F.col(time) < F.lag(time).over(arriving), F.lit(False))
     featured = chunks.df.withColumns(
         {
             **row_quality(processing, time),
             **_latency(chunks, latency),
             **_stability(chunks, present),
             **_integrity(chunks, rate_per_minute, (1, 5, 15)),
-            "out_of_order_indicator": _steps_back(chunks, time),
+            "out_of_order_indicator": steps_back if hot.empty else F.col("out_of_order_indicator"),
         }
     )
     return chunks.done(featured).withColumn(

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from brinewatch import schema as S
 from brinewatch.functions import alarm_flag, conductivity_violation, steady_round
-from brinewatch.operators.distribution import distribution
+from brinewatch.operators.distribution import MOST_VALUES, distribution
 from brinewatch.operators.rolling import Rolling, rolling
 from brinewatch.operators.skew import DEFAULT_POLICY, Hot, HotPolicy, ordered_chunks
+from brinewatch.session import checked_broadcast, checkpointed
 
 
 def _named(df: DataFrame, time: str | None = None) -> DataFrame:
@@ -35,19 +36,28 @@ def gap_counts(
     chunks = ordered_chunks(lean, keys=keys, order=(time,), rows_back=1, hot=hot, policy=policy)
     gap = F.col(time) - F.lag(time).over(chunks.ordered)
     gaps = chunks.done(chunks.df.withColumn("gap_s", gap.cast("double")))
-    return (
+    # Written, as cadence and rates read it several times.
+    return checkpointed(
         gaps.select(*keys, F.when(F.col("gap_s") > 0, F.col("gap_s")).alias("gap_s"))
         .groupBy(*keys, "gap_s")
         .agg(F.count(F.lit(1)).alias("gaps"))
     )
 
 
-def device_cadence(gaps: DataFrame, *, run: Sequence[str] = ()) -> DataFrame:
+def device_cadence(gaps: DataFrame, *, run: Sequence[str] = (), most_values: int = MOST_VALUES) -> DataFrame:
     """Median positive gap of each device; devices without one get the run's overall median."""
     run = list(run)
     keys = [*run, S.MAC]
-    # Distinct gaps of a device are bounded by its time span, not by its number of events.
-    own = gaps.groupBy(*keys).agg(F.percentile("gap_s", 0.5, F.col("gaps")).alias("_own"))
+    # The median of few gaps is taken in one piece; those of a device with many are counted by ranges.
+    many = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > most_values).drop("_d")
+    if many.isEmpty():
+        own = gaps.groupBy(*keys).agg(F.percentile("gap_s", 0.5, F.col("gaps")).alias("_own"))
+    else:
+        many, _ = checked_broadcast(checkpointed(many))
+        few = gaps.join(many, keys, "left_anti")
+        own = few.groupBy(*keys).agg(F.percentile("gap_s", 0.5, F.col("gaps")).alias("_own")).unionByName(
+            distribution(gaps.join(many, keys), "gap_s", keys, linear={"_own": 0.5}, weight="gaps").select(*keys, "_own")
+        )
     overall = distribution(gaps, "gap_s", run, linear={"_median": 0.5}, weight="gaps")
     if run:
         joined = own.join(overall.select(*run, "_median"), run, "left")

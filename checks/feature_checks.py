@@ -230,7 +230,14 @@ def fal_seconds(spark, sf):
     SELECT event_id, temp_below_setpoint, rinse_temp_below_setpoint, conc_constant_over,
       conc_constant_under, conc_ok, {MISSING} AS missing_rate, 1e0 - {MISSING} AS field_consistency_score,
       {SKEW} AS timestamp_skew_ms, round(least(1e0, n / 300e0), 6) AS window_integrity_5min,
-      flag_flip_rate, {LATENCY} AS latency_raw,
+      round(least(1e0, n / 60e0), 6) AS window_integrity_score_1min,
+      round(least(1e0, n / 900e0), 6) AS window_integrity_score_15min, 1e0 AS event_count_ratio_15min,
+      flag_flip_rate, freq_temp_flag, freq_conductivity_flag,
+      round(1e0 - least(1e0, flag_flip_rate / n), 6) AS combined_flag_stability,
+      coalesce(date_time_utc < lag(date_time_utc) OVER (PARTITION BY mac_address_string
+        ORDER BY persisted_at_ms, kafka_logappend_ms, event_id), FALSE) AS out_of_order_indicator,
+      {LATENCY} AS latency_raw,
+      round(coalesce(stddev_samp({LATENCY}) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0e0), 6) AS latency_volatility,
       round(avg({LATENCY}) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS latency_rolling_mean_5min,
       CAST({NOW_MS} AS BIGINT) AS features_ready_ms
     FROM s WINDOW w AS ({W})""", M),
@@ -239,8 +246,10 @@ def feature_batch(spark, sf):
     from brinewatch.plans.batch import feature_batch as job
 
     out = job(with_latency(spark, sf), I.machines(spark, sf), now=now())
-    return rounded(out, "window_integrity_5min", "latency_rolling_mean_5min").select(
-        "event_id", "temp_below_setpoint", "rinse_temp_below_setpoint", "conc_constant_over",
+    scores = ("window_integrity_score_1min", "window_integrity_score_15min", "combined_flag_stability", "latency_volatility")
+    return rounded(out, "window_integrity_5min", "latency_rolling_mean_5min", *scores).select(
+        "event_id", *scores, "event_count_ratio_15min", "freq_temp_flag", "freq_conductivity_flag",
+        "out_of_order_indicator", "temp_below_setpoint", "rinse_temp_below_setpoint", "conc_constant_over",
         "conc_constant_under", "conc_ok", "missing_rate", "field_consistency_score",
         "timestamp_skew_ms", "window_integrity_5min", "flag_flip_rate", "latency_raw",
         "latency_rolling_mean_5min", "features_ready_ms",

@@ -415,3 +415,34 @@ def metric_grid(spark, sf):
     long = timeliness.latency_decomposition(I.run_rows(spark, sf), run=RUN)
     table = runs.aggregate_runs(long.withColumn("value", F.lit(None).cast("double")))
     return runs.metric_grid(table, "availability_latency_s", workloads=list("ABCDE"))
+
+
+# --- values far from zero, and many values close together --------------------------------------
+@check(
+    "metric_summary_offset",
+    I.with_inputs("""SELECT mac_address_string, count(*) AS n, round(avg(k), 4) AS mean,
+      round(coalesce(stddev_samp(k), 0e0), 6) AS std, round(quantile_cont(k, 0.95e0), 4) AS p95,
+      round(quantile_cont(k, 0.99e0), 4) AS p99 FROM beacons GROUP BY 1"""),
+)
+def metric_summary_offset(spark, sf):
+    """Figures of ``k`` and of ``k`` a long way up differ by that way, and not in their deviation."""
+    far = I.beacons(spark, sf).select(DEV, (F.col("k") + 1e9).alias("v"))
+    out = D.metric_summary(far, "v", [DEV])
+    return out.withColumns({n: steady_round(F.col(n) - 1e9, 4) for n in ("mean", "p95", "p99")})
+
+
+@check(
+    "latency_stats_crowded",
+    I.with_inputs("""
+    WITH v AS (SELECT 0.99e0 + CAST(substr(event_id, 2) AS BIGINT) / 1e8 AS v FROM beacons),
+    o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS pos, count(*) OVER () AS n FROM v)
+    SELECT count(*) AS count, round(avg(v), 9) AS avg, min(v) AS min, max(v) AS max,
+      max(v) FILTER (pos = floor(n * 0.5e0)) AS p50, max(v) FILTER (pos = floor(n * 0.95e0)) AS p95,
+      max(v) FILTER (pos = floor(n * 0.99e0)) AS p99 FROM o"""),
+)
+def latency_stats_crowded(spark, sf):
+    """All values lie in a few buckets; the low limit makes them be cut into ranges again and again."""
+    number = F.expr("cast(substr(event_id, 2) as bigint)")
+    close = I.beacons(spark, sf).select((F.lit(0.99) + number / F.lit(1e8)).alias("v"))
+    out = D.latency_stats(close, "v", most_values=3)
+    return out.withColumn("avg", steady_round(F.col("avg"), 9))

@@ -8,6 +8,7 @@ from brinewatch import functions as fn
 from brinewatch import schema as S
 from brinewatch import streaming
 from brinewatch.operators.tumbling import tumbling_stats
+from brinewatch.session import checkpointed, scratch_dir
 from checks import inputs as I
 from checks.feature_checks import CONC_OK_SQL, M, POINT_SQL, STATS_SQL, VALID, WINDOW_SQL, rounded
 from checks.job_checks import QUIET_SQL, READY, STREAM_FROM
@@ -93,6 +94,38 @@ def stream_speed(spark, sf):
     )
 
 
+#: Half an hour of arrivals makes a batch; every twentieth row arrives two hours later.
+HELD_SQL = """held AS (SELECT *, kafka_logappend_ms + CASE WHEN k % 20 = 0 THEN 7200000 ELSE 0 END AS arrival_ms FROM beacons),
+    batched AS (SELECT *, arrival_ms // 1800000 AS batch, kafka_logappend_ms // 1200000 AS w FROM held),
+    marks AS (SELECT batch, max(max(kafka_logappend_ms)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark
+      FROM batched GROUP BY batch),
+    judged AS (SELECT b.*, coalesce((w + 1) * 1200000 <= mark - 600000, FALSE) AS late FROM batched b JOIN marks USING (batch))"""
+
+
+@check(
+    "stream_late",
+    I.with_inputs("""
+    SELECT event_id, late, round(avg(mean_conductivity) FILTER (NOT late) OVER g, 6) AS avg_conductivity,
+      CASE WHEN bool_or(NOT late) OVER g THEN (w + 1) * 1200000 END AS window_end_ms
+    FROM judged WINDOW g AS (PARTITION BY mac_address_string, w)""", HELD_SQL),
+)
+def stream_late(spark, sf):
+    """Rows behind the watermark are kept and marked, and no figure counts them."""
+    path = scratch_dir(spark, "held")
+    held = I.beacons(spark, sf).withColumn("batch", F.expr("(kafka_logappend_ms + if(k % 20 = 0, 7200000, 0)) div 1800000"))
+    held = checkpointed(held)
+    # One folder after the other: a stream takes the older files first. Five hours are ten batches at any scale.
+    first, last = held.agg(F.min("batch"), F.max("batch")).first()
+    for number in range(first, last + 1):
+        held.where(F.col("batch") == number).drop("batch").coalesce(1).write.parquet(f"{path}/batch={number}")
+    rows = spark.readStream.schema(held.drop("batch").schema).option("maxFilesPerTrigger", 1)
+    stream = rows.option("recursiveFileLookup", "true").parquet(path)
+    out = streaming.run_kappa(stream, I.machines(spark, sf), raw_time="date_time_raw")
+    return rounded(out, "avg_conductivity").select(
+        "event_id", "late", "avg_conductivity", fn.epoch_ms(F.col("window_end")).alias("window_end_ms")
+    )
+
+
 @check("stream_fabric", ORACLES["fabric_job"])
 def stream_fabric(spark, sf):
     out = streaming.run_fabric(I.beacon_stream(spark, sf), I.machine_versions(spark, sf), raw_time="date_time_raw")

@@ -2,8 +2,10 @@
 
 import json
 import os
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,3 +371,48 @@ def test_scratch_tables_can_be_dropped(spark):
     assert table.count() == 3 and os.path.exists(path)
     assert session.drop_scratch(spark) == 1 and not os.path.exists(path)
     session._written[app] = kept
+
+
+def test_deviation_far_from_zero(spark):
+    rows = [("a", 1e9, 1), ("a", 1e9 + 1, 2), ("a", 1e9, 1), ("b", -1e12, 3), ("b", -1e12 + 2, 3)]
+    df = spark.createDataFrame(rows, "g string, v double, w int")
+    got = {r.g: r for r in D.distribution(df, "v", ["g"], weight="w").collect()}
+    assert abs(got["a"].std - 0.5773502691896258) < 1e-12 and abs(got["b"].std - 1.0954451150103321) < 1e-12
+    assert D.metric_summary(df.where("g = 'a'"), "v", ["g"], weight="w").first()["std"] == 0.57735
+
+
+@pytest.mark.parametrize("most", [2, 1000])
+def test_quantiles_of_crowded_buckets(spark, most):
+    random = np.random.default_rng(5)
+    parts = [random.uniform(0.99, 1.0, 3000), -np.abs(random.normal(1e9, 1.0, 2000)), np.full(500, 0.995), [0.0, np.inf, 1e-300, 5e-324]]
+    skewed = 1.0 + 2.0 ** -random.uniform(2, 50, 2000)
+    values = np.concatenate([*parts, skewed])
+    random.shuffle(values)
+    df = spark.createDataFrame(pd.DataFrame({"v": values, "g": np.arange(len(values)) % 2}))
+    probes = {"p0": 0.0, "p1": 0.01, "p33": 1 / 3, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+    got = {r.g: r for r in D.distribution(df, "v", ["g"], linear=probes, nearest={"m": 0.7}, most_values=most).collect()}
+    for g in (0, 1):
+        mine = np.sort(values[np.arange(len(values)) % 2 == g])
+        for name, q in probes.items():
+            assert np.isclose(got[g][name], np.quantile(mine, q), rtol=1e-14, atol=0), (g, name)
+        assert got[g].m == mine[int(len(mine) * 0.7)]
+
+
+def test_ten_million_close_values(spark):
+    """No window sees more than the limit; ranges halve by the thousand."""
+    n = 10_000_000
+    df = spark.range(0, n, 1, 8).select((F.lit(0.99) + F.col("id") / F.lit(1e9)).alias("v"))
+    start = time.time()
+    row = D.latency_stats(df, "v").first()
+    assert (row["count"], row["p50"], row["p99"]) == (n, 0.99 + (n // 2) / 1e9, 0.99 + int(n * 0.99) / 1e9)
+    assert D.MOST_VALUES <= n / 50 and time.time() - start < 240
+
+
+def test_median_gap_of_a_device_with_many_gaps(spark):
+    random = np.random.default_rng(6)
+    rows = [("a", float(g), int(c)) for g, c in zip(random.choice(10**6, 300, replace=False) / 7, random.integers(1, 9, 300))]
+    rows += [("b", 2.0, 3), ("b", 8.0, 1), ("c", None, 4)]
+    gaps = spark.createDataFrame(rows, "mac_address_string string, gap_s double, gaps long")
+    whole, cut = ({r.mac_address_string: r.cadence_s for r in quality.device_cadence(gaps, most_values=m).collect()} for m in (10**6, 50))
+    assert whole.keys() == cut.keys() == {"a", "b", "c"}
+    assert all(abs(whole[k] - cut[k]) < 1e-9 * whole[k] for k in whole)
