@@ -72,9 +72,9 @@ def distribution(
     # Quantiles read the counts several times, so they are written then.
     if materialize or linear or nearest:
         counts = checkpointed(counts)
-    parts = counts.groupBy(*keys, "_b", "_c").agg(
-        F.count(F.lit(1)).alias("_d"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_var"),
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+    parts = counts.withColumn("_z", _near(F.col("_v"))).groupBy(*keys, "_b", "_z", "_c").agg(
+        F.count(F.lit(1)).alias("_d"), F.avg(F.col("_v") - F.col("_z")).alias("_m"),
+        F.var_pop(F.col("_v") - F.col("_z")).alias("_var"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
     )
     moments = _moments(parts, keys)
     if not linear and not nearest:
@@ -102,17 +102,31 @@ def distribution(
     return out if by else out.drop("_all")
 
 
+def _near(value: Column) -> Column:
+    """A number of at most eleven binary digits below the value: the difference is exact, and a thousandth of it."""
+    size = F.abs(value)
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(size)) - 10)
+    plain = (size > 1e-290) & (size < float("inf"))
+    return F.when(plain, F.floor(F.when(plain, value) / unit) * unit).otherwise(F.lit(0.0))
+
+
 def _moments(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """``n, mean, std, min, max`` from counts, means and variances of equally frequent values."""
+    """``n, mean, std, min, max`` from counts, means and variances of equally frequent values.
+
+    Means are relative to numbers near them (``_z``), and these to the group's least.
+    """
     size = F.col("_c") * F.col("_d")
-    # The sum of a group with infinite values is infinite, or NaN with both signs.
     group = Window.partitionBy(*keys)
-    about = parts.withColumn("_mean", F.sum(size * F.col("_m")).over(group) / F.sum(size).over(group))
+    off = F.col("_z") - F.col("_z0") + F.col("_m")
+    # The sum of a group with infinite values is infinite, or NaN with both signs.
+    about = parts.withColumn("_z0", F.min("_z").over(group))
+    about = about.withColumn("_mean", F.sum(size * off).over(group) / F.sum(size).over(group))
     infinite = F.abs(F.col("_m")) == float("inf")
-    off = F.col("_m") - F.col("_mean")
-    spread = F.when(infinite, F.lit(float("nan"))).otherwise(size * (F.col("_var") + off * off))
+    spread = F.when(infinite, F.lit(float("nan"))).otherwise(
+        size * (F.col("_var") + (off - F.col("_mean")) * (off - F.col("_mean")))
+    )
     moments = about.groupBy(*keys).agg(
-        F.sum(size).alias("n"), F.max("_mean").alias("mean"), F.sum(spread).alias("_ss"),
+        F.sum(size).alias("n"), F.max(F.col("_z0") + F.col("_mean")).alias("mean"), F.sum(spread).alias("_ss"),
         F.min("_lo").alias("min"), F.max("_hi").alias("max"),
     )
     deviation = F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1))).otherwise(F.lit(0.0))
