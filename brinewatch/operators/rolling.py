@@ -1,25 +1,26 @@
 """Time-based rolling aggregates per device over the frame ``(t - w, t]``.
 
-Rows of equal time are peers and get the same result.  Ordinary devices use a range window.  Rows
-of hot devices are first combined per instant; instants are cut along time into stretches that also
-get the instants of one frame before them, so a window partition holds a bounded span of time. The
-results are joined back by (device, instant).
+Rows of equal time are peers and get the same result. Devices of few rows use a range window, which
+is evaluated anew for each row. Rows of all others are first combined per instant, and time is cut into blocks of
+one frame. A frame then is the beginning of its own block and the end of the one before: both are running
+aggregates, the second one backwards, so the work is linear in the instants, and a window partition holds two
+frames of a device. Sums are only added, never subtracted. Results are joined back by (device, instant).
 
 Variances are put together from counts, means and squared deviations, all relative to the device's
-least value and to the mean of the stretch, so values far from zero lose no digits.
+least value and to the mean of the block, so values far from zero lose no digits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
 from brinewatch.functions import number
-from brinewatch.operators.skew import DEFAULT_POLICY, NULL_KEY_SPREAD, Hot, HotPolicy, hot_devices
+from brinewatch.operators.skew import CALM_ROWS, DEFAULT_POLICY, NULL_KEY_SPREAD, Hot, HotPolicy, hot_devices
 
 
 @dataclass(frozen=True)
@@ -36,10 +37,6 @@ def _direct(spec: Rolling) -> Column:
     return getattr(F, spec.agg)(number(F.col(spec.value)))
 
 
-#: A stretch of instants spans so many of the longest frame.
-FRAMES = 8
-
-
 def _partials(values: Sequence[str], varied: set[int]) -> list[Column]:
     out = []
     for i, name in enumerate(values):
@@ -53,19 +50,54 @@ def _partials(values: Sequence[str], varied: set[int]) -> list[Column]:
     return out
 
 
-def _combined(spec: Rolling, i: int, frame) -> Column:
-    count = F.sum(f"_c{i}").over(frame)
+def _both(how, value: Column, own, before, merge) -> Column:
+    """An aggregate of the own block's instants so far and of the end of the block before."""
+    parts = how(F.when(F.col("_mine"), value)).over(own), how(F.when(~F.col("_mine"), value)).over(before)
+    return merge(*parts)
+
+
+def _added(a: Column, b: Column) -> Column:
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+
+
+def _combined(spec: Rolling, i: int, own, before) -> Column:
+    def total(value: Column) -> Column:
+        return _both(F.sum, value, own, before, _added)
+
+    count = total(F.col(f"_c{i}"))
     if spec.agg == "avg":
-        return F.try_divide(F.sum(f"_s{i}").over(frame), count)
+        return F.try_divide(total(F.col(f"_s{i}")), count)
     if spec.agg == "sum":
-        return F.sum(f"_s{i}").over(frame)
+        return total(F.col(f"_s{i}"))
     if spec.agg == "var_samp":
         off = F.col(f"_m{i}") - F.col(f"_mid{i}")
-        once = F.sum(F.col(f"_c{i}") * off).over(frame)
-        twice = F.sum(F.col(f"_c{i}") * (F.col(f"_d{i}") + off * off)).over(frame)
+        once = total(F.col(f"_c{i}") * off)
+        twice = total(F.col(f"_c{i}") * (F.col(f"_d{i}") + off * off))
         return F.when(count > 1, F.greatest((twice - once * once / count) / (count - 1), F.lit(0.0)))
-    bound = F.min(f"_lo{i}") if spec.agg == "min" else F.max(f"_hi{i}")
-    return bound.over(frame)
+    if spec.agg == "min":
+        return _both(F.min, F.col(f"_lo{i}"), own, before, F.least)
+    return _both(F.max, F.col(f"_hi{i}"), own, before, F.greatest)
+
+
+def _framed(
+    instants: DataFrame, specs: Sequence[Rolling], values: Sequence[str], varied: set[int], keys: tuple[str, ...], seconds: int
+) -> DataFrame:
+    """``specs`` of one frame length at each instant."""
+    frame = F.lit(seconds * 1000)
+    block = F.floor(F.col("_ms") / frame)
+    # In the next block an instant stands where it leaves the frame.
+    places = F.array(
+        F.struct(block.alias("_part"), F.col("_ms").alias("_at"), F.lit(True).alias("_mine")),
+        F.struct((block + 1).alias("_part"), (F.col("_ms") + frame).alias("_at"), F.lit(False).alias("_mine")),
+    )
+    cut = instants.withColumn("_place", F.explode(places)).select(*instants.columns, "_place.*")
+    cut = cut.withColumn("_back", -F.col("_at"))
+    part = Window.partitionBy(*keys, "_part")
+    cut = cut.withColumns({f"_mid{i}": F.avg(f"_m{i}").over(part) for i in varied})
+    own = part.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    before = part.orderBy("_back").rangeBetween(Window.unboundedPreceding, -1)
+    outs = [_combined(s, values.index(s.value), own, before).alias(s.out) for s in specs]
+    return cut.select(*keys, "_ms", "_mine", *outs).where("_mine").drop("_mine")
 
 
 def rolling(
@@ -79,8 +111,8 @@ def rolling(
 ) -> DataFrame:
     """Add all ``specs``; rows without device or time get NULL."""
     keys = tuple(keys)
-    if hot is None or hot.keys != keys:
-        hot = hot_devices(df, keys, time, policy)
+    if hot is None or hot.keys != keys or not hot.calm:
+        hot = hot_devices(df, keys, time, replace(policy, share=0.0, min_rows=min(policy.min_rows, CALM_ROWS)))
     outs = [s.out for s in specs]
     instant = F.round(F.col(time) * 1000).cast("bigint")
 
@@ -111,21 +143,11 @@ def rolling(
         least = timed.groupBy(*keys).agg(*(F.min(number(F.col(values[i]))).alias(f"_z{i}") for i in varied))
         timed = timed.join(F.broadcast(least) if hot.short else least, list(keys))
     instants = timed.groupBy(*keys, "_ms").agg(*_partials(values, varied))
-    frame = max(s.seconds for s in specs) * 1000
-    first, last = (F.floor((F.col("_ms") + F.lit(x)) / F.lit(FRAMES * frame)) for x in (0, frame))
-    # Each instant goes to its own stretch, and to the next one if that looks back at it.
-    cut = instants.withColumn("_own", first).withColumn("_part", F.explode(F.sequence(first, last)))
-    stretch = Window.partitionBy(*keys, "_part")
-    along = stretch.orderBy("_ms")
-    cut = cut.withColumns({f"_mid{i}": F.avg(f"_m{i}").over(stretch) for i in varied})
-    rolled = cut.select(
-        *keys, "_ms", (F.col("_own") == F.col("_part")).alias("_mine"),
-        *[
-            _combined(s, values.index(s.value), along.rangeBetween(-(s.seconds * 1000 - 1), 0)).alias(s.out)
-            for s in specs
-        ],
-    ).where("_mine").drop("_mine")
-    split = rows.join(rolled, [*keys, "_ms"], "left").select(*df.columns, *outs)
+    split = rows
+    for seconds in dict.fromkeys(s.seconds for s in specs):
+        same = [s for s in specs if s.seconds == seconds]
+        split = split.join(_framed(instants, same, values, varied, keys, seconds), [*keys, "_ms"], "left")
+    split = split.select(*df.columns, *outs)
     return plain.unionByName(split)
 
 

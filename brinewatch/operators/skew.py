@@ -21,6 +21,8 @@ from brinewatch.session import checkpointed
 SLOTS = 1000
 #: Longest list of hot devices that is kept on the driver and broadcast.
 MAX_LOCAL = 10_000
+#: Devices of up to so many rows may be worked on in quadratic time.
+CALM_ROWS = 20_000
 NULL_KEY_SPREAD = 4096
 
 
@@ -53,6 +55,8 @@ class Hot:
     order: str
     policy: HotPolicy
     short: bool = True
+    #: No device has more than ``CALM_ROWS`` rows.
+    calm: bool = False
 
     def listed(self, *columns: Column | str) -> DataFrame:
         """The hot devices' ``columns``, to be broadcast if they are few."""
@@ -102,9 +106,16 @@ def hot_devices(
         limit = F.greatest(limit, F.lit(policy.share) * total)
     found = counted.where(F.col("_n") > limit)
     spark = df.sparkSession
-    local = found.limit(MAX_LOCAL + 1).toArrow()
+    # Busy devices, hot or not, tell whether all are calm; usually there are none.
+    busy = counted.where(F.col("_n") > F.least(limit, F.lit(CALM_ROWS))).withColumn("_hot", F.col("_n") > limit)
+    local = busy.limit(MAX_LOCAL + 1).toArrow()
+    calm = local.num_rows == 0 or policy.min_rows < CALM_ROWS and max(local.column("_n").to_pylist()) <= CALM_ROWS
+    if local.num_rows <= MAX_LOCAL:
+        local = local.filter(local.column("_hot")).drop_columns(["_hot"])
+    else:
+        local = found.limit(MAX_LOCAL + 1).toArrow()
     if local.num_rows == 0:
-        return Hot(None, keys, order, policy)
+        return Hot(None, keys, order, policy, calm=calm)
     short = local.num_rows <= MAX_LOCAL
     hot = spark.createDataFrame(local, found.schema) if short else checkpointed(found)
     # Chunk width from the busiest slice of the device's span, so bursts are cut finely too.
@@ -123,7 +134,7 @@ def hot_devices(
     )
     if not short:
         return Hot(checkpointed(table), keys, order, policy, short=False)
-    return Hot(spark.createDataFrame(table.toArrow(), table.schema), keys, order, policy)
+    return Hot(spark.createDataFrame(table.toArrow(), table.schema), keys, order, policy, calm=calm)
 
 
 def order_columns(order: Sequence[str]) -> list[Column]:

@@ -1,12 +1,17 @@
 """Hot devices: results must not change when devices are cut, salted or pre-aggregated."""
 
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
 from brinewatch.operators import features, flags, issues, joins, quality, rolling, tumbling
+from brinewatch.operators.rolling import Rolling
 from brinewatch.operators.runs import RUN
 from brinewatch.operators.skew import HotPolicy, hot_devices, ordered_chunks
+from brinewatch.session import checkpointed
 from checks import inputs as I
 
 #: Every device with more than 20 rows is hot and is cut every few rows.
@@ -107,3 +112,27 @@ def test_run_metrics(rows, run):
     names = [*run, S.MAC, "ooo_count", "flips", "flip_rate_per_hour", "mtbf_minutes"]
     same(quality.arrival_metrics(rows, run=run), quality.arrival_metrics(rows, run=run, policy=cut), names)
     same(quality.proxy_ml_metrics(rows, run=run), quality.proxy_ml_metrics(rows, run=run, policy=cut), [*run, "precision", "recall", "f1", "support_total"])
+
+
+def test_a_million_rows_of_one_device_in_an_hour(spark):
+    """Frames of a quarter of a million rows: linear work, and figures as computed one by one."""
+    n = 1_000_000
+    hashed = lambda seed: F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(10_000)) / 100
+    df = checkpointed(spark.range(0, n, 1, 8).select(
+        F.lit("m").alias("mac_address_string"), F.col("id").alias("event_id"),
+        (1704067200 + F.pmod(F.xxhash64("id"), F.lit(3_600_000)) / 1000).alias("date_time_utc"),
+        hashed(1).alias("a"), F.when(hashed(2) > 10, hashed(3) + 1e9).alias("b"),
+    ))
+    specs = [Rolling("mean", "avg", "a", 900), Rolling("least", "min", "a", 60), Rolling("most", "max", "b", 60),
+             Rolling("var", "var_samp", "b", 300)]
+    start = time.time()
+    got = rolling.rolling(df, specs).toPandas().sort_values("date_time_utc")
+    assert time.time() - start < 120
+    ms = np.round(got["date_time_utc"].to_numpy() * 1000).astype(np.int64)
+    how = {"avg": np.mean, "min": np.min, "max": np.max, "var_samp": lambda v: np.var(v - 1e9, ddof=1)}
+    for i in np.random.default_rng(1).choice(n, 100):
+        for s in specs:
+            first, last = np.searchsorted(ms, [ms[i] - 1000 * s.seconds, ms[i]], side="right")
+            value = got[s.value].to_numpy()[first:last]
+            value = value[~np.isnan(value)]
+            assert np.isclose(got[s.out].to_numpy()[i], how[s.agg](value), rtol=1e-9) if len(value) > 1 else True
