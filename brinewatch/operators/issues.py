@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brinewatch import schema as S
 from brinewatch.functions import alarm_flag, number
 from brinewatch.operators.rolling import SHORT_NAMES, Rolling, rolling, rolling_features_5min
-from brinewatch.operators.skew import DEFAULT_POLICY, NULL_KEY_SPREAD, Hot, HotPolicy, hot_devices, ordered_chunks
+from brinewatch.operators.skew import DEFAULT_POLICY, NULL_KEY_SPREAD, Hot, HotPolicy, hot_devices, numeric, ordered_chunks
 
 
 def _hot(df: DataFrame, hot: Hot | None, policy: HotPolicy) -> Hot:
@@ -127,15 +127,42 @@ def _value_before(
             for v, out in values.items()
         ]
     )
-    device = Window.partitionBy(S.MAC).orderBy(S.TIME).rangeBetween(*back)
-    earlier = instants.select(
-        S.MAC, S.TIME,
-        *[F.last(f"_{out}", ignorenulls=True).over(device).alias(out) for out in values.values()],
-    )
+    earlier = _known_before(instants, list(values.values()), seconds, hot)
     split = rows.join(earlier, [S.MAC, S.TIME], "left").select(*df.columns, *values.values())
     return plain.unionByName(split)
 
 
+def _known_before(instants: DataFrame, outs: Sequence[str], seconds: int, hot: Hot) -> DataFrame:
+    """For each instant of hot devices the last known ``_<out>`` at least ``seconds`` ago, as ``<out>``.
+
+    Time is cut into stretches. What is known is scanned within each, and what the stretches before leave
+    over is carried from stretch to stretch, one row for each.
+    """
+    known = instants.select(
+        S.MAC, F.col(S.TIME).alias("_at"), F.lit(0).alias("_asked"), F.lit(None).cast(instants.schema[S.TIME].dataType).alias(S.TIME),
+        *(f"_{out}" for out in outs),
+    )
+    asked = instants.select(
+        S.MAC, (F.col(S.TIME) - seconds).cast(instants.schema[S.TIME].dataType).alias("_at"), F.lit(1).alias("_asked"), S.TIME,
+        *(F.lit(None).cast("double").alias(f"_{out}") for out in outs),
+    )
+    both = known.unionByName(asked)
+    placed = hot.tag(both.withColumn("_o", numeric(both, "_at")), "inner")
+    placed = placed.withColumn("_stretch", F.floor((F.col("_o") - F.col("_t0")) / F.col("_width")))
+    last = placed.groupBy(S.MAC, "_stretch").agg(
+        *(F.max_by(f"_{out}", F.when(F.col(f"_{out}").isNotNull(), F.col("_at"))).alias(f"_{out}") for out in outs)
+    )
+    before = Window.partitionBy(S.MAC).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(S.MAC, "_stretch", *(F.last(f"_{out}", ignorenulls=True).over(before).alias(f"_carried_{out}") for out in outs))
+    upto = Window.partitionBy(S.MAC, "_stretch").orderBy("_at", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = placed.select(
+        S.MAC, "_stretch", "_asked", S.TIME, *(F.last(f"_{out}", ignorenulls=True).over(upto).alias(out) for out in outs)
+    ).where(F.col("_asked") == 1)
+    return scanned.join(carried, [S.MAC, "_stretch"]).select(
+        S.MAC, S.TIME, *(F.coalesce(out, f"_carried_{out}").alias(out) for out in outs)
+    )
+
+
 def sensor_features(
     df: DataFrame, *, delta_seconds: int = 30, flags: Sequence[str] = S.RULE_FLAGS,
     hot: Hot | None = None, policy: HotPolicy = DEFAULT_POLICY,

@@ -75,7 +75,7 @@ class Hot:
         return df.join(self.listed(), list(self.keys), how)
 
 
-def _numeric(df: DataFrame, order: str) -> Column:
+def numeric(df: DataFrame, order: str) -> Column:
     """The leading order column as a long (timestamps in microseconds, reals in milli-units)."""
     kind = df.schema[order].dataType.simpleString()
     if kind == "timestamp":
@@ -96,7 +96,7 @@ def hot_devices(
     Runs at once: knowing that nothing is hot keeps the plans of ordinary data plain.
     """
     keys = tuple(keys)
-    lean = df.select(*keys, _numeric(df, order).alias("_o"))
+    lean = df.select(*keys, numeric(df, order).alias("_o"))
     counted = lean.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_t0"), F.max("_o").alias("_t1")
     )
@@ -197,7 +197,7 @@ def ordered_chunks(
     position = F.coalesce(F.expr("(_o - _t0) div _width"), F.lit(2**62).cast("bigint"))
 
     def chunked(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_o", _numeric(rows, order[0])).withColumn(
+        return rows.withColumn("_o", numeric(rows, order[0])).withColumn(
             "_chunk",
             F.when(null_key, spread)
             .when(F.col("_width").isNull(), F.lit(0).cast("bigint"))
