@@ -27,6 +27,11 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 #: Tokens that the models judge, and words that are ordinary identifiers when they stand in no secret.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: What takes the place of openly written secrets (a code point that is no character); tokens that touch it are parts of them.
+BLANK = "\U0010ffff"
+APART = rf"(?<![{BLANK}A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{16,}}+(?!{BLANK})"
+#: Characters of an assigned value at least.
+LEAST_ASSIGNED = 12
 IDENTIFIER = r"[A-Za-z][A-Za-z_]{7,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Log-likelihood ratio a token needs in all, and for each pair of characters.
@@ -37,38 +42,77 @@ MAX_SAMPLE = 10_000
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def _place(gaps: Column, matches: Column, values: Column) -> Column:
-    """(start, end, value) of each match, from the stretches before the matches."""
-    steps = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-    steps = F.zip_with(F.slice(steps, 1, F.size(matches)), values, lambda s, v: F.struct(s.alias("s"), v.alias("v")))
-    start = F.expr(f"named_struct('at', 0, 'done', cast(array() as {_SPANS}))")
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: a lambda's argument is, a column used in a lambda is not."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    def add(state, step):
-        begin = state["at"] + step["s"]["g"]
-        end = begin + step["s"]["m"]
-        span = F.struct(begin.alias("start"), end.alias("end"), step["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["done"], F.array(span)).alias("done"))
+def _ends(steps: Column, base: Column) -> Column:
+    """The running sum of the steps' lengths, from ``base``."""
+    start = F.struct(base.alias("at"), F.expr("cast(array() as array<int>)").alias("done"))
+
+    def add(state: Column, step: Column) -> Column:
+        end = state["at"] + step["g"] + step["m"]
+        return F.struct(end.alias("at"), F.concat(state["done"], F.array(end)).alias("done"))
 
     return F.aggregate(steps, start, add, lambda state: state["done"])
 
 
+def _running(steps: Column) -> Column:
+    """``_ends`` in blocks of the root of their number: appending to an array costs its length."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(steps))).cast("int"), F.lit(1))
+    count = F.ceil(F.size(steps) / size).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda b: F.slice(steps, (b - 1) * size + 1, size))
+
+    def summed(blocks: Column) -> Column:
+        total = F.transform(
+            blocks, lambda block: F.struct(
+                F.aggregate(block, F.lit(0), lambda s, x: s + x["g"] + x["m"]).alias("g"), F.lit(0).alias("m")
+            )
+        )
+        return _bound(_ends(total, F.lit(0)), lambda ends: F.flatten(F.transform(
+            blocks, lambda block, i: _ends(block, F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0)))
+        )))
+
+    return _bound(cut, summed)
+
+
+def _place(gaps: Column, matches: Column, value) -> Column:
+    """(start, end, value) of each match, from the stretches before the matches."""
+    steps = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("t")))
+    found = F.filter(steps, lambda s: s["t"].isNotNull())
+    return _bound(found, lambda s: F.zip_with(s, _running(s), lambda x, end: F.struct(
+        (end - x["m"]).alias("start"), end.alias("end"), value(x["t"]).alias("value")
+    )))
+
+
 def matches(text: Column, pattern: str, gate: Column, group: int = 0) -> Column:
     """Leftmost matches that do not overlap, as (start, end, value of the group), in code points."""
-    all_ = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else all_
-    return F.when(gate, _place(F.split(text, pattern, -1), all_, values)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+    value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
+    placed = _place(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), value)
+    return F.when(gate, placed).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Openly written secrets by kind. A hexadecimal run is maximal, so is the rest of an access key."""
     assign = matches(text, ASSIGN, text.rlike(NAMES), group=2)
     return {
-        "assign": F.filter(assign, lambda s: F.length(s["value"]) >= 12),
+        "assign": F.filter(assign, lambda s: F.length(s["value"]) >= LEAST_ASSIGNED),
         "access": matches(text, ACCESS, F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS)),
         "hex": matches(text, HEX, text.rlike(HEX)),
     }
 
 
+def _blanked(text: Column, pattern: str, gate: Column, keep=None) -> Column:
+    """The text with as many blanks in place of every match, but of those to ``keep``."""
+    steps = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda g, m: F.concat(g, F.when(m.isNull(), F.lit("")).when(keep(m) if keep else F.lit(False), m)
+                              .otherwise(F.repeat(F.lit(BLANK), F.length(m)))),
+    )
+    return F.when(gate, F.array_join(steps, "")).otherwise(text)
+
+
 def _bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     """The rows of the ``most`` least hashes ``h``, one for each; only hashes are ordered, not texts."""
     least = rows.select("h").distinct().orderBy("h").limit(most + 1).agg(F.count("h"), F.max("h")).first()
@@ -142,16 +186,20 @@ def find_secrets(docs: DataFrame, table: np.ndarray | None, text: str = "text",
     t, names = fresh(docs, "t"), {k: fresh(docs, f"s_{k}") for k in KINDS}
     df = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = df.withColumns({names[k]: c for k, c in base_spans(F.col(t)).items()})
-    openly = F.concat(*(F.col(names[k]) for k in KINDS[:3]))
     if table is None:
         random = F.expr(f"cast(array() as {_SPANS})")
     else:
-        found = matches(F.col(t), CANDIDATE, F.col(t).rlike(CANDIDATE))
-        apart = lambda s: ~F.exists(openly, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"]))
+        # Tokens are looked for in the text without open secrets, so no token is compared with all of them.
+        for pattern, kind, keep in (
+            (ASSIGN, "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) < LEAST_ASSIGNED),
+            (ACCESS, "access", None), (HEX, "hex", None),
+        ):
+            df = df.withColumn(t, _blanked(F.col(t), pattern, F.size(names[kind]) > 0, keep))
+        found = matches(F.col(t), APART, F.col(t).rlike(CANDIDATE))
         enough = lambda s: ratio(s["value"], table) >= F.greatest(
             F.lit(LEAST_TOTAL), LEAST_EACH * (F.length(s["value"]) - 1)
         )
-        random = F.filter(F.filter(found, apart), enough)
+        random = F.filter(found, enough)
     df = df.withColumn(names["random"], random)
     named = F.transform(
         F.array_sort(F.concat(*(_ranked(names[k], KINDS.index(k)) for k in KINDS))),
