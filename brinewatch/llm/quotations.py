@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinewatch.session import checkpointed
+from brinewatch.llm.tables import numbered
+from brinewatch.session import checked_broadcast, checkpointed
 
 QUOTE = r"^((?:[ \t]*>)+)[ \t]?"
 #: A line that announces a quote, in the languages of the data.
@@ -135,8 +136,9 @@ def built_conversations(messages: DataFrame, block: int = BLOCK_TURNS) -> DataFr
     """``(conv_id, block, n_messages, chat)``: each conversation without quotes, in reply order (thread, turn).
 
     A message that quotes nothing stands at its own turn. A conversation of at most ``block`` messages is one row;
-    a longer one is cut at multiples of ``block`` threads, and threads there that hold more at multiples of
-    ``block`` turns. Messages without conversation are one conversation.
+    a longer one is cut at multiples of ``block`` threads, threads there that hold more at multiples of ``block``
+    turns, and turns that still hold more, as of messages that share theirs or have none, after every ``block``
+    messages. Messages without conversation are one conversation.
     """
     turns = checkpointed(link_quotations(messages).select("conv_id", "turn", "thread", "chat"))
     sized = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
@@ -151,12 +153,51 @@ def built_conversations(messages: DataFrame, block: int = BLOCK_TURNS) -> DataFr
         "conv_id", "turn", "thread", "chat", "p1", F.when(F.col("q_large"), F.col("thread")).alias("p2"),
         F.when(F.col("q_large"), F.floor(F.col("turn") / block)).alias("p3"),
     )
+    parts = ["conv_id", "p1", "p2", "p3"]
+    cut = checkpointed(cut)
+    over = checkpointed(cut.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).drop("n"))
+    if over.isEmpty():
+        cut = cut.withColumn("p4", F.lit(None).cast("long"))
+    else:
+        cut = _counted_off(cut, over, parts, block)
+    parts = [*parts, "p4"]
     ordered = F.sort_array(F.collect_list(F.struct("thread", "turn", "chat")))
-    rows = cut.groupBy("conv_id", "p1", "p2", "p3").agg(
+    rows = cut.groupBy(*parts).agg(
         F.count(F.lit(1)).alias("n_messages"), F.array_join(F.transform(ordered, lambda x: x["chat"]), "").alias("chat")
     )
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("p1", "p2", "p3")) - 1
-    return rows.select("conv_id", number.cast("long").alias("block"), "n_messages", "chat")
+    # Conversations of one block are number 0; the blocks of the others are counted off.
+    rows = checkpointed(rows)
+    several = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    keys = _counted_off(rows.select(*parts), several, ["conv_id"], 1, "block", parts)
+    return _matched(rows, keys, parts).select("conv_id", F.coalesce("block", F.lit(0)).cast("long").alias("block"), "n_messages", "chat")
+
+
+def _matched(df: DataFrame, other: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``df`` joined with ``other`` on columns that may be null."""
+    other, _ = checked_broadcast(other.withColumnsRenamed({c: f"_of_{c}" for c in on}))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return df.join(other, same, how).drop(*(f"_of_{c}" for c in on))
+
+
+def _counted_off(
+    df: DataFrame, large: DataFrame, group: list[str], size: int, name: str = "p4", order: list[str] | None = None
+) -> DataFrame:
+    """Rows with ``name``: after every ``size`` rows of their group the next number, null in groups not in ``large``.
+
+    The order of all such rows is made by ranges, so no task has to hold a group.
+    """
+    order = order or [*group, "thread", "turn", "chat"]
+    within = _matched(df.withColumn("_row", F.monotonically_increasing_id()), large.withColumn("_large", F.lit(True)), group)
+    within = checkpointed(within)
+    placed, _ = numbered(within.where("_large"), "_at", *(F.col(c).asc_nulls_first() for c in order), F.col("_row").asc())
+    placed = checkpointed(placed)
+    first = placed.groupBy(*group).agg(F.min("_at").alias("_first"))
+    counted = _matched(placed, first, group).withColumn(name, F.floor((F.col("_at") - F.col("_first")) / size))
+    rest = within.where("_large is null").withColumn(name, F.lit(None).cast("long"))
+    columns = [*df.columns, name]
+    return counted.select(*columns).unionByName(rest.select(*columns))
 
 
 #: The same in DuckDB: links, then chains by recursion.
@@ -217,12 +258,16 @@ WITH m AS ({report}), a AS (
   SELECT *, count(*) OVER (PARTITION BY conv_id, p1) > {block} AS cut FROM a
 ), c AS (
   SELECT *, CASE WHEN cut THEN thread END AS p2, CASE WHEN cut THEN floor(turn / {block})::BIGINT END AS p3 FROM b
+), e AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY conv_id, p1, p2, p3) > {block} THEN (row_number() OVER (
+    PARTITION BY conv_id, p1, p2, p3 ORDER BY thread NULLS FIRST, turn NULLS FIRST, chat) - 1) // {block} END AS p4 FROM c
 ), d AS (
-  SELECT conv_id, p1, p2, p3, count(*) AS n_messages,
+  SELECT conv_id, p1, p2, p3, p4, count(*) AS n_messages,
          string_agg(chat, '' ORDER BY thread NULLS FIRST, turn NULLS FIRST, chat) AS chat
-  FROM c GROUP BY conv_id, p1, p2, p3
+  FROM e GROUP BY conv_id, p1, p2, p3, p4
 )
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p1 NULLS FIRST, p2 NULLS FIRST, p3 NULLS FIRST) - 1 AS block,
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id
+         ORDER BY p1 NULLS FIRST, p2 NULLS FIRST, p3 NULLS FIRST, p4 NULLS FIRST) - 1 AS block,
        n_messages, chat FROM d
 """
 

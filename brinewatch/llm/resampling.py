@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brinewatch.llm.crc import gram_crc32
-from brinewatch.llm.tables import arrow_batches, fresh
+from brinewatch.llm.tables import arrow_batches, fresh, numbered
 from brinewatch.llm.words import byte_table, slices, word_spans
 from brinewatch.session import checkpointed
 
@@ -115,27 +115,6 @@ def noise(id_: Column, seed: int = SEED) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
 
 
-def numbered(df: DataFrame, name: str, *order: Column) -> tuple[DataFrame, int]:
-    """``df``, written, with the row's number from 1 in ``order``, and the number of rows.
-
-    ``order`` should tell all rows apart, so that ranges can be cut anywhere.
-    """
-    spark, place, part, offset = df.sparkSession, *(fresh(df, c) for c in ("place", "part", "offset"))
-    placed = checkpointed(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
-    ).withColumn(part, F.shiftright(place, 33))
-    # One number for each range, as many as the shuffle has partitions.
-    sizes = sorted((r[part], r["count"]) for r in placed.groupBy(part).count().collect())
-    starts, total = [], 0
-    for k, count in sizes:
-        starts.append((k, total))
-        total += count
-    offsets = spark.createDataFrame(starts, f"{part} bigint, {offset} bigint")
-    inside = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
-    found = placed.join(F.broadcast(offsets), part).withColumn(name, F.col(offset) + inside + 1)
-    return found.drop(place, part, offset), total
-
-
 def drawn(
     docs: DataFrame, id_col: str = "doc_id", percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED
 ) -> DataFrame:

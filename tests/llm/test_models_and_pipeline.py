@@ -107,6 +107,19 @@ def test_built_conversations(spark, sf_dir):
     assert ">" not in one[0].chat.replace("|>", "")
 
 
+def test_conversations_without_id_or_turn_stay_in_blocks(spark, sf_dir):
+    con = compare.oracle(sf_dir)
+    same = [(None, 7, "user", f"text {i % 4}") for i in range(7)] + [(5, None, "user", f"m{i}") for i in range(7)]
+    many = [(None, None if i % 3 else 4, "user", f"said {i}") for i in range(2500)] + [(6, 1, None, f"again {i}") for i in range(1200)]
+    for rows, block in ((MESSAGES + same, 3), (MESSAGES + same, 1), (many, 1000)):
+        df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+        con.register("fixture", df.toPandas())
+        con.execute("CREATE OR REPLACE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM fixture")
+        built = built_conversations(df, block)
+        assert compare.compare(built, con, chats_sql(block)) is None
+        assert max(r.n_messages for r in built.collect()) <= block
+
+
 def test_stages_keep_columns_and_clean_documents(spark, hard, nothing, sf_dir):
     for docs in (hard, nothing):
         for name, stage in corpus_pipeline.STAGES:
