@@ -26,9 +26,11 @@ from brinewatch.llm.words import byte_table, hash_ranges, list_column, slices, w
 BITS, FACTORS = 18, 8
 #: Beginnings of words that are terms too, in bytes.
 BEGINNINGS = (4, 5, 6)
-#: A term must occur in so many documents of the sample, and be among so many that tell the labels apart
-#: best, to have a weight.
-LEAST_DOCUMENTS, MOST_TERMS = 5, 4096
+#: A term must occur in so many documents of the sample to have a weight and a vector.
+LEAST_DOCUMENTS = 5
+#: Terms learn at full pace if the labels of their documents lie so many deviations away from what the share of
+#: toxic ones leads to expect, others at the square of their part of it, and at this least part.
+FULL_PACE, LEAST_PACE = 6.0, 0.02
 
 
 def terms(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +91,9 @@ def fit_machine(
     toxic = np.bincount(term, label[text].astype(np.float64), minlength=size)
     # How many deviations the toxic documents with a term lie away from what the share leads to expect.
     apart = np.abs(toxic - share * documents) / np.sqrt(share * (1 - share) * documents + 1)
-    apart[documents < min(LEAST_DOCUMENTS, texts)] = -1
-    used = np.zeros(size, bool)
-    used[np.argsort(-apart, kind="stable")[:MOST_TERMS]] = True
-    used &= apart >= 0
+    used = documents >= max(min(LEAST_DOCUMENTS, texts), 1)
+    # All terms learn, but what may be chance learns slowly, so that many such terms do not outweigh the others.
+    pace = (np.clip(apart / FULL_PACE, LEAST_PACE, 1.0) ** 2).astype(np.float32)
     factors = np.where(used[:, None], random.normal(0, 0.01, (size, FACTORS)), 0).astype(np.float32)
     keep = used[term]
     text, term = text[keep], term[keep]
@@ -117,8 +118,8 @@ def fit_machine(
             g_factors = g_factors + decay * factors[distinct]
             seen_linear[distinct] += g_linear**2
             seen_factors[distinct] += g_factors**2
-            linear[distinct] -= rate * g_linear / np.sqrt(seen_linear[distinct])
-            factors[distinct] -= 0.2 * rate * g_factors / np.sqrt(seen_factors[distinct])
+            linear[distinct] -= rate * pace[distinct] * g_linear / np.sqrt(seen_linear[distinct])
+            factors[distinct] -= 0.2 * rate * pace[distinct, None] * g_factors / np.sqrt(seen_factors[distinct])
             g_bias = float(slope.sum())
             seen_bias += g_bias**2
             bias -= rate * g_bias / np.sqrt(seen_bias)

@@ -56,6 +56,25 @@ def test_ranking_learns_preferences_and_machine_learns_pairs():
     assert ((machine.margin(text, term, 3000) > 0) == toxic).mean() > 0.97
 
 
+def test_pairs_are_learnt_among_many_other_terms():
+    """Toxic when two terms meet, each of which mostly stands alone, beside twenty thousand terms of noise."""
+    random = np.random.default_rng(7)
+    sets = []
+    for _ in range(4000):
+        noise = (random.zipf(1.3, 60) % 20_000 + 10).tolist()
+        sets.append(sorted({*noise, *(t for t in (1, 2) if random.random() < 0.3)}))
+    toxic = np.array([float(1 in s and 2 in s) for s in sets])
+    parts = []
+    for part in (sets[:3000], sets[3000:]):
+        parts.append((np.repeat(np.arange(len(part)), [len(s) for s in part]), np.concatenate([np.array(s) for s in part])))
+    machine = fit_machine(*parts[0], toxic[:3000], bits=15, epochs=40)
+    margin = machine.margin(*parts[1], 1000)
+    truth = toxic[3000:]
+    assert (margin[truth == 1][:, None] > margin[truth == 0][None, :]).mean() > 0.97
+    # Every term of five documents has learnt something.
+    assert (machine.linear != 0).sum() == (np.bincount(parts[0][1], minlength=1 << 15) >= 5).sum()
+
+
 MESSAGES = [
     (1, 0, "user", "How do I sort a list?\n\nIt has names."),
     (1, 1, "user", "What about sets?"),
