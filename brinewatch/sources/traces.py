@@ -2,20 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
 
 
+_EVENT = ", ".join(f"`{f}`:{k}" for f, (_, k) in S.EVENT_FIELDS.items())
+#: What an element begins with behind the brace that ends the one before, and what ends an array.
+_FIRST, _NEXT, _LAST = r"^\s*\[\s*\{", r"^\s*,\s*\{", r"^\s*\]\s*$"
+_EMPTY = r"^\s*\[\s*\]\s*$"
+
+
+def _columns(event: Column) -> list[Column]:
+    return [event[f].alias(c) for f, (c, _) in S.EVENT_FIELDS.items()]
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """What stands between closing braces, and the file: a file is read by as many tasks as its size asks for."""
+    return spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def _odd_files(pieces: DataFrame) -> list[str]:
+    """Files that are not one array of flat objects: a brace in a text, a nested object, a missing end."""
+    value = F.col("value")
+    first, other = value.rlike(_FIRST), value.rlike(_NEXT)
+    whole = F.json_object_keys(F.concat(F.regexp_replace(value, r"^\s*[\[,]", ""), F.lit("}"))).isNotNull()
+    empty, end = value.rlike(_EMPTY), value.rlike(_LAST)
+    fine = (first | other) & whole | empty | end
+    checked = pieces.groupBy("file").agg(
+        F.count_if(~F.coalesce(fine, F.lit(False))).alias("odd"), F.count_if(first).alias("first"),
+        F.count_if(end).alias("end"), F.count_if(empty).alias("empty"), F.count(F.lit(1)).alias("n"),
+    )
+    right = (F.col("odd") == 0) & ((F.col("first") == 1) & (F.col("end") == 1) & (F.col("empty") == 0) | (F.col("empty") == 1) & (F.col("n") == 1))
+    return [r.file for r in checked.where(~right).select("file").collect()]
+
+
 def read_trace_files(spark: SparkSession, path: str) -> DataFrame:
-    """Events of JSON files holding one array each; other files give no rows."""
-    ddl = f"array<struct<{', '.join(f'`{f}`:{k}' for f, (_, k) in S.EVENT_FIELDS.items())}>>"
-    texts = spark.read.option("wholetext", True).text(path)
-    arrays = texts.where(F.ltrim("value").startswith("[")).select(F.from_json("value", ddl).alias("a"))
-    return arrays.select(F.explode("a").alias("e")).select(
-        *[F.col("e")[f].alias(c) for f, (c, _) in S.EVENT_FIELDS.items()]
+    """Events of JSON files holding one array each; other files give no rows.
+
+    Files are cut at closing braces by the text reader, so a large array is read by several tasks. Files that
+    cannot be cut there (see ``_odd_files``) are read as one text each, of at most 2 GB.
+    """
+    pieces = _pieces(spark, path)
+    odd = _odd_files(pieces)
+    element = F.from_json(F.concat(F.regexp_replace("value", r"^\s*[\[,]", ""), F.lit("}")), f"struct<{_EVENT}>")
+    cut = pieces.where(F.col("value").rlike(f"{_FIRST}|{_NEXT}"))
+    if odd:
+        listed = spark.createDataFrame([(f,) for f in odd], "file string")
+        cut = cut.join(F.broadcast(listed), "file", "left_anti")
+    events = cut.select(element.alias("e")).select(*_columns(F.col("e")))
+    if not odd:
+        return events
+    texts = spark.read.option("wholetext", True).text(odd)
+    arrays = texts.where(F.ltrim("value").startswith("[")).select(F.from_json("value", f"array<struct<{_EVENT}>>").alias("a"))
+    return events.unionByName(arrays.select(F.explode("a").alias("e")).select(*_columns(F.col("e"))))
+
+
+def write_trace_file(events: DataFrame, path: str, text: str = "value", order: str = "n") -> None:
+    """JSON texts in ``order`` as one array in one file, as traces are delivered."""
+    first = events.agg(F.min(order)).scalar()
+    lines = events.select(
+        F.col(order).cast("double").alias("n"),
+        F.concat(F.when(F.col(order) == first, F.lit("[")).otherwise(F.lit(",")), F.col(text)).alias("line"),
     )
+    end = events.sparkSession.createDataFrame([(float("inf"), "]")], "n double, line string")
+    lines.unionByName(end).coalesce(1).sortWithinPartitions("n").select("line").write.text(path)
 
 
 def trace_slice(df: DataFrame, minutes: float | None = None, *, time: str = S.TIME) -> DataFrame:

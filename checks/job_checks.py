@@ -50,6 +50,23 @@ def load_machines(spark, sf):
     return machine_source.read_machines(spark, path)
 
 
+@check(
+    "trace_files",
+    I.with_inputs("""SELECT event_id, device_id, mac_address_string, mean_conductivity, mean_wash_tank_temp, en_wash_on,
+      date_time_raw AS date_time_utc FROM beacons WHERE k NOT BETWEEN 50 AND 52"""),
+)
+def trace_files(spark, sf):
+    """All events as one array in one file, read back by as many tasks as it has splits."""
+    path = scratch_dir(spark, "trace")
+    raw = I.raw_events(spark, sf).withColumn("id", F.get_json_object("value", "$.Id"))
+    odd = I.beacons(spark, sf).where("k between 50 and 52").select(F.col("event_id").alias("id"))
+    good = raw.where(F.col("id").isNotNull()).join(odd, "id", "left_anti")
+    traces.write_trace_file(good.withColumn("n", F.expr("cast(substr(id, 2) as bigint)")), path)
+    return traces.read_trace_files(spark, path).select(
+        "event_id", "device_id", "mac_address_string", "mean_conductivity", "mean_wash_tank_temp", "en_wash_on", "date_time_utc"
+    )
+
+
 @check(
     "trace_slice",
     I.with_inputs("""SELECT event_id, date_time_utc FROM beacons

@@ -14,6 +14,7 @@ from brinewatch import schema as S
 from brinewatch.operators import distribution as D
 from brinewatch.operators import domains, features, flags, issues, quality, runs, timeliness, workloads
 from brinewatch.operators.skew import HotPolicy
+from brinewatch.session import scratch_dir
 from brinewatch.sources import machines, messages, pending, sinks, traces
 from brinewatch.sources import runs as run_source
 
@@ -256,6 +257,29 @@ def test_trace_files(spark, tmp_path):
     assert {r["event_id"] for r in traces.trace_slice(df, 1).collect()} == {"1", "4"}
 
 
+def test_odd_trace_files(spark, tmp_path):
+    """Braces in texts, nested objects, cut files, empty arrays, blanks and line ends anywhere."""
+    good = {"a": '[]', "b": ' [\n ]\n', "c": '[{"Id": "1"} ,\n\t{"Id":"2"}\n]\n', "d": '[{"Id": "x}, {y"}, {"Id": "3"}]',
+            "e": '[{"Id": "4", "more": {"deep": [{}]}}, {"Id": "5"}]', "f": '[{"Id": "}]"}]'}
+    none = {"g": '{"Id": "6"}\n{"Id": "7"}', "h": '[{"Id": "8"}', "i": "", "j": '[[{"Id": "9"}]]', "k": "]["}
+    for name, text in (good | none).items():
+        (tmp_path / f"{name}.json").write_text(text)
+    rows = [r["event_id"] for r in traces.read_trace_files(spark, str(tmp_path)).collect()]
+    wanted = {"1", "2", "3", "4", "5", "x}, {y", "}]"}
+    assert wanted <= set(rows) and len([r for r in rows if r is not None]) == len(wanted)
+
+
+def test_a_large_array_is_read_by_several_tasks(spark):
+    path = scratch_dir(spark, "large")
+    event = F.to_json(F.struct(F.col("id").cast("string").alias("Id"), F.rpad(F.lit("x"), 150, "yz").alias("DeviceID")))
+    traces.write_trace_file(spark.range(1_000_000).select(F.col("id").alias("n"), event.alias("value")), path)
+    read = traces.read_trace_files(spark, path)
+    assert read.rdd.getNumPartitions() >= 2
+    spread = read.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in spread) == 1_000_000 and sum(r["count"] > 100_000 for r in spread) >= 2
+    assert read.select("event_id").distinct().count() == 1_000_000
+
+
 def test_insert_ignore_keeps_rows_without_key(spark):
     new = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5), (None, 1), (None, 1)], "event_id string, v int")
     target = spark.createDataFrame([("b", 0), (None, 9)], "event_id string, v int")
