@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
@@ -178,7 +178,7 @@ def add_features(
     if not hot.empty:
         df = ooo_indicator(df, time, keys=keys, order=arrival, policy=policy)
     chunks = ordered_chunks(df, keys=keys, order=order, rows_back=LATENCY_ROWS - 1, hot=hot, policy=policy)
-    arriving = Window.partitionBy(*chunks.keys, "_chunk").orderBy(*order_columns(arrival))
+    arriving = chunks.parts.orderBy(*order_columns(arrival))
     steps_back = F.coalesce(F.col(time) < F.lag(time).over(arriving), F.lit(False))
     featured = chunks.df.withColumns(
         {

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brinewatch import schema as S
 from brinewatch.functions import alarm_flag, number
 from brinewatch.operators.rolling import SHORT_NAMES, Rolling, rolling, rolling_features_5min
-from brinewatch.operators.skew import DEFAULT_POLICY, NULL_KEY_SPREAD, Hot, HotPolicy, hot_devices, numeric, ordered_chunks
+from brinewatch.operators.skew import DEFAULT_POLICY, LANE, NULL_KEY_SPREAD, Hot, HotPolicy, hot_devices, numeric, ordered_chunks, with_lane
 
 
 def _hot(df: DataFrame, hot: Hot | None, policy: HotPolicy) -> Hot:
@@ -107,8 +107,9 @@ def _value_before(
         F.col(S.MAC).isNull(), F.pmod(F.xxhash64(S.EVENT_ID), F.lit(NULL_KEY_SPREAD))
     ).otherwise(F.lit(-1).cast("bigint"))
     ordinary = df if hot.empty else hot.tag(df).where(F.col("_n").isNull())
-    cold = ordinary.withColumn("_spread", spread)
-    along = Window.partitionBy(S.MAC, "_spread").orderBy(S.TIME).rangeBetween(*back)
+    shared = LANE in df.columns and hot.empty
+    cold = ordinary if shared else ordinary.withColumn("_spread", spread)
+    along = Window.partitionBy(S.MAC, LANE if shared else "_spread").orderBy(S.TIME).rangeBetween(*back)
     plain = cold.withColumns(
         {
             out: F.when(
@@ -169,7 +170,8 @@ def sensor_features(
 ) -> DataFrame:
     """Differences to the row before, 5-minute mean/min/max, 30-second deltas, any anomaly."""
     hot = _hot(df, hot, policy)
-    chunks = ordered_chunks(df, keys=S.DEVICE, order=S.BY_TIME, rows_back=1, hot=hot, policy=policy)
+    laned = with_lane(df, S.DEVICE, hot)
+    chunks = ordered_chunks(laned, keys=S.DEVICE, order=S.BY_TIME, rows_back=1, hot=hot, policy=policy)
     named = F.col(S.MAC).isNotNull()
     diffs = chunks.done(
         chunks.df.withColumns(
@@ -194,4 +196,4 @@ def sensor_features(
             },
             "any_anomaly": alarm_flag(df.select(*[f for f in flags if f in df.columns]), flags=flags).cast("int"),
         }
-    ).drop(*[f"_{s}_before" for s in deltas.values()])
+    ).drop(LANE, *[f"_{s}_before" for s in deltas.values()])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from brinewatch import schema as S
 from brinewatch.functions import number
-from brinewatch.operators.skew import CALM_ROWS, DEFAULT_POLICY, NULL_KEY_SPREAD, Hot, HotPolicy, hot_devices
+from brinewatch.operators.skew import CALM_ROWS, DEFAULT_POLICY, LANE, NULL_KEY_SPREAD, Hot, HotPolicy, hot_devices
 
 
 @dataclass(frozen=True)
@@ -121,12 +121,13 @@ def rolling(
         F.pmod(F.xxhash64(*df.columns), F.lit(NULL_KEY_SPREAD)),
     ).otherwise(F.lit(-1).cast("bigint"))
     ordinary = df if hot.empty else hot.tag(df).where(F.col("_n").isNull())
-    cold = ordinary.withColumns({"_ms": instant, "_spread": spread})
-    along = Window.partitionBy(*keys, "_spread").orderBy("_ms")
+    shared = LANE in df.columns and hot.empty
+    cold = ordinary.withColumns({"_ms": instant} if shared else {"_ms": instant, "_spread": spread})
+    along = Window.partitionBy(*keys, LANE if shared else "_spread").orderBy("_ms")
     plain = cold.withColumns(
         {
             s.out: F.when(
-                F.col("_spread") < 0,
+                F.col(keys[-1]).isNotNull() & F.col("_ms").isNotNull(),
                 _direct(s).over(along.rangeBetween(-(s.seconds * 1000 - 1), 0)),
             )
             for s in specs

@@ -141,6 +141,22 @@ def order_columns(order: Sequence[str]) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in order]
 
 
+#: A column that windows of several operators share, so that rows are dealt out once (see ``with_lane``).
+LANE = "_lane"
+
+
+def with_lane(df: DataFrame, keys: Sequence[str], hot: Hot) -> DataFrame:
+    """Rows for several operators in turn: if no device is hot, all their windows use the same exchange.
+
+    Rows without a device have lanes of their own. Drop ``LANE`` in the end.
+    """
+    if not hot.empty:
+        return df
+    every = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    own = F.when(F.col(keys[-1]).isNull(), F.xxhash64(*every)).otherwise(F.lit(0).cast("bigint"))
+    return df.withColumn(LANE, own)
+
+
 @dataclass(frozen=True)
 class Chunks:
     """Rows with ``_chunk`` (window partition), ``_halo`` (helper copies) and ``_n`` (hot size)."""
@@ -149,9 +165,14 @@ class Chunks:
     keys: tuple[str, ...]
     order: tuple[str, ...]
 
+    @property
+    def parts(self) -> WindowSpec:
+        """What all windows are partitioned by."""
+        return Window.partitionBy(*self.keys, LANE if LANE in self.df.columns else "_chunk")
+
     @property
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, "_chunk").orderBy(*order_columns(self.order))
+        return self.parts.orderBy(*order_columns(self.order))
 
     @property
     def group(self) -> WindowSpec:

@@ -11,7 +11,7 @@ from brinewatch.operators.features import add_features, fal_seconds
 from brinewatch.operators.flags import detect_anomalies
 from brinewatch.operators.joins import join_setpoints
 from brinewatch.operators.rolling import rolling_means
-from brinewatch.operators.skew import DEFAULT_POLICY, HotPolicy, hot_devices
+from brinewatch.operators.skew import DEFAULT_POLICY, LANE, HotPolicy, hot_devices, with_lane
 from brinewatch.operators.tumbling import quiet_flags
 from brinewatch.sources.pending import pending
 
@@ -24,8 +24,9 @@ def baseline_job(
     now = now if now is not None else F.current_timestamp()
     rows = pending(events)
     hot = hot_devices(rows, S.DEVICE, S.TIME, policy)
-    rolled = rolling_means(join_setpoints(rows, machines, hot=hot), hot=hot)
-    flagged = detect_anomalies(rolled, conc_col="rolling_conductivity_avg_15min", hot=hot)
+    laned = with_lane(join_setpoints(rows, machines, hot=hot), S.DEVICE, hot)
+    rolled = rolling_means(laned, hot=hot)
+    flagged = detect_anomalies(rolled, conc_col="rolling_conductivity_avg_15min", hot=hot).drop(LANE)
     ready = epoch_ms(now)
     return flagged.withColumns(
         {
@@ -58,8 +59,9 @@ def feature_batch(
     now = now if now is not None else F.current_timestamp()
     rows = pending(events, done="features_computed_at")
     hot = hot_devices(rows, S.DEVICE, S.TIME, policy)
-    flagged = detect_anomalies(join_setpoints(rows, machines, hot=hot), hot=hot)
-    featured = add_features(flagged, rate_per_minute=rate_per_minute, now=now, hot=hot)
+    laned = with_lane(join_setpoints(rows, machines, hot=hot), S.DEVICE, hot)
+    flagged = detect_anomalies(laned, hot=hot)
+    featured = add_features(flagged, rate_per_minute=rate_per_minute, now=now, hot=hot).drop(LANE)
     return featured.withColumns(
         {
             **quiet_flags(),

@@ -136,3 +136,23 @@ def test_a_million_rows_of_one_device_in_an_hour(spark):
             value = got[s.value].to_numpy()[first:last]
             value = value[~np.isnan(value)]
             assert np.isclose(got[s.out].to_numpy()[i], how[s.agg](value), rtol=1e-9) if len(value) > 1 else True
+
+
+def test_jobs_deal_rows_out_once(spark, sf_dir):
+    """One exchange of rows by device, whatever flags, features and frames follow."""
+    from brinewatch.plans import batch, stream
+    from checks.feature_checks import with_latency
+
+    events, machines = with_latency(spark, sf_dir), I.machines(spark, sf_dir)
+    jobs = {
+        "baseline": batch.baseline_job(events, machines),
+        "features": batch.feature_batch(events, machines),
+        "mesh": stream.mesh_job(events, machines),
+        "sensors": issues.sensor_features(events),
+    }
+    for name, df in jobs.items():
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_lane" in line]
+        by_device = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and S.MAC in line]
+        # The machine list is brought to one row a device as well.
+        assert len(dealt) == 1 and len(by_device) <= 2, (name, by_device)
