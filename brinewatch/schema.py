@@ -95,6 +95,7 @@ BY_ARRIVAL = ("persisted_at", "kafka_logappend_ms", EVENT_ID)
 CONTRACT_REQUIRED = tuple(
     column for field, (column, _) in EVENT_FIELDS.items() if not field.startswith("_")
 )
+# What the product contract allows.
 PRODUCT_ENUMS = {"architecture": ("datamesh",), "data_product": DOMAINS}
 
 

@@ -169,6 +169,55 @@ def manifest_merge(spark, sf):
     return runs.merge_manifest(found, listed)
 
 
+@check(
+    "run_csv_export",
+    I.with_inputs("""SELECT architecture, 'A' AS workload, CAST(0 AS INTEGER) AS repeat, 'r-' || architecture AS run_id,
+      mac_address_string, date_time_raw // CASE WHEN k % 3 = 0 THEN 1000 ELSE 1 END AS date_time_utc, mean_conductivity,
+      op_state, persisted_at_ms AS persisted_ms FROM beacons"""),
+)
+def run_csv_export(spark, sf):
+    """Each architecture's extract is exported as CSV in its run's folder, found there and read again."""
+    path = scratch_dir(spark, "export")
+    for architecture in ("kappa", "lambda"):
+        rows = I.beacons(spark, sf).where(F.col("architecture") == architecture)
+        extract = runs.extract_run(rows, architecture, f"r-{architecture}")
+        runs.write_run_csv(extract, f"{path}/{architecture}/workload_A/run_0/raw_data.csv")
+    found = runs.discover_runs(spark, path)
+    types = {**S.EXTRACT_TYPES, "run_id": "string", "architecture": "string"}
+    # One path for each part of an export.
+    paths = [r.csv_path for r in found.select("csv_path").collect()]
+    read = spark.read.option("header", True).schema(", ".join(f"{n} {k}" for n, k in types.items())).csv(paths)
+    keyed = read.join(found.select("architecture", "workload", "repeat").distinct(), "architecture")
+    return keyed.select(
+        "architecture", "workload", "repeat", "run_id", "mac_address_string", "date_time_utc", "mean_conductivity", "op_state",
+        fn.epoch_ms(F.col("persisted_at")).alias("persisted_ms"),
+    )
+
+
+@check(
+    "summary_json",
+    I.with_inputs("""SELECT architecture, workload, 'wash' AS metric, count(mean_wash_tank_temp) AS n,
+      round(avg(mean_wash_tank_temp), 6) AS mean FROM beacons GROUP BY ALL
+    UNION ALL SELECT architecture, workload, 'rinse', count(mean_rinse_temp), round(avg(mean_rinse_temp), 6) FROM beacons GROUP BY ALL"""),
+)
+def summary_json(spark, sf):
+    """The summary as JSON, one object per architecture and workload, read again."""
+    path = scratch_dir(spark, "summary")
+    b = I.beacons(spark, sf)
+    long = b.select(
+        "architecture", "workload",
+        F.explode(F.create_map(F.lit("wash"), "mean_wash_tank_temp", F.lit("rinse"), "mean_rinse_temp")).alias("metric", "value"),
+    )
+    figures = long.groupBy("architecture", "workload", "metric").agg(
+        F.count("value").alias("n"), fn.steady_round(F.avg("value"), 6).alias("mean")
+    )
+    sinks.write_summary_json(figures, path)
+    read = spark.read.schema("architecture string, workload string, metrics map<string, struct<n: bigint, mean: double>>").json(path)
+    return read.select("architecture", "workload", F.explode("metrics").alias("metric", "v")).select(
+        "architecture", "workload", "metric", "v.n", "v.mean"
+    )
+
+
 # --- sinks -----------------------------------------------------------------------------------
 @check(
     "dedup_first",
