@@ -7,8 +7,10 @@ import re
 import time
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from brinewatch.llm import fingerprint as fp
@@ -295,3 +297,42 @@ def test_many_secrets_in_one_text_in_linear_time(spark):
     assert [(a, b) for k, a, b in found[1] if k == "hex"] == marks
     assert sum(k == "assign" for k, _, _ in found[1]) == 10_667 and all(k != "random" for k, _, _ in found[1])
     assert found[2] == [("assign", 18, 40), ("access", 41, 61)]
+
+
+def plain_vector(text):
+    """Counts of set bits, and sums of random lanes, as plain whole numbers modulo 2^31."""
+    lanes = [0] * (2 * (fp.COUNTING + fp.RANDOM + 1))
+    for piece in filter(None, (p.strip(" ") for p in re.split(r"\n+|(?<=[.?])\s+", text))):
+        first = xxhash.xxh64(piece.encode(), seed=42).intdigest()
+        hashed = {n: xxhash.xxh64(struct.pack("<i", n), seed=first).intdigest() for n in (0, 1, *range(100, 100 + fp.RANDOM))}
+        for i in range(fp.COUNTING):
+            bits = hashed[i // 31] >> (i % 31)
+            lanes[2 * i] += bits & 1
+            lanes[2 * i + 1] += bits >> 31 & 1
+        for i in range(fp.RANDOM):
+            value = hashed[100 + i] & (2**62 - 1)
+            lanes[2 * (fp.COUNTING + i)] += value & (2**31 - 1)
+            lanes[2 * (fp.COUNTING + i) + 1] += value >> 31
+        lanes[-2] += 1
+        lanes[-1] += 1
+    return [x % 2**31 for x in lanes]
+
+
+def plain_likeness(a, b):
+    x, y = (np.array([2 * n - v[-1] for n in v[: 2 * fp.COUNTING]], float) for v in (a, b))
+    if not x.any() or not y.any():
+        return float((x == y).all())
+    return min(max(float(x @ y / np.sqrt((x @ x) * (y @ y))), 0.0), 1.0)
+
+
+def test_fingerprints_as_computed_plainly(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60)
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    got = {r.doc_id: r for r in fp.fingerprint_report(docs).collect()}
+    for (doc_id, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        half = len(text) // 2
+        vectors = [plain_vector(t) for t in (text, text[: len(text) - half] + following[:half], following)]
+        shown = ["".join(f"{v[i] | v[i + 1] << 31:016x}" for i in range(0, len(v), 2)) for v in vectors]
+        assert [got[doc_id].fingerprint, got[doc_id].edited_fingerprint] == shown[:2]
+        assert abs(got[doc_id].near_edited - plain_likeness(vectors[0], vectors[1])) < 1e-9
+        assert abs(got[doc_id].near_next - plain_likeness(vectors[0], vectors[2])) < 1e-9
