@@ -88,7 +88,7 @@ def fit_machine(
     share = min(max(float(label.mean()), 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
     documents = np.bincount(term, minlength=size)
-    toxic = np.bincount(term, label[text].astype(np.float64), minlength=size)
+    toxic = np.bincount(term[label.astype(bool)[text]], minlength=size)
     # How many deviations the toxic documents with a term lie away from what the share leads to expect.
     apart = np.abs(toxic - share * documents) / np.sqrt(share * (1 - share) * documents + 1)
     used = documents >= max(min(LEAST_DOCUMENTS, texts), 1)
@@ -97,7 +97,7 @@ def fit_machine(
     factors = np.where(used[:, None], random.normal(0, 0.01, (size, FACTORS)), 0).astype(np.float32)
     keep = used[term]
     text, term = text[keep], term[keep]
-    begin = np.searchsorted(text, np.arange(texts + 1))
+    begin = np.searchsorted(text, np.arange(texts + 1, dtype=text.dtype))
     seen_linear, seen_factors, seen_bias = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
     for _ in range(epochs):
         order = random.permutation(texts)
@@ -148,9 +148,10 @@ def train_machine(
     listed = rows.column("terms").combine_chunks()
     if not len(rows):
         return fit_machine(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    sizes = np.asarray(listed.value_lengths()).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    return fit_machine(owner, np.asarray(listed.flatten()).astype(np.int64), np.asarray(rows.column("label")))
+    # Numbers of 32 bits: the sample's terms are the largest thing the driver holds.
+    label, sizes, term = np.asarray(rows.column("label")), np.asarray(listed.value_lengths()), np.asarray(listed.flatten())
+    del rows
+    return fit_machine(np.repeat(np.arange(len(label), dtype=np.int32), sizes), term, label)
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, text: str = "text", score: str = "score") -> DataFrame:
