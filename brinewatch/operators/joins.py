@@ -36,7 +36,7 @@ def join_setpoints(
     if fits:
         return df.join(F.broadcast(dim), S.MAC, "left")
     hot = hot or hot_devices(df, S.DEVICE, S.TIME, policy)
-    return salted_join(df, dim, [S.MAC], hot=hot, salt_on=S.EVENT_ID)
+    return salted_join(df, dim, [S.MAC], hot=hot, salt_on=S.EVENT_ID, large=True)
 
 
 def stream_setpoints(
@@ -46,7 +46,8 @@ def stream_setpoints(
     """Stream-static form of ``join_setpoints``.
 
     A stream cannot be searched for hot devices first, so beyond the broadcast limit every
-    device is spread over ``salts`` copies of its dimension row.
+    device is spread over ``salts`` copies of its dimension row. The hint keeps Spark from
+    broadcasting these after all: it goes by the size of the files, before rows are exploded and copied.
     """
     picked = machines.select(F.col("mac").alias(S.MAC), *columns)
     _, fits = checked_broadcast(picked, max_broadcast_rows)
@@ -55,7 +56,7 @@ def stream_setpoints(
         return events.join(F.broadcast(dim), S.MAC, "left")
     copies = dim.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
     spread = events.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)))
-    return spread.join(copies, [S.MAC, "_salt"], "left").drop("_salt")
+    return spread.join(copies.hint("merge"), [S.MAC, "_salt"], "left").drop("_salt")
 
 
 def stream_asof_setpoints(
@@ -71,7 +72,7 @@ def stream_asof_setpoints(
         return events.join(F.broadcast(ranged), same, "left").drop("_mac", "_from", "_to")
     copies = ranged.withColumn("_copy", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
     spread = events.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)))
-    joined = spread.join(copies, same & (F.col("_salt") == F.col("_copy")), "left")
+    joined = spread.join(copies.hint("merge"), same & (F.col("_salt") == F.col("_copy")), "left")
     return joined.drop("_mac", "_from", "_to", "_salt", "_copy")
 
 
@@ -109,4 +110,5 @@ def asof_setpoints(
         ranged = F.broadcast(starts.withColumnRenamed(S.MAC, "_mac"))
         return df.join(ranged, (F.col(S.MAC) == F.col("_mac")) & valid, "left").drop("_mac", "_from", "_to")
     hot = hot or hot_devices(df, S.DEVICE, S.TIME, policy)
-    return salted_join(df, starts, [S.MAC], hot=hot, salt_on=S.EVENT_ID, valid=valid).drop("_from", "_to")
+    joined = salted_join(df, starts, [S.MAC], hot=hot, salt_on=S.EVENT_ID, valid=valid, large=True)
+    return joined.drop("_from", "_to")

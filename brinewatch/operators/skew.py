@@ -262,11 +262,13 @@ def salted_join(
     salt_on: str,
     how: str = "left",
     valid: Column | None = None,
+    large: bool = False,
 ) -> DataFrame:
     """Shuffle join with a dimension of which at most one row per ``on`` matches (and is ``valid``).
 
     Hot devices are spread over salts and their dimension rows copied to each; rows without a
-    device match nothing and are spread too, instead of meeting in one task.
+    device match nothing and are spread too, instead of meeting in one task. ``large`` dimensions are
+    known not to fit: Spark, which goes by the size of files, must not broadcast them.
     """
     lost = F.col(on[0]).isNull()
     # All columns take part, as the column that usually tells rows apart may be missing.
@@ -275,7 +277,7 @@ def salted_join(
     zero = F.lit(0).cast("bigint")
     if hot.empty:
         left = df.withColumn("_salt", F.when(lost, unmatched).otherwise(zero))
-        return _joined(left, dim.withColumn("_salt", zero), [*on, "_salt"], how, valid)
+        return _joined(left, dim.withColumn("_salt", zero), [*on, "_salt"], how, valid, large)
     parts = F.ceil(F.col("_n") / F.lit(hot.policy.chunk_rows))
     flags = hot.listed(*hot.keys, F.greatest(parts, F.lit(hot.policy.salts)).cast("bigint").alias("_salts"))
     keys = list(hot.keys)
@@ -290,13 +292,16 @@ def salted_join(
         .withColumn("_salt", F.explode(F.expr("sequence(0L, coalesce(_salts, 1L) - 1L)")))
         .drop("_salts")
     )
-    return _joined(left, right, [*on, "_salt"], how, valid).drop("_salts")
+    return _joined(left, right, [*on, "_salt"], how, valid, large).drop("_salts")
 
 
-def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str, valid: Column | None) -> DataFrame:
+def _joined(
+    left: DataFrame, right: DataFrame, on: list[str], how: str, valid: Column | None, large: bool
+) -> DataFrame:
     if valid is None:
-        return left.join(right, on, how).drop("_salt")
+        return left.join(right.hint("merge") if large else right, on, how).drop("_salt")
     apart = right.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    apart = apart.hint("merge") if large else apart
     for c in on:
         valid = valid & (F.col(c) == F.col(f"_of_{c}"))
     return left.join(apart, valid, how).drop("_salt", *(f"_of_{c}" for c in on))

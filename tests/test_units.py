@@ -356,6 +356,21 @@ def test_large_dimension_takes_the_salted_stream_join(spark, sf_dir):
     assert small.exceptAll(large).count() == 0 and small.count() == large.count() > 0
 
 
+def test_dimensions_that_do_not_fit_are_never_broadcast(spark, sf_dir):
+    """Spark would: it goes by the size of the files, which are small before rows are exploded and copied."""
+    from brinewatch.operators import joins
+    from checks import inputs as I
+
+    rows, dim, versions = I.beacons(spark, sf_dir), I.machines(spark, sf_dir), I.machine_versions(spark, sf_dir)
+    few = {"max_broadcast_rows": 1}
+    for joined in (
+        joins.stream_setpoints(rows, dim, **few), joins.stream_asof_setpoints(rows, versions, **few),
+        joins.join_setpoints(rows, dim, **few), joins.asof_setpoints(rows, versions, **few),
+    ):
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_infinite_values_are_counted(spark):
     rows = [("a", float("inf")), ("a", 1.0), ("a", 2.0), ("b", float("-inf")), ("b", float("inf")), ("c", 3.0)]
     df = spark.createDataFrame(rows, "g string, v double")
