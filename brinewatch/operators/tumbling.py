@@ -15,6 +15,23 @@ from brinewatch.operators.skew import DEFAULT_POLICY, Hot, HotPolicy, hot_device
 QUIET_FLAGS = S.RULE_FLAGS[4:]
 
 
+def decimals(value: Column) -> Column:
+    """The number as it is written, for sums that no order of rows can tip; NULL beyond a billion."""
+    real = value.cast("double")
+    return F.when(F.abs(real) < 1e9, real.try_cast("decimal(38,18)"))
+
+
+def exact_mean(total: Column, known: Column, rough: Column, count: Column) -> Column:
+    """The mean from the sum of ``known`` decimals, or from the ``rough`` sum if other values occur."""
+    mean = F.try_divide(total, known.cast("decimal(20,0)")).cast("double")
+    return F.coalesce(F.when(known == count, mean), F.try_divide(rough, count))
+
+
+def _average(column: str) -> Column:
+    exact, value = decimals(F.col(column)), F.col(column).cast("double")
+    return exact_mean(F.try_sum(exact), F.count(exact), F.sum(value), F.count(value))
+
+
 def tumbling_stats(
     df: DataFrame,
     *,
@@ -26,13 +43,14 @@ def tumbling_stats(
 ) -> DataFrame:
     """Sensor statistics per device and window; the same code serves batch and stream.
 
-    ``drop_empty`` leaves out rows without any sensor value; ``delay`` sets the watermark.
+    ``drop_empty`` leaves out rows without any sensor value; ``delay`` sets the watermark. The average is that of
+    the decimal numbers, so one on the edge of a band does not depend on the order of additions.
     """
     rows = df.withWatermark(ts, delay) if delay else df
     if drop_empty:
         rows = rows.where(F.coalesce(*[F.col(s) for s in S.SENSORS]).isNotNull())
     return rows.groupBy(F.window(ts, f"{minutes} minutes").alias("window"), key).agg(
-        F.avg("mean_conductivity").alias("avg_conductivity"),
+        _average("mean_conductivity").alias("avg_conductivity"),
         F.min("mean_wash_tank_temp").alias("min_wash_temp"),
         F.max("mean_wash_tank_temp").alias("max_wash_temp"),
         F.count("mean_wash_tank_temp").alias("wash_temp_count"),

@@ -20,15 +20,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from brinewatch import schema as S
 from brinewatch.operators.skew import hot_devices, salted_join
+from brinewatch.operators.tumbling import decimals, exact_mean
 from brinewatch.session import delete_folders, written_folders
 from brinewatch.streaming.keyed import KeyedTable
 
 Table = DataFrame | Callable[[], DataFrame]
 
 _WINDOW = "_start bigint, mac_address_string string, "
-_FIGURES = {"_sum": F.sum, "_count": F.sum, "_wash_lo": F.min, "_wash_hi": F.max, "_wash_n": F.sum,
+_FIGURES = {"_exact": F.try_sum, "_known": F.sum, "_sum": F.sum, "_count": F.sum, "_wash_lo": F.min, "_wash_hi": F.max, "_wash_n": F.sum,
             "_rinse_lo": F.min, "_rinse_hi": F.max, "_rinse_n": F.sum, "_n": F.sum}
-_TYPES = ", ".join(f"{n} {'bigint' if n in ('_count', '_wash_n', '_rinse_n', '_n') else 'double'}" for n in _FIGURES)
+_KINDS = {"_exact": "decimal(38,18)", **dict.fromkeys(("_known", "_count", "_wash_n", "_rinse_n", "_n"), "bigint")}
+_TYPES = ", ".join(f"{n} {_KINDS.get(n, 'double')}" for n in _FIGURES)
 
 
 def current(table: Table) -> DataFrame:
@@ -39,6 +41,7 @@ def current(table: Table) -> DataFrame:
 def _partials() -> list[Column]:
     wash, rinse, conc = (F.col(c).cast("double") for c in ("mean_wash_tank_temp", "mean_rinse_temp", "mean_conductivity"))
     return [
+        F.try_sum(decimals(conc)).alias("_exact"), F.count(decimals(conc)).alias("_known"),
         F.sum(conc).alias("_sum"), F.count(conc).alias("_count"),
         F.min(wash).alias("_wash_lo"), F.max(wash).alias("_wash_hi"), F.count(wash).alias("_wash_n"),
         F.min(rinse).alias("_rinse_lo"), F.max(rinse).alias("_rinse_hi"), F.count(rinse).alias("_rinse_n"),
@@ -114,7 +117,7 @@ class ServedStream:
         return self.windows.content().select(
             "_start", S.MAC,
             F.timestamp_micros(F.col("_start") + self.minutes * 60_000_000).alias("window_end"),
-            F.try_divide("_sum", "_count").alias("avg_conductivity"),
+            exact_mean(*map(F.col, ("_exact", "_known", "_sum", "_count"))).alias("avg_conductivity"),
             F.col("_wash_lo").alias("min_wash_temp"), F.col("_wash_hi").alias("max_wash_temp"),
             F.col("_wash_n").alias("wash_temp_count"), F.col("_rinse_lo").alias("min_rinse_temp"),
             F.col("_rinse_hi").alias("max_rinse_temp"), F.col("_rinse_n").alias("rinse_temp_count"),

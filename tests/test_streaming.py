@@ -45,6 +45,28 @@ def test_kappa_keeps_open_windows_and_late_rows(spark):
     assert any(k.startswith("fallback_") for k in got) and got["b"].conc_ok is False
 
 
+def test_a_mean_on_the_edge_of_the_band_does_not_depend_on_the_order_of_rows(spark):
+    """The mean is 44, the band's upper end; added in this order as doubles it comes out above."""
+    from brinewatch.operators.tumbling import attach_window, conc_ok_column
+
+    values = [v for v in (36.47, 41.28, 48.41, 49.84) for _ in range(60)]
+    total = 0.0
+    for v in values:
+        total += v
+    assert total / len(values) > 44.0
+    rows = [event(f"e{n}", "m", 1, v) for n, v in enumerate(values)]
+    text = ROWS.replace("kafka_ts timestamp", "kafka_ts string")
+    stream = batches(spark, "edge", text, rows[:100], rows[100:]).withColumn("kafka_ts", F.col("kafka_ts").cast("timestamp"))
+    machines = spark.createDataFrame([("m", 55, 75)], "mac string, wash_temp_setpoint int, rinse_temp_setpoint int")
+    assert {(r.avg_conductivity, r.conc_ok) for r in streaming.run_kappa(stream, machines).collect()} == {(44.0, True)}
+    table = spark.createDataFrame(rows, text).coalesce(1).withColumn("kafka_ts", F.col("kafka_ts").cast("timestamp"))
+    table = attach_window(table).withColumn("conc_ok", conc_ok_column())
+    assert {(r.avg_conductivity, r.conc_ok) for r in table.collect()} == {(44.0, True)}
+    odd = spark.createDataFrame([event("huge", "m", 1, 1e12), event("b", "m", 1, 2e12), event("none", "m", 1, None)], text)
+    odd = attach_window(odd.withColumn("kafka_ts", F.col("kafka_ts").cast("timestamp")))
+    assert {r.avg_conductivity for r in odd.collect()} == {1.5e12}
+
+
 def test_insert_ignore_is_unique_over_batches_and_target(spark):
     schema = "k string, v int"
     stream = batches(spark, "ignore", schema, [("a", 1), ("a", 0), (None, 1)], [("a", 2), ("b", 2)], [("t", 3), (None, 3)])
