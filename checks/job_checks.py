@@ -56,7 +56,7 @@ def load_machines(spark, sf):
       date_time_raw AS date_time_utc FROM beacons WHERE k NOT BETWEEN 50 AND 52"""),
 )
 def trace_files(spark, sf):
-    """All events as one array in one file, read back by as many tasks as it has splits."""
+    """All events as arrays of up to a million, read back by as many tasks as the files have splits."""
     path = scratch_dir(spark, "trace")
     raw = I.raw_events(spark, sf).withColumn("id", F.get_json_object("value", "$.Id"))
     odd = I.beacons(spark, sf).where("k between 50 and 52").select(F.col("event_id").alias("id"))

@@ -280,6 +280,20 @@ def test_a_large_array_is_read_by_several_tasks(spark):
     assert read.select("event_id").distinct().count() == 1_000_000
 
 
+def test_no_task_writes_a_whole_trace(spark):
+    path = scratch_dir(spark, "stretches")
+    event = F.to_json(F.struct(F.col("id").cast("string").alias("Id")))
+    rows = spark.range(1000).select((F.col("id") % 500).alias("n"), event.alias("value"))
+    traces.write_trace_file(rows, path, most_events=100)
+    texts = [r.value for r in spark.read.text(path, wholetext=True).collect()]
+    arrays = [[int(e["Id"]) % 500 for e in json.loads(t)] for t in texts]
+    assert len(arrays) > 5 and max(map(len, arrays)) < 300 and all(a == sorted(a) for a in arrays)
+    assert sorted(n for a in arrays for n in a) == sorted(2 * list(range(500)))
+    assert sorted(int(r.event_id) for r in traces.read_trace_files(spark, path).collect()) == list(range(1000))
+    traces.write_trace_file(rows.limit(0), f"{path}/none")
+    assert traces.read_trace_files(spark, f"{path}/none").count() == 0
+
+
 def test_insert_ignore_keeps_rows_without_key(spark):
     new = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5), (None, 1), (None, 1)], "event_id string, v int")
     target = spark.createDataFrame([("b", 0), (None, 9)], "event_id string, v int")
