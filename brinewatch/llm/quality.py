@@ -2,9 +2,14 @@
 
 A labelled good document is preferred to a labelled bad one. The model's strength of a document is linear
 in features of its whole text (byte frequencies, letter case, repetition of words, pairs of words and
-lines, lengths); its weights minimise the logistic loss of the strength differences over pairs. The cut
-is a quantile of the strengths of the labelled documents, at the share of bad ones; the score is logistic
-in the strength and shifted so that the cut has score 0.3.
+lines, lengths); its weights minimise the logistic loss of the strength differences over all pairs of a good
+and a bad document. The cut is a quantile of the strengths of all labelled documents, at the share of bad ones;
+the score is logistic in the strength and shifted so that the cut has score 0.3.
+
+Every labelled document takes part, and every pair. Their number is no matter, as the loss depends on strengths
+only: documents are counted along a grid of strengths, each shared by the two points around it, and points
+are paired in place of documents (the loss of a pair is off by 3e-5 at most). Spark's tasks make the counts and
+the sums of features; the driver gets one number for each feature or occupied point of the grid.
 
 Cases: a null text counts as empty and is scored like one; repeated rows score alike; without labels, or
 with labels of one kind only, no pair exists and every document gets the share of good labels (0.5
@@ -13,7 +18,7 @@ without any).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinewatch.llm.labelled import MAX_LABELLED, labelled_sample
+from brinewatch.llm.labelled import chosen_labels
 from brinewatch.llm.tables import arrow_batches, fresh, held_out
 from brinewatch.llm.words import buffers, byte_table, hash_ranges, slices, windows_hash, words
+from brinewatch.operators.distribution import distribution
+from brinewatch.session import checked_broadcast, checkpointed
 
 CUT_SCORE = 0.3
+#: Points of the grid to one unit of strength.
+GRID = 32
+#: Up to so many labelled rows are summed in one piece, more by Spark's tasks; the sums are the same.
+FEW_ROWS = 20_000
+#: Steps that the search for the weights remembers.
+MEMORY = 10
 #: Printable ASCII bytes have a frequency each; all others share one.
 _FIRST, _LAST = 0x20, 0x7F
 
@@ -105,38 +118,182 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_ranking(
-    x: np.ndarray, label: np.ndarray, steps: int = 400, pairs: int = 4096, rate: float = 0.03, decay: float = 1e-3
-) -> Ranking:
-    """Bradley-Terry by Adam on random (good, bad) pairs; the seed is fixed."""
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    width = x.shape[1]
-    if not len(good) or not len(bad):
-        share = float(label.mean()) if len(label) else 0.5
-        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, share)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+#: What a block of rows (features, labels) adds to which sums.
+Part = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _summed(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place, which = np.unique(at, return_inverse=True)
+    return place, np.bincount(which, value, len(place))
+
+
+class _Rows:
+    """Labelled rows in arrays."""
+
+    def __init__(self, x: np.ndarray, label: np.ndarray):
+        self.x, self.label = x, label
+
+    def sums(self, part: Part) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the sums, ascending, and the sums over all rows."""
+        return _summed(*part(self.x, self.label))
+
+    def cut(self, strength: Callable[[np.ndarray], np.ndarray], share: float) -> tuple[float, float]:
+        """A quantile of the strengths, and their deviation."""
+        found = strength(self.x)
+        return float(np.quantile(found, share)), float(found.std())
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    x = np.asarray(batch.column("x").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+    return x, np.asarray(batch.column("label"))
+
+
+class _SparkRows:
+    """Labelled rows in a table, ``(label, x)``; each task adds up its own, Spark the tasks' sums."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def sums(self, part: Part) -> tuple[np.ndarray, np.ndarray]:
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, value = np.zeros(0, np.int64), np.zeros(0)
+            for batch in batches:
+                if batch.num_rows:
+                    more = part(*_arrays(batch))
+                    at, value = _summed(np.concatenate([at, more[0]]), np.concatenate([value, more[1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(value)], ["at", "value"])
+
+        rows = self.table.mapInArrow(mapped, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value"))
+        found = rows.toArrow().sort_by("at")
+        return np.asarray(found.column("at")), np.asarray(found.column("value"))
+
+    def cut(self, strength: Callable[[np.ndarray], np.ndarray], share: float) -> tuple[float, float]:
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(strength(_arrays(batch)[0]))], ["strength"])
+
+        found = distribution(self.table.mapInArrow(mapped, "strength double"), "strength", [], linear={"cut": share}).first()
+        return found["cut"], found["std"] * float(np.sqrt((found["n"] - 1) / found["n"]))
+
+
+def _lost(margin: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, -margin)
+
+
+def _pair_losses(rows: _Rows | _SparkRows, standard: Callable, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean loss over all pairs; points of the grid, each with a label, and the loss of one document there."""
+
+    def counts(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = standard(x) @ weights * GRID
+        low = np.floor(place).astype(np.int64)
+        share = place - low
+        return np.concatenate([2 * low + label, 2 * (low + 1) + label]), np.concatenate([1 - share, share])
+
+    at, count = rows.sums(counts)
+    # Python's shift and remainder go down, so they undo the above for negative points too.
+    point, good = (at >> 1) / GRID, at % 2 == 1
+    loss = np.zeros(len(at))
+    for mine, sign in ((good, 1.0), (~good, -1.0)):
+        own, other, many = np.flatnonzero(mine), point[~mine], count[~mine]
+        for block in np.array_split(own, len(own) // 256 + 1):
+            loss[block] = _lost(sign * (point[block][:, None] - other)) @ (many / many.sum())
+    return float(loss[good] @ count[good] / count[good].sum()), at, loss
+
+
+def _pair_slope(
+    rows: _Rows | _SparkRows, standard: Callable, weights: np.ndarray, at: np.ndarray, loss: np.ndarray, sizes: np.ndarray
+) -> np.ndarray:
+    """How the mean loss over all pairs changes with the weights."""
+
+    def slopes(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = standard(x)
+        first = 2 * np.floor(z @ weights * GRID).astype(np.int64) + label
+        # The two points around a document; rounding may differ from the pass before, by a point without loss.
+        low, high = (np.minimum(np.searchsorted(at, first + k), len(at) - 1) for k in (0, 2))
+        pull = (loss[high] - loss[low]) * GRID / sizes[label]
+        return np.arange(z.shape[1]), pull @ z
+
+    return rows.sums(slopes)[1]
+
+
+def _fit(rows: _Rows | _SparkRows, width: int, steps: int, decay: float) -> Ranking:
+    """Bradley-Terry over all pairs, by steps that remember how the slope has changed (L-BFGS)."""
+    at, found = rows.sums(lambda x, label: (np.append(label, np.arange(width) + 2), np.append(np.ones(len(x)), x.sum(axis=0))))
+    sizes = np.zeros(width + 2)
+    sizes[at] = found
+    sizes, mean = sizes[:2], sizes[2:]
+    n = sizes.sum()
+    if not sizes.all():
+        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, float(sizes[1] / n) if n else 0.5)
+    mean = mean / n
+    scale = np.sqrt(rows.sums(lambda x, label: (np.arange(width), ((x - mean) ** 2).sum(axis=0)))[1] / n)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    z = np.clip((x - mean) / scale, -8, 8)
-    weights, first, second = np.zeros(width), np.zeros(width), np.zeros(width)
-    random = np.random.default_rng(7)
-    for step in range(1, steps + 1):
-        difference = z[random.choice(good, pairs)] - z[random.choice(bad, pairs)]
-        lost = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
-        gradient = -(difference * lost[:, None]).mean(axis=0) + decay * weights
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
-        weights -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    strength = z @ weights
-    cut = float(np.quantile(strength, len(bad) / len(x)))
-    spread = float(strength.std() / 4) or 1.0
-    return Ranking(mean, scale, weights, cut, spread)
+
+    def standard(x: np.ndarray) -> np.ndarray:
+        return np.clip((x - mean) / scale, -8, 8)
+
+    def loss_at(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        mean_loss, at, loss = _pair_losses(rows, standard, weights)
+        return mean_loss + decay / 2 * float(weights @ weights), at, loss
+
+    def slope_at(weights: np.ndarray, at: np.ndarray, loss: np.ndarray) -> np.ndarray:
+        return _pair_slope(rows, standard, weights, at, loss, sizes) + decay * weights
+
+    weights, past = np.zeros(width), []
+    least, *grid = loss_at(weights)
+    slope = slope_at(weights, *grid)
+    for _ in range(steps):
+        way = -_inverse(slope, past)
+        falls, size = float(slope @ way), 1.0 if past else 1 / max(1.0, float(np.abs(slope).sum()))
+        if falls > -1e-6:
+            break
+        while True:
+            there = weights + size * way
+            value, *grid = loss_at(there)
+            if value <= least + 1e-4 * size * falls or size < 1e-3:
+                break
+            size /= 2
+        if value >= least:
+            break
+        after = slope_at(there, *grid)
+        moved, bent = there - weights, after - slope
+        if moved @ bent > 1e-12:
+            past = [*past[1 - MEMORY :], (moved, bent)]
+        weights, least, slope = there, value, after
+    # The order of additions must not tell.
+    weights = np.round(weights, 9)
+    cut, deviation = rows.cut(lambda x: standard(x) @ weights, float(sizes[0] / n))
+    return Ranking(mean, scale, weights, cut, deviation / 4 or 1.0)
+
+
+def _inverse(slope: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The slope times the inverse curvature, as far as the past steps tell it."""
+    out, shares = slope.copy(), []
+    for moved, bent in reversed(past):
+        shares.append((moved @ out) / (moved @ bent))
+        out -= shares[-1] * bent
+    if past:
+        moved, bent = past[-1]
+        out *= (moved @ bent) / (bent @ bent)
+    for (moved, bent), share in zip(past, reversed(shares)):
+        out += (share - (bent @ out) / (moved @ bent)) * moved
+    return out
+
+
+def fit_ranking(x: np.ndarray, label: np.ndarray, steps: int = 60, decay: float = 1e-3) -> Ranking:
+    """Bradley-Terry over all pairs of a row labelled 1 and one labelled 0."""
+    return _fit(_Rows(x, label), x.shape[1], steps, decay)
 
 
 def train_ranking(
     docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text",
-    most: int = MAX_LABELLED,
+    few_rows: int = FEW_ROWS, steps: int = 60, decay: float = 1e-3,
 ) -> Ranking:
-    """Fit on a bounded sample of labelled documents; their features are made in Spark's tasks."""
+    """Fit on all labelled documents that are not held out; their features are made in Spark's tasks.
+
+    Texts are never shuffled: labels that fit are broadcast, others meet the features of all documents.
+    """
     arrow_batches(docs.sparkSession)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,19 +302,20 @@ def train_ranking(
                 x = features(part.column("text"))
                 flat = pa.array(x.ravel().astype(np.float32))
                 offsets = pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("label"), pa.ListArray.from_arrays(offsets, flat)],
-                    ["id", "label", "x"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(offsets, flat)], ["id", "x"])
 
-    sample = labelled_sample(docs, labels, label, id_col, text, most)
-    kind = sample.schema["id"].dataType.simpleString()
-    rows = sample.mapInArrow(mapped, f"id {kind}, label int, x array<float>").toArrow()
-    flat = rows.column("x").combine_chunks()
-    x = np.asarray(flat.flatten(), dtype=np.float64).reshape(len(rows), -1) if len(rows) else features(pa.array([""]))[:0]
-    # The order of rows must not matter for the random pairs.
-    order = np.lexsort((x[:, -2], np.asarray(rows.column("id"))) if len(rows) else (np.zeros(0),))
-    return fit_ranking(x[order], np.asarray(rows.column("label"))[order])
+    chosen, fits = checked_broadcast(chosen_labels(labels, label, id_col).where(F.col("label").isin(0, 1)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    if fits:
+        texts = texts.join(chosen, "id", "left_semi")
+    kind = texts.schema["id"].dataType.simpleString()
+    table = checkpointed(texts.mapInArrow(mapped, f"id {kind}, x array<float>").join(chosen, "id").select("label", "x"))
+    width = features(pa.array([""])).shape[1]
+    if table.count() > few_rows:
+        return _fit(_SparkRows(table), width, steps, decay)
+    rows = table.toArrow()
+    flat = rows.column("x").combine_chunks().flatten()
+    return fit_ranking(np.asarray(flat, dtype=np.float64).reshape(-1, width), np.asarray(rows.column("label")), steps, decay)
 
 
 def quality_scores(docs: DataFrame, model: Ranking, text: str = "text", score: str = "score") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from brinewatch.llm.quality import fit_ranking, quality_report
+from brinewatch.llm.quality import features, fit_ranking, quality_report, train_ranking
 from brinewatch.llm.queries import ORACLES
 from brinewatch.llm.quotations import built_conversations, chat_texts, chats_sql, conversation_report, link_quotations
 from brinewatch.llm.toxicity import fit_machine, toxicity_report
@@ -56,6 +57,36 @@ def test_ranking_learns_preferences_and_machine_learns_pairs():
     assert ((machine.margin(text, term, 3000) > 0) == toxic).mean() > 0.97
 
 
+def test_ranking_is_fitted_on_every_pair():
+    """The weights are where the loss over all pairs, added up one by one, is least."""
+    random = np.random.default_rng(5)
+    x = random.normal(size=(500, 4))
+    label = (x[:, 0] - x[:, 1] + random.normal(size=500) > 0.7).astype(int)
+    model = fit_ranking(x, label)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    pairs = (z[label == 1][:, None] - z[label == 0][None, :]).reshape(-1, 4)
+    slope = -(pairs / (1 + np.exp(pairs @ model.weights))[:, None]).mean(axis=0) + 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-3
+    assert (model.strength(x) < model.cut).sum() == (label == 0).sum()
+
+
+def test_ranking_learns_from_every_label(spark):
+    """Also from more labels than a model was fitted on once (20,000)."""
+    docs = spark.range(30_000).selectExpr("id as doc_id", "repeat('ab ', cast(id % 97 as int)) as text", "cast(id % 2 as int) as quality")
+    model = train_ranking(docs, docs)
+    x = features(pa.array(["ab " * (i % 97) for i in range(30_000) if zlib.crc32(str(i).encode()) % 5]))
+    assert len(x) > 20_000 and np.allclose(model.mean, x.mean(axis=0), rtol=1e-6, atol=1e-9)
+    assert np.allclose(model.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), rtol=1e-6)
+
+
+def test_ranking_of_many_labels_is_that_of_few(spark):
+    """Sums by Spark's tasks give the model that sums in one piece give."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    few, many = (train_ranking(docs.repartition(n), labels, few_rows=rows) for n, rows in ((1, 10**6), (5, 0)))
+    assert np.allclose(few.weights, many.weights, atol=1e-6) and np.abs(few.weights).max() > 0.1
+    assert np.allclose([few.cut, few.spread], [many.cut, many.spread], atol=1e-6)
+
+
 def test_pairs_are_learnt_among_many_other_terms():
     """Toxic when two terms meet, each of which mostly stands alone, beside twenty thousand terms of noise."""
     random = np.random.default_rng(7)
