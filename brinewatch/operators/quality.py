@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewatch import schema as S
 from brinewatch.functions import alarm_flag, conductivity_violation, steady_round
 from brinewatch.operators.distribution import MOST_VALUES, distribution
 from brinewatch.operators.rolling import Rolling, rolling
-from brinewatch.operators.skew import DEFAULT_POLICY, Hot, HotPolicy, ordered_chunks
+from brinewatch.operators.skew import DEFAULT_POLICY, Hot, HotPolicy, dealt, hot_devices, ordered_chunks
 from brinewatch.session import checked_broadcast, checkpointed
 
 
@@ -158,6 +158,8 @@ def integrity_bins(
     run: Sequence[str] = (),
     time: str = S.TIME,
     window_s: int = 300,
+    hot: Hot | None = None,
+    policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Scores of the bins a device fills, and one row of weight ``bins`` for its empty ones.
 
@@ -165,40 +167,52 @@ def integrity_bins(
     all have the same time has no bins.
     """
     keys = [*run, S.MAC]
-    named = _named(df, time)
-    span = named.groupBy(*keys).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
-    # Rows are counted into bins map-side; no task needs a whole device.
-    instants = named.select(*keys, time).join(span, keys).withColumn("_c", F.lit(1))
-    bins = F.ceil((F.col("_t1") - F.col("_t0")) / F.lit(float(window_s)))
-    filled = (
-        instants.withColumn("_bins", bins).where(F.col("_bins") > 0)
-        .withColumn(
-            "_bin",
-            F.least(F.floor((F.col(time) - F.col("_t0")) / F.lit(float(window_s))), F.col("_bins") - 1),
-        )
-        .groupBy(*keys, "_bins", "_bin")
-        .agg(F.sum("_c").alias("_c"))
+    known = cadence.where(F.col("cadence_s") > 0)
+    named = _named(df, time).select(*keys, time)
+    if hot is None or hot.keys != tuple(keys):
+        hot = hot_devices(named, keys, time, policy)
+    # An ordinary device is dealt out once, whole, for its cadence, its span and its bins.
+    device = Window.partitionBy(*keys)
+    plain = named if hot.empty else named.join(hot.listed(*keys), keys, "left_anti")
+    spans = dealt(plain, keys, named.count()).join(known, keys).withColumns(
+        {"_t0": F.min(time).over(device), "_t1": F.max(time).over(device)}
     )
+    filled = _filled_bins(spans, [*keys, "cadence_s"], time, window_s)
+    if not hot.empty:
+        # Rows of the others are counted into bins map-side; no task needs a whole device.
+        busy = named.join(hot.listed(*keys), keys, "left_semi")
+        span = busy.groupBy(*keys).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1")).join(known, keys)
+        filled = filled.unionByName(_filled_bins(busy.join(span, keys), [*keys, "cadence_s"], time, window_s))
+    # Written, as it is read twice and its tasks should hold nothing else.
+    filled = checkpointed(filled)
+    score = F.least(F.lit(1.0), F.col("_c") * F.col("cadence_s") / F.lit(float(window_s)))
     empty = (
         filled.groupBy(*keys, "_bins").agg(F.count(F.lit(1)).alias("_filled"))
-        .select(*keys, F.lit(0).cast("bigint").alias("_c"), (F.col("_bins") - F.col("_filled")).alias("bins"))
+        .select(*keys, F.lit(0.0).alias("score"), (F.col("_bins") - F.col("_filled")).alias("bins"))
         .where(F.col("bins") > 0)
     )
-    every = filled.select(*keys, "_c", F.lit(1).cast("bigint").alias("bins")).unionByName(empty)
-    score = F.least(F.lit(1.0), F.col("_c") * F.col("cadence_s") / F.lit(float(window_s)))
+    return filled.select(*keys, score.alias("score"), F.lit(1).cast("bigint").alias("bins")).unionByName(empty)
+
+
+def _filled_bins(rows: DataFrame, keys: Sequence[str], time: str, window_s: int) -> DataFrame:
+    """``keys, _bins, _bin, _c``: the rows in each bin, from rows with their device's span ``_t0, _t1``."""
+    bins = F.ceil((F.col("_t1") - F.col("_t0")) / F.lit(float(window_s)))
+    place = F.floor((F.col(time) - F.col("_t0")) / F.lit(float(window_s)))
     return (
-        every.join(cadence.where(F.col("cadence_s") > 0), keys)
-        .select(*keys, score.alias("score"), "bins")
+        rows.withColumn("_bins", bins).where(F.col("_bins") > 0)
+        .withColumn("_bin", F.least(place, F.col("_bins") - 1))
+        .groupBy(*keys, "_bins", "_bin")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
 
 
 def window_integrity(
     df: DataFrame, cadence: DataFrame, *, run: Sequence[str] = (), time: str = S.TIME,
-    window_s: int = 300,
+    window_s: int = 300, hot: Hot | None = None, policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Per device: number of bins, bins with events, and the mean score over all bins."""
     keys = [*run, S.MAC]
-    scored = integrity_bins(df, cadence, run=run, time=time, window_s=window_s)
+    scored = integrity_bins(df, cadence, run=run, time=time, window_s=window_s, hot=hot, policy=policy)
     return scored.groupBy(*keys).agg(
         F.sum("bins").alias("bins"),
         F.sum(F.when(F.col("score") > 0, F.col("bins")).otherwise(F.lit(0))).alias("filled_bins"),

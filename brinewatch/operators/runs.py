@@ -98,7 +98,7 @@ def run_metrics(
     arrivals = checkpointed(
         quality.arrival_metrics(rows, run=run, alarm="_alarm", hot=hot, policy=policy)
     )
-    bins = quality.integrity_bins(rows, cadence, run=run)
+    bins = quality.integrity_bins(rows, cadence, run=run, hot=hot, policy=policy)
     ml = quality.proxy_ml_metrics(rows, run=run, threshold=threshold, band=band, hot=hot, policy=policy)
 
     # One summary serves all device- and window-level metrics.

@@ -24,6 +24,8 @@ MAX_LOCAL = 10_000
 #: Devices of up to so many rows may be worked on in quadratic time.
 CALM_ROWS = 20_000
 NULL_KEY_SPREAD = 4096
+#: Rows that a partition of ``dealt`` holds on average, at most.
+DEALT_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -137,6 +139,18 @@ def hot_devices(
     return Hot(spark.createDataFrame(table.toArrow(), table.schema), keys, order, policy, calm=calm)
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int, most: int = DEALT_ROWS) -> DataFrame:
+    """``df`` dealt out by ``keys`` over as many partitions as its ``rows`` ask for, so a task's memory does not grow.
+
+    Spark unites shuffle partitions by their compressed size, which is a small part of what narrow rows take in
+    memory; it leaves these as they are. A few rows are left to Spark.
+    """
+    if rows <= most:
+        return df
+    parts = max(-(-rows // most), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def order_columns(order: Sequence[str]) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in order]
 

@@ -114,6 +114,27 @@ def test_run_metrics(rows, run):
     same(quality.proxy_ml_metrics(rows, run=run), quality.proxy_ml_metrics(rows, run=run, policy=cut), [*run, "precision", "recall", "f1", "support_total"])
 
 
+@pytest.mark.parametrize("run", [(), RUN])
+def test_integrity_of_hot_devices(rows, run):
+    cut = HotPolicy(share=0.0, min_rows=8, chunk_rows=3)
+    cadence = quality.device_cadence(quality.gap_counts(rows, run=run), run=run)
+    names = [*run, S.MAC, "bins", "filled_bins", "window_integrity"]
+    same(quality.window_integrity(rows, cadence, run=run), quality.window_integrity(rows, cadence, run=run, policy=cut), names)
+
+
+def test_integrity_bins_are_dealt_out_by_rows(spark):
+    """Narrow rows compress well, so Spark would unite more of them than a task should hold."""
+    devices, n = 60_000, 600_000
+    df = spark.range(0, n, 1, 8).select(
+        F.concat(F.lit("m"), (F.col("id") % devices).cast("string")).alias(S.MAC), (F.expr(f"id div {devices}") * 400).alias(S.TIME)
+    )
+    cadence = df.select(S.MAC).distinct().withColumn("cadence_s", F.lit(400.0))
+    bins = quality.integrity_bins(df, cadence)
+    assert bins.agg(F.sum("bins"), F.count_if(F.col("score") == 1)).first()[:] == (12 * devices, n)
+    held = bins.where("score > 0").groupBy(F.input_file_name().alias("file")).count()
+    assert held.agg(F.max("count")).first()[0] <= 250_000
+
+
 def test_a_million_rows_of_one_device_in_an_hour(spark):
     """Frames of a quarter of a million rows: linear work, and figures as computed one by one."""
     n = 1_000_000
