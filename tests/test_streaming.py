@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brinewatch import streaming
 from brinewatch.session import scratch_dir
+from checks.stream_checks import write_batches
 
 ROWS = (
     "event_id string, mac_address_string string, kafka_ts timestamp, date_time_utc bigint, mean_conductivity double, "
@@ -213,3 +214,19 @@ def test_insert_ignore_reads_only_its_keys_buckets(spark):
     # Buckets double until none holds many more than its limit; a trigger reads two of them and the last changes.
     assert read[0] >= 1500 and max(read[-5:]) < 1200, read
     assert max(table._snapshot(10**6).rows.values()) < 1200
+
+
+def test_batches_of_several_files_do_not_run_into_each_other(spark, tmp_path):
+    """Each batch is written by several tasks, and a stream takes it whole."""
+    df = spark.range(0, 9000, 1, 4).selectExpr("id as event_id", "if(id % 9 < 5, 7, id % 9) as half", "if(id % 9 < 5, 7, id % 9) as batch")
+    path, files = write_batches(df.unionByName(df.limit(5).withColumn("batch", F.lit(None).cast("bigint"))), "batch", by="event_id", file_rows=700)
+    assert files == 9
+    written = spark.read.option("recursiveFileLookup", "true").schema("event_id bigint, half bigint").parquet(path)
+    assert written.count() == 9000 and len(written.inputFiles()) == 4 * files
+    seen = []
+    stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
+    writer = stream.writeStream.foreachBatch(lambda batch, _: seen.append({r.half: r["count"] for r in batch.groupBy("half").count().collect()}))
+    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [{5: 1000}, {6: 1000}, {7: 6000}, {8: 1000}]
+    # Too few rows to be sure of every file: one file a batch.
+    assert write_batches(df.limit(150), "batch", by="event_id", file_rows=10)[1] == 1
